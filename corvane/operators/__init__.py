@@ -1,0 +1 @@
+"""Operators: DataFrames and driver options in, lazy DataFrames out."""

@@ -1,11 +1,10 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corvane.plans import history_queries, link_queries, search_queries, text_queries  # noqa: F401
+from corvane.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "k4_where_search"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
