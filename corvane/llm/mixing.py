@@ -204,7 +204,7 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], budge
     goal = wanted / max(wanted.sum(), 1e-9) * (budget or total)
     whiten = np.linalg.pinv(gram + 1e-9 * total * np.eye(size))
     steps: list[np.ndarray] = []
-    for _ in range(STEPS):
+    for _ in range(STEPS + 1):
         got = table.select(n.alias("n_tokens"), "p", _rate(steps).alias("r")).agg(*[F.sum(F.col("r") * n * p[k]).alias(f"t{k}") for k in range(size)]).first()
         expected = np.array([got[f"t{k}"] for k in range(size)], float)
         gap = expected - goal

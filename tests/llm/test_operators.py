@@ -1,0 +1,427 @@
+"""Each operator against brute force and over nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import harness
+from corvane.llm import chat, langid, licenses, media, mixing, packing, quality, secrets, shared, simhash, urls
+from corvane.llm import queries as Q
+from tests.conftest import SMALL
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, kept string, rate string"
+WORDS = "the cat sat on a mat and then it went away over hills far from home while birds sang loudly".split()
+
+
+def prose(n: int, seed: int = 0) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS, n))
+
+
+LONG = prose(60_000, 9)
+HARD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "   \n\t ", "en", "s", 6), (4, "one", "en", None, 3), (5, prose(80, 1), "en", "s", 1), (5, prose(80, 1), "en", "s", 1),
+    (6, prose(80, 1), "en", "s", 1), (None, prose(80, 2), None, "s", 1), (7, LONG, "en", "s", len(LONG)), (8, "日本語 テキスト ②", "ja", "s", 9), (9, "x" * 5000, "en", "s", 5000),
+    (10, "### $$$ *** ||| <<<", "en", "s", 19), (11, "line\n" * 60, "en", "s", 300),
+]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame([(*r, "x", "y", "z", "w") for r in HARD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return pd.read_parquet(f"{SMALL}/documents.parquet")
+
+
+def run(spark, name):
+    return harness.frame(Q.QUERIES[name](spark, SMALL))
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def base_statistics(text):
+    text = text or ""
+    words = words_of(text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    twice = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {k + j for k, w in enumerate(windows) if w in twice for j in range(3)}
+    lines = [x for x in text.split("\n") if words_of(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_sql(spark, name):
+    assert harness.compare(run(spark, name), harness.oracle(Q.ORACLE_SQL[name], SMALL)) == ""
+
+
+def test_op1_base(spark, documents, hard, none):
+    got = run(spark, "op1_quality_rules").set_index("doc_id")
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        r = got.loc[doc_id]
+        want = base_statistics(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+    rows = quality.judge(hard).collect()
+    assert len(rows) == len(HARD)
+    by = {(r["doc_id"], r["n_words"]) for r in rows}
+    assert {(doc_id, len(words_of(t))) for doc_id, t, *_ in HARD} == by
+    assert quality.judge(none).collect() == []
+
+
+def test_op1_distances_follow_a_numpy_estimate(spark):
+    rng = np.random.default_rng(4)
+    clean = rng.multivariate_normal([1.5, 0, 0, 0.3], np.diag([0.3, 0.6, 0.5, 0.7]) ** 2, 900)
+    x = np.vstack([clean, rng.normal(12, 0.3, (100, 4))])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "pool string, x1 double, x2 double, x3 double, x4 double")
+    got = np.array([r["d2"] for r in quality.robust_distances(df).orderBy("x1").collect()])
+    order = np.argsort(x[:, 0])
+    far = order >= 900
+    assert got[far].min() > quality.CUTOFF and (got[~far] > quality.CUTOFF).sum() == 0
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+    m = np.median(x, 0)
+    root = np.linalg.inv(np.linalg.cholesky(np.diag((1.4826 * np.median(np.abs(x - m), 0)) ** 2) + floors))
+    for _ in range(quality.STEPS):
+        d = (((x - m) @ root.T) ** 2).sum(1)
+        near = x[d <= np.quantile(d, quality.SUPPORT)]
+        m, root = near.mean(0), np.linalg.inv(np.linalg.cholesky(np.cov(near.T, bias=True) + floors))
+    d = (((x - m) @ root.T) ** 2).sum(1)
+    want = (d / max(np.median(d) / quality.CHI2_MEDIAN, 1.0))[order]
+    assert np.allclose(got, want, rtol=0.05)
+
+
+def test_op2_rules(spark):
+    rules = spark.createDataFrame([("a.org", "/x", "block"), ("org", "/x/yyy", "allow"), ("a.org", "/x", "allow"), ("b.org", "", "block"), (None, "/", "block")], urls.RULES)
+    cases = {
+        "http://a.org/xq?x": ("a.org", "/xq", "a.org/x", "block"), "HTTP://W.A.ORG/x/yyyz#f": ("w.a.org", "/x/yyyz", "org/x/yyy", "allow"), "//a.org/x": ("", "", None, "allow"),
+        "http://b.org": ("b.org", "", "b.org", "block"), "http://xb.org/": ("xb.org", "/", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://?q": ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate([*cases, *cases])], "page_id long, url string, host string")
+    got = urls.filter_urls(pages, rules).collect()
+    assert len(got) == 2 * len(cases)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["url"]]
+    assert urls.filter_urls(pages.limit(0), rules).collect() == []
+    assert {r["verdict"] for r in urls.filter_urls(pages, rules.limit(0), "block").collect()} == {"block"}
+
+
+MIT = (
+    "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including any.\n\nThe above copyright notice and this permission notice shall be included in all copies or '
+    'substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+)
+
+
+def test_op3_licences(spark, hard, documents):
+    for text, want in (
+        ("Some words. Released under the MIT License.", ["MIT"]), ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]), ("a\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3"]), (MIT, ["MIT"]), ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", ["MIT OR APACHE-2.0"]),
+        ("he has a licence to drive", []), (None, []), ("", []), ("Released under the MIT License.\nReleased under the MIT License.", ["MIT", "MIT"]),
+    ):
+        assert [x[0] for x in licenses.scan(text)] == want, text
+    assert licenses.find_licenses(hard).count() == len(HARD)
+    got = run(spark, "op3_license_scan").set_index("doc_id")
+    planted = documents[documents.text.str.contains(r"(?:Released|[Ll]icensed) under", regex=True)]
+    assert (got.loc[planted.doc_id].n_licenses > 0).all() and got.n_licenses.gt(0).sum() == len(planted)
+
+
+def test_op4_round_trip(spark, documents, hard, none):
+    got = run(spark, "op4_media_columns").set_index("doc_id")
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        raw = text.encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = got.loc[doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    rows = media.features(media.store(hard)).collect()
+    assert len(rows) == len(HARD) and {r["payload_bytes"] for r in rows if not r["n_bytes"]} == {64} and not any(r["damaged"] for r in rows)
+    assert media.features(media.store(none)).collect() == []
+
+
+def test_op4_filters_and_damage(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (37, 64), dtype=np.uint8)
+    for kinds in (0, 1, 2, rng.integers(0, 3, 37)):
+        assert (media.decode_png(media.encode_png(x, kinds)) == x).all()
+    lines = np.zeros((5, 65), np.uint8)
+    lines[:, 0] = [0, 3, 4, 3, 4]
+    lines[:, 1:] = rng.integers(0, 256, (5, 64))
+    want = np.zeros((6, 65), int)
+    for r in range(5):
+        for c in range(64):
+            a, b, d = want[r + 1, c], want[r, c + 1], want[r, c]
+            p = a + b - d
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
+            want[r + 1, c + 1] = (int(lines[r, c + 1]) + {0: 0, 3: (a + b) // 2, 4: paeth}[int(lines[r, 0])]) % 256
+    assert (media.unfilter(lines) == want[1:, 1:]).all()
+    good = media.encode_png(x)
+    bad = bytearray(good)
+    bad[60] ^= 1
+    df = spark.createDataFrame([(1, bytes(good)), (2, bytes(bad)), (3, None), (4, b"no png")], "doc_id long, media binary")
+    assert [r["damaged"] for r in media.features(df).orderBy("doc_id").collect()] == [False, True, True, True]
+
+
+def brute_components(fps, ids, distance):
+    u = np.unique(fps)
+    parent = list(range(len(u)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k in range(len(u)):
+        for j in np.flatnonzero(np.bitwise_count(u ^ u[k]) <= distance):
+            parent[find(int(j))] = find(k)
+    group = {int(c): find(k) for k, c in enumerate(u)}
+    least = {}
+    for f, i in zip(fps, ids, strict=True):
+        least[group[int(f)]] = min(least.get(group[int(f)], i), i)
+    return [least[group[int(f)]] for f in fps]
+
+
+def test_op5_components(spark, documents):
+    got = run(spark, "op5_simhash").set_index("doc_id")
+    fps = np.array([simhash.fingerprint(t) for t in documents.text], np.uint64)
+    assert [format(int(f), "016x") for f in fps] == got.loc[documents.doc_id].fingerprint.tolist()
+    assert brute_components(fps, documents.doc_id.tolist(), 4) == got.loc[documents.doc_id].component_id.tolist()
+
+
+def test_op5_fingerprint_by_hand():
+    import xxhash
+
+    text = "A b c d E é  f"
+    words = "a b c d e é f".split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42) for k in range(4)]
+    want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint("") == simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+    assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
+
+
+@pytest.mark.parametrize("rows", [40, 200_000])
+def test_op5_dense_groups(spark, rows):
+    """A chain of close fingerprints and a ball of them, with groups that fit a task and ones that don't."""
+    rng = np.random.default_rng(rows)
+    codes = set(rng.integers(0, 2**63, 200, dtype=np.uint64).tolist())
+    centre = int(rng.integers(0, 2**63))
+    for _ in range(500):
+        codes.add(centre ^ sum(1 << int(b) for b in set(rng.integers(0, 64, 3).tolist())))
+    walk = centre ^ (2**64 - 1)
+    for k in range(60):
+        walk ^= 1 << (k * 7 % 64) | 1 << (k * 11 % 64)
+        codes.add(walk & (2**64 - 1))
+    codes = np.array(sorted(codes), np.uint64)
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+    links = simhash.near_links(df, 4, rows)
+    assert links.count() <= 40 * len(codes)
+    roots = {r["node"]: r["root"] for r in shared.connected_components(links).collect()}
+    ours = [roots.get(int(c), int(c)) for c in codes.view(np.int64)]
+    want = brute_components(codes, list(range(len(codes))), 4)
+    assert len(set(ours)) == len(set(want)) == len(set(zip(ours, want, strict=True)))
+
+
+def test_op5_hard_rows(hard, none):
+    rows = simhash.components(hard).collect()
+    assert len(rows) == len(HARD)
+    zero = {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16}
+    assert zero == {1}
+    assert {r["component_id"] for r in rows if r["doc_id"] in (5, 6)} == {5}
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
+    assert simhash.components(none).collect() == []
+    kept = simhash.drop_near_duplicates(hard)
+    assert kept.columns == hard.columns
+    groups = len({(r["root"]) for r in rows})
+    assert kept.count() == groups and kept.where("doc_id = 5").count() == 1
+    assert simhash.drop_near_duplicates(none).collect() == []
+
+
+def check_packing(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_op6_packing(spark, documents):
+    from tokenizers import Tokenizer
+
+    rows = run(spark, "op6_best_fit_packing").to_dict("records")
+    t = Tokenizer.from_file(Q.tokenizer_path())
+    want = []
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want.append((doc_id, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted(want) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    sequences, tokens = check_packing(rows, 4096), sum(r["length"] for r in rows)
+    assert sequences <= 1.02 * tokens / 4096 + 1
+
+
+def test_op6_plan_uses_exact_complements():
+    for counts, least in (({3000: 10, 1096: 10}, 10), ({3000: 4, 600: 4, 496: 4}, 4), ({2000: 3, 1000: 3, 700: 3, 396: 3}, 3), ({1500: 9}, 5), ({4096: 5}, 5), ({}, 0), ({1: 1}, 1), ({2048: 7}, 4), ({1024: 9}, 3)):
+        rows, n = packing.plan(counts, 4096)
+        assert n == least
+        assert Counter({k: v for k, v in counts.items()}) == Counter(x for length, a, b, _, _ in rows for x in [length] * (b - a + 1))
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        counts = Counter(rng.integers(1, 65, rng.integers(1, 200)).tolist())
+        rows, n = packing.plan(dict(counts), 64)
+        flat = [{"sequence_id": s + r - a, "offset": p, "length": length} for length, a, b, s, p in rows for r in range(a, b + 1)]
+        assert check_packing(flat, 64) == n
+
+
+def test_op6_tokenizer_is_exact():
+    import pyarrow as pa
+
+    texts = ["", " ", "don't I'LL 12²3 'sam' \"'s x'\"y", "É×÷ß ª½»«...", "日本語 x\x1cy\x85z", "<|endoftext|>A<|x", "a\xa0b\xadc İΣ ΣΑΣ", "x\t\r\n\x0by.,z. ,", None, "word." * 3, "é ́e"]
+    ids = packing.word_ids(Q.tokenizer_path())
+    for text, got in zip(texts, ids.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_op6_hard_rows(hard, none):
+    rows = [r.asDict() for r in packing.best_fit_pack(hard, Q.tokenizer_path(), 128).collect()]
+    check_packing(rows, 128)
+    assert sum(r["piece"] == 0 for r in rows) == len(HARD)
+    assert packing.best_fit_pack(none, Q.tokenizer_path()).collect() == []
+
+
+def test_op7_held_out_accuracy(spark, documents):
+    got = run(spark, "op7_language_id").set_index("doc_id").loc[documents.doc_id]
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in documents.doc_id])
+    assert (got.held_out.to_numpy() == held).all() and got.score.between(0, 1).all()
+    assert (got.lang_pred.to_numpy() == documents.lang.to_numpy())[held].mean() > 0.95
+
+
+def test_op7_hard_rows(spark, hard, none, documents):
+    model = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet").where(~langid.held_out()))
+    assert langid.fit(none) is None
+    rows = langid.predict(hard, model).collect()
+    assert len(rows) == len(HARD)
+    for r in rows:
+        letters = r["text"] is not None and any(c.isalpha() for c in r["text"])
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and (letters or r["rejected"])
+    junk = spark.createDataFrame([(1, "qzxj vvkq xxqz jjwq zzqx kkvj wqxz " * 30)], "doc_id long, text string")
+    assert langid.predict(junk, model).first()["rejected"]
+    assert {r["lang_pred"] for r in langid.predict(hard, None).collect()} == {"und"}
+    kept = langid.predict(spark.read.parquet(f"{SMALL}/documents.parquet"), model).where("rejected").count()
+    assert kept == 0
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A | re.I):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_op8_base(spark, documents, hard, none):
+    got = run(spark, "op8_secret_scan").set_index("doc_id")
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        assert got.loc[doc_id].base_sha256 == hashlib.sha256(brute_base(text).encode()).hexdigest()
+    rng = np.random.default_rng(0)
+    bits = ["password", "PASSWD", "Token", "apikey", "api_key", "secret", "=", ":", " ", '"', "'", "abcdef", "é", "AKIA", "AKIA" + "Q" * 16, "0123456789abcdef01234567", "x=1", "\n\n", "a1B2" * 6, "https://h.io/x", "user=bob1", "ſecret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, rng.integers(1, 12)))
+        base = [s for s in secrets.scan(text)[0] if s[2] in secrets.STRONG]
+        assert secrets.joined(base) == brute_base(text), text
+    assert secrets.find_secrets(hard).count() == len(HARD) and secrets.find_secrets(none).collect() == []
+
+
+def test_op8_links():
+    weak = "Zx9Qw8Er7Ty6Ui5Op4As"
+    kinds = lambda t: [k for _, _, k in secrets.scan(t)[0]]
+    assert kinds(f"note {weak} here") == []
+    assert kinds(f"user = alice1 then {weak}") == ["id", "secret"]
+    assert kinds(f"user = alice1\n\nthen {weak}") == []
+    assert kinds(f"user = alice1 {'. ' * 200} {weak}") == []
+    assert kinds("password = hunter22 at https://db.example.com/x") == ["assign", "endpoint"]
+    assert kinds("https://db.example.com/x alone") == []
+    assert kinds(f"AKIA{'A' * 16} {weak}") == ["access", "secret"]
+
+
+def test_op8_redaction(spark):
+    df = spark.createDataFrame([(1, "a token = abcdefgh b", 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in secrets.redact(df).orderBy("doc_id").collect()] == [("a [REDACTED] b", 14), (None, None), ("clean", 5)]
+
+
+def test_op9_totals_meet_targets(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
+    n = rng.integers(0, 900, 500)
+    df = spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(500)], "doc_id long, n_tokens long, p array<double>")
+    targets = {"a": 0.6, "b": 0.3, "c": 0.1}
+    rate, expected = mixing.solve(df, ["a", "b", "c"], targets)
+    r = np.array([x["r"] for x in df.withColumn("r", rate).orderBy("doc_id").collect()])
+    total = n.sum()
+    got = (r * n) @ p
+    assert (r >= 0).all() and np.allclose(got, [0.6 * total, 0.3 * total, 0.1 * total], atol=2e-4 * total) and np.allclose(got, list(expected.values()), rtol=1e-6)
+
+
+def test_op9_query_and_hard_rows(spark, hard, none, documents):
+    got = run(spark, "op9_source_mixing")
+    assert sorted(got.doc_id) == sorted(documents.doc_id) and (got.rate >= 0).all() and ((got.copies - got.rate).abs() <= 1).all()
+    assert got.set_index("doc_id").n_tokens.to_dict() == {i: len(words_of(t)) for i, t in zip(documents.doc_id, documents.text, strict=True)}
+    labels = spark.createDataFrame([(5, 1, 0), (7, 0, 0), (7, 0, 0), (None, 1, 0), (8, None, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    rated, domains, _ = mixing.mix(hard, labels)
+    assert rated.count() == len(HARD) and domains == ["quality=0,toxic=0", "quality=1,toxic=0"]
+    assert mixing.apply_mix(hard, labels).columns == hard.columns
+    for empty in (none, hard.limit(0)):
+        assert mixing.mix(empty, labels)[0].collect() == []
+    assert mixing.mix(hard, labels.limit(0))[1] == ["all"]
+    assert mixing.apply_mix(hard, labels.limit(0)).count() == len(HARD)
+
+
+def test_op9_classifier_learns(spark):
+    docs = spark.createDataFrame([(k, prose(40, k) + (" vile" if k % 3 == 0 else "")) for k in range(240)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = mixing.fit(docs, labels)
+    p, _ = model.posteriors(["a cat sat", "a vile cat"])
+    assert p[0].argmax() == 0 and p[1].argmax() == 1
+
+
+def test_op10_escape_round_trip(spark):
+    texts = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "</\\\\s>", "[\\INST]", "[/INST][INST]", "<<s>", "a\\b", "", None, "[INST", "\n", "é</s>"]
+    rows = [(k, t, r, x) for k, x in enumerate(texts) for t, r in enumerate(("user", "assistant", "[INST]", None, "assistant\n"))]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, example string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_examples(df)).collect()}
+    for k, x in enumerate(texts):
+        said = "".join(f"{r or ''}\n{x or ''}\n" for r in ("user", "assistant", "[INST]", None, "assistant\n"))
+        assert got[k]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[k]["n_turns"] == 5
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(x or ""), hashlib.sha256((x or "").encode()).hexdigest())
+
+
+def test_op10_examples(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (None, 0, "assistant", "z"), (2, 0, "user", "u"), (2, 0, "user", "u"), (2, 0, "assistant", "u")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.format_examples(df).where("conv_id = 1").orderBy("example").collect()
+    assert [r["text"][r["loss_start"] : r["loss_end"]] for r in rows] == ["b", "d", ""] and [r["last"] for r in rows] == [False, False, True]
+    assert rows[1]["text"].startswith(rows[0]["text"]) and "e" not in rows[1]["text"].replace("user", "")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_examples(df)).collect()}
+    assert got == {1: 5, None: 1, 2: 3}
+    assert chat.digests(chat.format_examples(df.limit(0))).collect() == []
