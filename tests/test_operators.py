@@ -131,3 +131,46 @@ def test_debounce_stream(spark, tmp_path):
         assert rows(spark.table("events_out"), "event", "digest") == [(1, "A"), (2, "C")]
     finally:
         query.stop()
+
+
+def test_stores(spark, tmp_path):
+    from corvane.sources import stores
+
+    store = stores.ManifestStore(spark, str(tmp_path / "m"))
+    entries = [("a.py", "s", 3, "High", 12, "r"), ("b.py", "t", 4, "Low", 1, "r")]
+    for k in (2, 1):
+        store.save(spark.createDataFrame([(1, f"id{k}", f"2024-0{k}-01", "g", 9, 7, entries, [])], stores.MANIFEST), f"id{k}")
+    assert [r["id"] for r in store.list().collect()] == ["id1", "id2"]
+    assert rows(store.entries("id1"), "ord", "path", "tokens") == [(0, "a.py", 3), (1, "b.py", 4)]
+    for bad in ("../x", ".hidden", ""):
+        try:
+            store.load(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    mixes = spark.createDataFrame([("1", "x", "g", 1, ["a"]), ("2", "x", "g", 1, ["b"]), ("3", "y", "g", 1, ["c"])], stores.MIX)
+    assert [r["id"] for r in stores.find_mix(mixes, "y").collect()] == ["3"]
+    assert [r["id"] for r in stores.find_mix(mixes, "2").collect()] == ["2"]
+    assert stores.find_mix(mixes, "x").collect() == []
+
+
+def test_options():
+    from corvane.functions import options
+
+    assert options.with_preset({"format": "xml", "explain": None}, "debug")["format"] == "xml"
+    assert options.with_preset({}, "debug")["explain"] is True
+    assert options.strand_source("where 'two words' --limit 3") == ["where", "two words", "--limit", "3"]
+
+
+def test_treemap_svg():
+    from corvane.operators import render
+
+    assert render.treemap_svg([("a<b", 0, 0, 2, 1)]).count("<rect") == 1 and "a&lt;b" in render.treemap_svg([("a<b", 0, 0, 2, 1)])
+
+
+def test_embeds_and_public_lines(spark):
+    from corvane.operators import render
+
+    df = spark.createDataFrame([("a.py", "x" * 3, 1)], "path string, body string, tokens long")
+    assert render.pack_rows(df, "json").first()["text"] == '{"path":"a.py","tokens":1,"content":"xxx"}'
+    assert render.pack_rows(df, "plain").first()["text"] == "== a.py ==\nxxx\n"
