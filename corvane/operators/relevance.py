@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,25 +74,29 @@ def gap(scored: DataFrame) -> DataFrame:
 
 
 def greedy(items: DataFrame, budget: int, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """items with `taken` and `used`: in order, a row is taken if it still fits, else passed over and the next is tried.
+    """items (path, tokens, ...) with `taken` and `used`: in order (then tokens, path), a row is taken if it still fits, else passed over.
 
-    A fold, not a running sum: each group's (tokens, order) pairs fold in one row, so a group is a bounded selection, such
-    as candidates after ranking or one strand. Ungrouped input should be cut to candidates first.
+    Each decision depends on all before it, so a group is folded in one task, in one pass over its numbers: a group is a
+    bounded selection, such as candidates after ranking or one strand. Whole corpora in ascending size go to budget_plan.
     """
     keys = group or []
-    packed = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], "tokens", "path")
-    lists = items.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<path:string,taken:boolean,used:bigint>>").alias("out"))
+    slim = items.select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col("tokens").alias("_n"), F.col("path").alias("_path"))
+    by = [*[f"_o{k}" for k in range(len(order))], "_n", "_path"]
 
-    def step(acc: Column, row: Column) -> Column:
-        fits = acc["used"] + row["tokens"] <= budget
-        used = F.when(fits, acc["used"] + row["tokens"]).otherwise(acc["used"])
-        mark = F.struct(row["path"].alias("path"), fits.alias("taken"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(mark)).alias("out"))
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(by, kind="stable")
+        used, taken, after = 0, [], []
+        for n in rows["_n"].tolist():
+            fits = used + n <= budget
+            used += n if fits else 0
+            taken.append(fits)
+            after.append(used)
+        return rows[[*keys, "_path"]].assign(taken=taken, used=after)
 
-    folded = lists.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("m"))
-    marks = folded.select(*keys, "m.path", "m.taken", "m.used")
-    return items.join(marks, [*keys, "path"])
+    types = dict(slim.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"_path {types['_path']}", "taken boolean", "used long"])
+    marks = slim.groupBy(*keys).applyInPandas(fold, schema)
+    return items.join(marks.withColumnRenamed("_path", "path"), [*keys, "path"])
 
 
 #: Budget order of roles (fixed values): lower first.
@@ -106,12 +111,32 @@ def role_order(role: Column) -> Column:
 
 
 def budget_plan(files: DataFrame, budget: int) -> DataFrame:
-    """(path, tokens, status): binary without tokens, generated, too large over half the budget; else included or over budget."""
+    """(path, tokens, status): binary without tokens, generated, too large over half the budget; else included or over budget.
+
+    Order is role, tokens, path. Within a role sizes ascend, so once one does not fit no later one of that role does: each
+    role has a size up to which all fit, and at that size a number of paths. Both follow from the counts of each size, of
+    which there are at most half the budget a role; only those come to the driver. No task sees all files in order.
+    """
     path, tokens = F.col("path"), F.col("tokens")
     why = F.when(tokens <= 0, "binary").when(is_generated(path), "generated").when(tokens > budget / 2, "too large")
     marked = files.select("path", "tokens", why.alias("why"), role_order(T.role(path)).alias("rank"))
-    fit = greedy(marked.where("why is null"), budget, ["rank"])
-    taken = fit.select("path", "tokens", F.when(F.col("taken"), "included").otherwise("over budget").alias("status"))
+    fit = marked.where("why is null")
+    used, edge = 0, {}
+    for r in sorted(fit.groupBy("rank", "tokens").agg(F.count("*").alias("n")).collect()):
+        if r["rank"] not in edge:
+            n = min(r["n"], (budget - used) // r["tokens"])
+            used += n * r["tokens"]
+            if n < r["n"]:
+                edge[r["rank"]] = (r["tokens"], n)
+    below, last = F.lit(True), None
+    for rank, (size, n) in edge.items():
+        below = F.when(F.col("rank") == rank, tokens < size).otherwise(below)
+        some = fit.where((F.col("rank") == rank) & (tokens == size)).orderBy("path").limit(n).select("path")
+        last = some if last is None else last.unionAll(some)
+    marked_fit = fit.withColumn("below", below)
+    if last is not None:
+        marked_fit = marked_fit.join(last.withColumn("edge", F.lit(True)), "path", "left").withColumn("below", F.col("below") | F.coalesce("edge", F.lit(False)))
+    taken = marked_fit.select("path", "tokens", F.when(F.col("below"), "included").otherwise("over budget").alias("status"))
     return taken.unionAll(marked.where("why is not null").select("path", "tokens", F.col("why").alias("status")))
 
 
