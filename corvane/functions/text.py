@@ -200,3 +200,16 @@ def duration_seconds(text: str) -> int:
     if not parts or "".join(a + b for a, b in parts) != text.strip().lower():
         raise ValueError(f"not a duration: {text!r}")
     return sum(int(n) * units[u] for n, u in parts)
+
+
+def relative_path(raw: Column) -> Column:
+    """A relative path below the root with slashes, or null: no empty path, drive, leading slash, NUL or `..`."""
+    unified = F.replace(F.trim(raw), F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(unified, "/"), lambda p: (p != "") & (p != "."))
+    bad = unified.startswith("/") | unified.rlike("^[A-Za-z]:") | F.exists(parts, lambda p: p == "..") | unified.contains("\x00") | (F.size(parts) == 0)
+    return F.when(~bad, F.array_join(parts, "/"))
+
+
+def strip_comments(source: Column) -> Column:
+    """Block comments and whole-line `//` comments go."""
+    return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")

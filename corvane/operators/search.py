@@ -123,3 +123,63 @@ def matches(lines: DataFrame, query: str, around: int = 1) -> DataFrame:
         F.collect_list("text").over(w.rowsBetween(-around, -1)).alias("before"), F.collect_list("text").over(w.rowsBetween(1, around)).alias("after"),
     )
     return near.where("byte_column is not null")
+
+
+def anchor(files: DataFrame, symbols: DataFrame, raw: str) -> DataFrame:
+    """(kind, path, candidates) of an anchor: the only definition of a symbol; else, where none is, the first file of that name, else that path.
+
+    Several definitions give one row of kind `ambiguous`; nothing found gives no row.
+    """
+    cleaned = "/".join(p for p in raw.replace("\\", "/").split("/") if p not in ("", "."))
+    defined = symbols.where(F.col("name") == raw).agg(F.min("path").alias("path"), F.count("*").alias("n"))
+    first = defined.where("n > 0").select(F.lit(0).alias("k"), F.when(F.col("n") == 1, "symbol").otherwise("ambiguous").alias("kind"), F.when(F.col("n") == 1, F.col("path")).alias("path"), F.col("n").alias("candidates"))
+    named = files.where(T.basename(F.col("path")) == raw).agg(F.min("path").alias("path")).where("path is not null").select(F.lit(1), F.lit("basename"), "path", F.lit(1).cast("long"))
+    exact = files.where(F.col("path") == cleaned).agg(F.min("path").alias("path")).where("path is not null").select(F.lit(2), F.lit("path"), "path", F.lit(1).cast("long"))
+    return first.unionAll(named).unionAll(exact).orderBy("k").limit(1).drop("k")
+
+
+def reasons(files: DataFrame, lines: DataFrame, symbols: DataFrame, query: str) -> DataFrame:
+    """(path, reason): what each path matched, in the order symbol, splitname, content, basename, path; values comma-joined.
+
+    Values are terms, but for symbols, which go by name in order of line. A line or symbol counts for its first term only.
+    """
+    words = sorted(T.query_terms(query))
+    low, name = F.lower("text"), F.lower("name")
+    first = F.lit(None).cast("string")
+    for w in reversed(words):
+        first = F.when(low.contains(w), w).otherwise(first)
+    said = lines.select("path", first.alias("w"), "line_no").where("w is not null").groupBy("path", "w").agg(F.min("line_no").alias("n"))
+    content = said.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "w")))["w"], ", ").alias("content"))
+    hit = reduce(lambda a, b: a | b, [name.contains(w) for w in words])
+    held = symbols.where(hit).groupBy("path", "name").agg(F.min("line").alias("n"))
+    named = held.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "name")))["name"], ", ").alias("symbol"))
+    stem, folder, parts = F.lower(T.stem(F.col("path"))), F.lower(T.dirname(F.col("path"))), T.identifier_parts(T.stem(F.col("path")))
+
+    def listed(tests: list[Column]) -> Column:
+        return F.array_join(F.array_compact(F.array(*[F.when(t, w) for t, w in zip(tests, words, strict=True)])), ", ")
+
+    own = files.select(
+        "path", listed([stem.contains(w) for w in words]).alias("base"), listed([(folder != ".") & folder.contains(w) for w in words]).alias("dir"),
+        listed([~stem.contains(w) & F.array_contains(parts, w) for w in words]).alias("split"),
+    )
+    rows = own.join(content, "path", "left").join(named, "path", "left")
+
+    def part(label: str, column: str) -> Column:
+        return F.when(F.coalesce(column, F.lit("")) != "", F.concat(F.lit(label + " match: "), column))
+
+    text = F.concat_ws("; ", part("symbol", "symbol"), part("splitname", "split"), part("content", "content"), part("basename", "base"), part("path", "dir"))
+    return rows.select("path", text.alias("reason")).where("reason <> ''")
+
+
+def parse_results(raw: DataFrame) -> DataFrame:
+    """(id, value) search results as JSON, or path lines -> (id, ord, path): JSON by falling score, lines without comments; the first of equal paths."""
+    schema = "array<struct<path:string,score:bigint>>"
+    is_json = F.trim("value").startswith("[")
+    hits = F.array_sort(
+        F.transform(F.from_json("value", schema), lambda x, i: F.struct((-F.coalesce(x["score"], F.lit(0))).alias("k"), i.alias("i"), x["path"].alias("path")))
+    )
+    found = F.when(is_json, hits["path"]).when(F.trim("value") == "null", F.array().cast("array<string>")).otherwise(
+        F.filter(F.transform(T.split_lines(F.col("value")), lambda s: F.trim(s)), lambda s: (s != "") & ~s.startswith("#"))
+    )
+    each = raw.select("id", F.posexplode(found).alias("ord", "p")).withColumn("path", T.clean_path(F.col("p")))
+    return each.groupBy("id", "path").agg(F.min("ord").alias("ord"))
