@@ -64,23 +64,32 @@ def _is(term: str):
 
 
 def coverage(scored: DataFrame, goal: list[str], top: int = 10) -> DataFrame:
-    """One row: chunks, chunks with a hit, distinct terms found, coverage (terms found x share of the top scores) and spread (1 - Gini of hits)."""
+    """One row: chunks, chunks with a hit, distinct terms found, coverage (terms found x share of the top scores) and spread (1 - Gini of hits).
+
+    Chunks with equal counts of hits are one row of a histogram that also carries the sums; the rest works on it. The
+    top scores are a second pass.
+    """
     terms = sorted(set(goal))
-    ranked = scored.orderBy(F.desc("score"), "path", "first").limit(top).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("best"))
-    found = [F.max((F.get("hits", F.lit(k)) > 0).cast("int")) for k in range(len(terms))]
-    total = F.lit(0)
-    for f in found:
-        total = total + F.coalesce(f, F.lit(0))
-    whole = scored.agg(F.count("*").alias("chunks"), F.count_if(F.col("score") > 0).alias("covered"), total.cast("long").alias("terms"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("all"))
-    # Gini over counts of hits: chunks with equal counts are one row, so ranks come from a histogram.
-    sums = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
-    bars = scored.select(sums.alias("v")).where("v > 0").groupBy("v").agg(F.count("*").alias("m"))
-    upto = bars.withColumn("to", F.sum("m").over(Window.orderBy("v")))  # as many rows as distinct counts
-    ranks = (2 * F.col("to") - F.col("m") + 1) * F.col("m") / 2 * F.col("v")
-    gini = upto.agg(F.sum(ranks).alias("iv"), F.sum(F.col("m") * F.col("v")).alias("s"), F.sum("m").alias("k"))
-    spread = F.when((F.col("k") < 2) | F.col("k").isNull(), 0.0).otherwise(1 - (2 * F.col("iv") / (F.col("k") * F.col("s")) - (F.col("k") + 1) / F.col("k")))
-    both = whole.crossJoin(F.broadcast(ranked)).crossJoin(F.broadcast(gini))
+    best = scored.select("score", "path", "first").orderBy(F.desc("score"), "path", "first").limit(top).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("best"))
+    hits = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
+    found = [F.max(F.get("hits", F.lit(k)) > 0).alias(f"t{k}") for k in range(len(terms))]
+    bars = scored.select(hits.alias("v"), "score", "hits").groupBy("v").agg(
+        F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("c"), F.sum("score").alias("s"), *found
+    )
+    hit = F.when(F.col("v") > 0, F.col("m")).otherwise(0)
+    to = bars.withColumn("h", hit).withColumn("to", F.sum("h").over(Window.orderBy("v")))  # as many rows as distinct counts
+    ranks = (2 * F.col("to") - F.col("h") + 1) * F.col("h") / 2 * F.col("v")
+    n_terms = F.lit(0)
+    for k in range(len(terms)):
+        n_terms = n_terms + F.coalesce(F.max(F.col(f"t{k}").cast("int")), F.lit(0))
+    whole = to.agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("c"), F.lit(0)).alias("covered"), n_terms.cast("long").alias("terms"),
+        F.coalesce(F.sum("s"), F.lit(0.0)).alias("all"), F.sum(ranks).alias("iv"), F.sum(F.col("h") * F.col("v")).alias("total"), F.sum("h").alias("k"),
+    )
+    n = F.col("k")
+    spread = F.when(n >= 2, 1 - (2 * F.col("iv") / (n * F.col("total")) - (n + 1) / n)).otherwise(0.0)
     share = F.when(F.col("all") > 0, F.col("best") / F.col("all")).otherwise(0.0)
+    both = whole.crossJoin(F.broadcast(best))  # one row each
     return both.select("chunks", "covered", "terms", (F.col("terms") / F.lit(max(len(terms), 1)) * share).alias("coverage"), F.greatest(F.least(spread, F.lit(1.0)), F.lit(0.0)).alias("spread"))
 
 
