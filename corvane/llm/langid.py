@@ -24,7 +24,7 @@ UNKNOWN = "und"
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 32
 #: Texts are hashed together up to this many bytes, longer ones slice by slice.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def _counts(texts: list[str]) -> np.ndarray:
@@ -136,38 +136,58 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                pieces = [text] + [text[at : at + (1 << b)] for b in range(2, 11) if len(text) >= 1 << b for at in ((len(text) - (1 << b)) // 2,)]
+                pieces = [text] + [text[(len(text) - (1 << b)) // 2 :][: 1 << b] for b in range(2, 11) if len(text) >= 1 << b]
                 x = _counts(pieces)
+                at = [np.flatnonzero(r) for r in x]
                 yield pd.DataFrame(
-                    {"lang": lang, "whole": [True] + [False] * (len(pieces) - 1), "bin": _length_bins(pieces), "x": [r.tobytes() for r in x]}
-                )
+                    {
+                        "lang": lang, "whole": [True] + [False] * (len(pieces) - 1), "bin": _length_bins(pieces),
+                        "at": [k.astype(np.uint16).tobytes() for k in at], "n": [r[k].tobytes() for r, k in zip(x, at, strict=True)],
+                    }
+                )
 
-    table = materialize(sample.mapInPandas(features, "lang string, whole boolean, bin int, x binary"), "features")
+    table = materialize(sample.mapInPandas(features, "lang string, whole boolean, bin int, at binary, n binary"), "features")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIMS), 0
         for batch in batches:
-            for x in batch["x"]:
-                df += np.frombuffer(x, np.float32) > 0
+            for at in batch["at"]:
+                df[np.frombuffer(at, np.uint16)] += 1
                 n += 1
         yield pd.DataFrame({"n": [n], "df": [df.tobytes()]})
 
-    parts = table.where("whole").select("x").coalesce(8).mapInPandas(frequencies, "n long, df binary").collect()
+    parts = table.where("whole").select("at").coalesce(8).mapInPandas(frequencies, "n long, df binary").collect()
     df, n = sum(np.frombuffer(p["df"]) for p in parts), sum(p["n"] for p in parts)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _vectors(np.stack([np.frombuffer(v, np.float32) for v in pdf["x"]]), idf)
-        c = _cluster(x[pdf["whole"].to_numpy()], centroids)
-        best = (x @ c.T).max(1)
-        low = [float(best[pdf["bin"] == b].min()) if (pdf["bin"] == b).any() else -1.0 for b in range(13)]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [r.astype(np.float32).tobytes() for r in c], "low": [low] * len(c)})
-
-    found = sorted(table.groupBy("lang").applyInPandas(group, "lang string, c binary, low array<double>").collect())
-    low = np.array([r["low"] for r in found])
-    low = np.where(low < 0, np.inf, low).min(0)
-    least = np.where(np.isfinite(low), margin * low, 0.0)
-    return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["c"], np.float32) for r in found]), idf, least)
+        c = _cluster(_vectors(_dense(pdf), idf), centroids)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [r.astype(np.float32).tobytes() for r in c]})
+
+    found = sorted(table.where("whole").groupBy("lang").applyInPandas(group, "lang string, c binary").collect())
+    names, middle = [r["lang"] for r in found], np.stack([np.frombuffer(r["c"], np.float32) for r in found])
+    own = {name: middle[[k for k, x in enumerate(names) if x == name]].T for name in set(names)}
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                x = _vectors(_dense(part), idf)
+                best = [float((r @ own[lang]).max()) for r, lang in zip(x, part["lang"], strict=True)]
+                yield pd.DataFrame({"bin": part["bin"].to_numpy(), "cos": best})
+
+    lows = table.mapInPandas(cosines, "bin int, cos double").groupBy("bin").agg(F.min("cos").alias("low")).collect()
+    least = np.zeros(13)
+    for r in lows:
+        least[r["bin"]] = margin * r["low"]
+    return Model(names, middle, idf, least)
+
+
+def _dense(rows: pd.DataFrame) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for row, at, n in zip(out, rows["at"], rows["n"], strict=True):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
