@@ -30,7 +30,7 @@ MEMORY_WORDS = 300_000
 #: Bytes of text taken together.
 BATCH_BYTES = 2_000_000
 #: Pieces of one length that are ranked in one group.
-RANK_ROWS = 2_000
+RANK_ROWS = 500
 
 #: Byte kinds: 0 white space, 1 letters and digits, 2 marks that always part from those, 3 all else.
 _KIND = np.full(256, 3, np.uint8)
