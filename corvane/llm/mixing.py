@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality
     name = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
     clean = labels.dropna(subset=["doc_id", *columns]).select(F.col("doc_id").alias("_id"), name.alias("domain"))
     chosen = clean.orderBy(F.xxhash64("_id"), "_id", "domain").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("domain", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = pairs.groupBy("_id", "domain").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # repeated ids count once
 
     def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality
                 yield pd.DataFrame({"domain": batch["domain"].iloc[at : at + len(n)].to_numpy(), "bits": [b.tobytes() for b in np.packbits(bits, axis=1)]})
                 at += len(n)
 
-    found = sorted(rows.mapInPandas(bitmaps, "domain string, bits binary").limit(2 * fit_rows).collect())
+    found = sorted(rows.mapInPandas(bitmaps, "domain string, bits binary").collect())
     domains = sorted({r["domain"] for r in found})
     if len(domains) < 2:
         return Classifier(domains or ["all"], np.zeros((DIMS, 1)), np.zeros(1))
