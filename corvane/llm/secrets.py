@@ -64,9 +64,10 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "secret
 def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[tuple[Span, Span]]]:
     """Reported spans, by start then kind, and the links (identifier or endpoint, secret) found.
 
-    A scope is a run of lines without a blank line between. The interval join works on parts sorted by start: a
-    secret is linked to the nearest part of each complementary role on either side, within `reach` characters and
-    the same scope. A strong part is always reported; a weak one only if a link holds it.
+    A scope is a run of lines without a blank line between. The interval join links a secret to every identifier and
+    endpoint of its scope that ends or starts within `reach` characters of it; parts that overlap are one text, so no
+    link. Spans of a kind do not overlap: those in reach are two runs of their order. A strong part is always
+    reported; a weak one only if a link holds it.
     """
     if not text:
         return [], []
@@ -75,25 +76,18 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[tuple[S
     weak = [s for s in _weak_spans(text, low) if not any(s[0] < b and a < s[1] for a, b, k in strong if ROLE[k] == ROLE[s[2]])]
     if not weak and len(strong) < 2:
         return sorted(strong, key=_order), []
-    ends = [m.start() for m in _SCOPE_END.finditer(text)] if weak or len(strong) > 1 else []
-    by_role: dict[str, list[Span]] = {"id": [], "secret": [], "endpoint": []}
-    for span in sorted(strong + weak, key=_order):
-        by_role[ROLE[span[2]]].append(span)
+    ends = [m.start() for m in _SCOPE_END.finditer(text)]
+    spans = sorted(strong + weak, key=_order)
     links: list[tuple[Span, Span]] = []
-    for role in ("id", "endpoint"):
-        others = by_role[role]
+    for kind in ("access", "id", "endpoint"):
+        others = [s for s in spans if s[2] == kind]
         if not others:
             continue
-        starts = [o[0] for o in others]
-        for secret in by_role["secret"]:
-            at = bisect_right(starts, secret[0])
-            for k in (at - 1, at):
-                if 0 <= k < len(others):
-                    other = others[k]
-                    gap = max(other[0] - secret[1], secret[0] - other[1])
-                    same = bisect_left(ends, secret[0]) == bisect_left(ends, other[0])
-                    if 0 <= gap <= reach and same and (secret[2] in STRONG or role == "id" or other[2] in STRONG):
-                        links.append((other, secret))
+        starts, stops = [o[0] for o in others], [o[1] for o in others]
+        for secret in (s for s in spans if ROLE[s[2]] == "secret"):
+            a, b, _ = secret
+            near = others[bisect_left(stops, a - reach) : bisect_right(stops, a)] + others[bisect_left(starts, b) : bisect_right(starts, b + reach)]
+            links += [(o, secret) for o in near if bisect_left(ends, o[0]) == bisect_left(ends, a)]
     held = {s for pair in links for s in pair}
     return sorted(strong + [s for s in weak if s in held], key=_order), links
 

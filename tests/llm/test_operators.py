@@ -365,6 +365,29 @@ def test_op8_links():
     assert kinds(f"AKIA{'A' * 16} {weak}") == ["access", "secret"]
 
 
+def test_op8_links_all_parts_in_reach():
+    weak = "Zx9Qw8Er7Ty6Ui5Op4As"
+    kinds = lambda t: [k for _, _, k in secrets.scan(t)[0]]
+    text = f"username=alice01\naccount=acct-1234\nAKIA{'A' * 16}\npassword=hunter22"
+    assert kinds(text) == ["id", "id", "access", "assign"] and len(secrets.scan(text)[1]) == 3
+    assert kinds("host=db.example.com https://h.io/?token=abcdef12") == ["endpoint", "assign"]
+    assert kinds(f"https://db.example.com/x {weak}") == ["endpoint", "secret"]
+    assert kinds(f"https://db.example.com/{weak}") == []
+    rng = np.random.default_rng(1)
+    bits = ["user=bob1 ", "account=acct-1 ", "AKIA" + "Q" * 16 + " ", "password=hunter22 ", weak + " ", "https://h.io/?token=abcdef12 ", "host=db1 ", "\n\n", ". " * 40, "0123456789abcdef01234567 "]
+    for _ in range(1000):
+        text = "".join(rng.choice(bits, rng.integers(2, 14)))
+        strong = secrets.base_spans(text)
+        weaker = [s for s in secrets._weak_spans(text, text.lower()) if not any(s[0] < b and a < s[1] and secrets.ROLE[k] == secrets.ROLE[s[2]] for a, b, k in strong)]
+        want = {
+            (o, s) for o in strong + weaker for s in strong + weaker
+            if secrets.ROLE[s[2]] == "secret" != secrets.ROLE[o[2]] and 0 <= max(o[0] - s[1], s[0] - o[1]) <= 200 and "\n\n" not in text[min(o[0], s[0]) : max(o[0], s[0])]
+        }
+        spans, links = secrets.scan(text)
+        assert set(links) == want and len(links) == len(want), text
+        assert set(spans) == set(strong) | {x for pair in want for x in pair}
+
+
 def test_op8_redaction(spark):
     df = spark.createDataFrame([(1, "a token = abcdefgh b", 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [(r["text"], r["n_chars"]) for r in secrets.redact(df).orderBy("doc_id").collect()] == [("a [REDACTED] b", 14), (None, None), ("clean", 5)]
