@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ DIMS = 4096
 CENTROIDS = 3
 #: Bound of the fitting sample: distinct texts for each label. All labelled rows can be in it; hashes choose.
 FIT_ROWS = 600
-#: A text is rejected below this share of the smallest cosine that fitting fragments of its length had.
-MARGIN = 0.6
+#: A text is rejected below this quantile of the cosines that a label's held-out fragments of its length had.
+QUANTILE = 0.005
 ROUNDS = 12
 UNKNOWN = "und"
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -81,7 +82,7 @@ def _length_bins(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """languages and their centroids (rows), inverse document frequencies, smallest accepted cosine by length bin."""
+    """languages and their centroids (rows), inverse document frequencies, smallest accepted cosine by row and length bin."""
 
     def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, least: np.ndarray):
         self.languages, self.centroids, self.idf, self.least = languages, centroids, idf, least
@@ -96,7 +97,7 @@ class Model:
             score = cos[np.arange(len(part)), best].astype(float).clip(0, 1)
             names += [self.languages[k] for k in best]
             scores.append(score)
-            rejected.append(score < self.least[_length_bins(part)])
+            rejected.append(score < self.least[best, _length_bins(part)])
         return names, np.concatenate(scores or [np.zeros(0)]), np.concatenate(rejected or [np.zeros(0, bool)])
 
 
@@ -116,12 +117,13 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, margin: float = MARGIN) -> Model | None:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, quantile: float = QUANTILE) -> Model | None:
     """(text, lang) -> Model, from at most `fit_rows` distinct texts of each label; None if no text has a label.
 
     Null texts and labels and texts without a letter are left out. The sample takes the texts of smallest hash among
     those under a threshold that follows the label's count, so copies of one text count once. Clustering runs on the
     executors, one label a group; the driver gets document frequencies, centroids and cosines: labels x centroids x DIMS.
+    Fragments are held out by halves: their cosines are to centroids of the label's texts of the other half.
     """
     rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
     sizes = [(r["lang"], min(1.0, 4.0 * fit_rows / r["n"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
@@ -136,17 +138,17 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                pieces = [text] + [text[(len(text) - (1 << b)) // 2 :][: 1 << b] for b in range(2, 11) if len(text) >= 1 << b]
+                pieces = [text] + [text[(len(text) - (1 << b)) // 2 :][: 1 << b] for b in range(2, 13) if len(text) >= 1 << b]
                 x = _counts(pieces)
                 at = [np.flatnonzero(r) for r in x]
                 yield pd.DataFrame(
                     {
-                        "lang": lang, "whole": [True] + [False] * (len(pieces) - 1), "bin": _length_bins(pieces),
+                        "lang": lang, "whole": [True] + [False] * (len(pieces) - 1), "bin": _length_bins(pieces), "half": zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1,
                         "at": [k.astype(np.uint16).tobytes() for k in at], "n": [r[k].tobytes() for r, k in zip(x, at, strict=True)],
                     }
                 )
 
-    table = materialize(sample.mapInPandas(features, "lang string, whole boolean, bin int, at binary, n binary"), "features")
+    table = materialize(sample.mapInPandas(features, "lang string, whole boolean, bin int, half int, at binary, n binary"), "features")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIMS), 0
@@ -161,25 +163,35 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = _cluster(_vectors(_dense(pdf), idf), centroids)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [r.astype(np.float32).tobytes() for r in c]})
-
-    found = sorted(table.where("whole").groupBy("lang").applyInPandas(group, "lang string, c binary").collect())
-    names, middle = [r["lang"] for r in found], np.stack([np.frombuffer(r["c"], np.float32) for r in found])
-    own = {name: middle[[k for k, x in enumerate(names) if x == name]].T for name in set(names)}
+        x, half = _vectors(_dense(pdf), idf), pdf["half"].to_numpy()
+        parts = [(-1, x)] + [(k, x[half != k]) for k in (0, 1)]
+        rows = [(k, r.astype(np.float32).tobytes()) for k, part in parts if len(part) for r in _cluster(part, centroids)]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "half": [k for k, _ in rows], "c": [c for _, c in rows]})
+
+    found = sorted(table.where("whole").groupBy("lang").applyInPandas(group, "lang string, half int, c binary").collect())
+    centres = {(lang, half): [] for lang, half, _ in found}
+    for lang, half, c in found:
+        centres[lang, half].append(np.frombuffer(c, np.float32))
+    names = [lang for lang, half, _ in found if half == -1]
+    middle = np.stack([c for (_, half), cs in centres.items() if half == -1 for c in cs])
+    own = {key: np.stack(cs).T for key, cs in centres.items()}
 
     def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.iloc[k : k + 256]
                 x = _vectors(_dense(part), idf)
-                best = [float((r @ own[lang]).max()) for r, lang in zip(x, part["lang"], strict=True)]
-                yield pd.DataFrame({"bin": part["bin"].to_numpy(), "cos": best})
-
-    lows = table.mapInPandas(cosines, "bin int, cos double").groupBy("bin").agg(F.min("cos").alias("low")).collect()
-    least = np.zeros(13)
-    for r in lows:
-        least[r["bin"]] = margin * r["low"]
+                # A label whose texts are all of one half has no others to be held out from.
+                to = [own.get((lang, half), own[lang, -1]) for lang, half in zip(part["lang"], part["half"], strict=True)]
+                best = [float((r @ c).max()) for r, c in zip(x, to, strict=True)]
+                yield pd.DataFrame({"lang": part["lang"].to_numpy(), "bin": part["bin"].to_numpy(), "cos": best})
+
+    low = F.percentile("cos", F.lit(quantile)).alias("low")
+    lows = {(r["lang"], r["bin"]): r["low"] for r in table.mapInPandas(cosines, "lang string, bin int, cos double").groupBy("lang", "bin").agg(low).collect()}
+    least = np.zeros((len(names), 13))
+    for row, lang in zip(least, names, strict=True):
+        for b in range(13):  # a length without fragments takes the bound of the next shorter one
+            row[b] = lows.get((lang, b), row[b - 1] if b else 0.0)
     return Model(names, middle, idf, least)
 
 

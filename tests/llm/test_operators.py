@@ -330,6 +330,19 @@ def test_op7_hard_rows(spark, hard, none, documents):
     assert kept == 0
 
 
+def test_op7_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null")
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = [(k, " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(200))) for k in range(40)]
+    model = langid.fit(docs.where("lang <> 'es'"))
+    assert langid.predict(spark.createDataFrame(noise, "doc_id long, text string"), model).where("rejected").count() >= 38
+    left_out = langid.predict(docs.where("lang = 'es' and length(text) >= 512"), model)
+    assert left_out.where("not rejected").count() == 0 < left_out.count()
+    clean = langid.predict(docs.where("lang <> 'es'"), model)
+    assert clean.where("rejected").count() <= 0.02 * clean.count()
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A | re.I):
