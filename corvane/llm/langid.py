@@ -120,20 +120,21 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, quantile: float = QUANTILE) -> Model | None:
     """(text, lang) -> Model, from at most `fit_rows` distinct texts of each label; None if no text has a label.
 
-    Null texts and labels and texts without a letter are left out. The sample takes the texts of smallest hash among
-    those under a threshold that follows the label's count, so copies of one text count once. Clustering runs on the
+    Null texts and labels and texts without a letter are left out. The sample takes the texts of a label's
+    `fit_rows` smallest distinct hashes, whatever the number of copies. Clustering runs on the
     executors, one label a group; the driver gets document frequencies, centroids and cosines: labels x centroids x DIMS.
     Fragments are held out by halves: their cosines are to centroids of the label's texts of the other half.
     """
     rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    sizes = [(r["lang"], min(1.0, 4.0 * fit_rows / r["n"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    if not sizes:
+    mark = F.xxhash64("text").alias("mark")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark")).alias("k")
+    least = rows.select("lang", mark).distinct().select("lang", "mark", rank).where(F.col("k") <= fit_rows)
+    bounds = [(r["lang"], r["most"]) for r in least.groupBy("lang").agg(F.max("mark").alias("most")).collect()]
+    if not bounds:
         return None
-    share = F.create_map(*[F.lit(v) for pair in sizes for v in pair])
-    mark = F.xxhash64("text")
-    near = rows.withColumn("mark", mark).where((F.col("mark").bitwiseAND(0x7FFFFFFF) / 2.0**31) < F.element_at(share, F.col("lang")))
-    ranked = near.dropDuplicates(["lang", "mark"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark")))
-    sample = ranked.where(F.col("k") <= fit_rows).select("lang", "text")
+    most = F.create_map(*[F.lit(v) for pair in bounds for v in pair])
+    near = rows.select("*", mark).where(F.col("mark") <= F.element_at(most, F.col("lang")))
+    sample = near.dropDuplicates(["lang", "mark"]).select("lang", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

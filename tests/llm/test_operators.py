@@ -343,6 +343,14 @@ def test_op7_rejects_what_was_not_learned(spark):
     assert clean.where("rejected").count() <= 0.02 * clean.count()
 
 
+def test_op7_fit_counts_distinct_texts(spark):
+    texts = [(f"der kleine hund {prose(20, k)}", "de") for k in range(3)] + [(f"le petit chien {prose(20, 9 + k)}", "fr") for k in range(3)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    many = df.where("lang = 'de'").crossJoin(spark.range(20_000)).select("text", "lang").unionAll(df.where("lang = 'fr'"))
+    model, plain = langid.fit(many, fit_rows=3), langid.fit(df, fit_rows=3)
+    assert set(model.languages) == {"de", "fr"} and np.allclose(model.idf, plain.idf)
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A | re.I):
