@@ -155,7 +155,7 @@ def test_op4_round_trip(spark, documents, hard, none):
 def test_op4_filters_and_damage(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 256, (37, 64), dtype=np.uint8)
-    for kinds in (0, 1, 2, rng.integers(0, 3, 37)):
+    for kinds in (None, 0, 1, 2, 3, 4, rng.integers(0, 5, 37)):
         assert (media.decode_png(media.encode_png(x, kinds)) == x).all()
     lines = np.zeros((5, 65), np.uint8)
     lines[:, 0] = [0, 3, 4, 3, 4]
@@ -175,6 +175,39 @@ def test_op4_filters_and_damage(spark):
     assert [r["damaged"] for r in media.features(df).orderBy("doc_id").collect()] == [False, True, True, True]
 
 
+def test_op4_rows_choose_filters_and_long_images():
+    smooth = (np.add.outer(np.arange(90), np.arange(64)) * 3 % 256).astype(np.uint8)
+    text = np.frombuffer(media.payload(prose(9000, 5)), np.uint8).reshape(-1, media.WIDTH)
+    pictures = [smooth, text, text[:1], np.zeros((3, 64), np.uint8), text[:, :32].copy()]
+    stored = [media.encode_png(p) for p in pictures]
+    assert len({int(k) for k in media.read_png(stored[1])[:, 0]}) > 2
+    for got, want in zip(media.decode_all([*stored, b"junk"]), [*pictures, None], strict=True):
+        assert (got is None and want is None) or (got == want).all()
+    block, media.BLOCK = media.BLOCK, 7
+    assert media.encode_png(text) == stored[1]
+    media.BLOCK = block
+
+
+def test_op4_cosine_hash_by_hand():
+    rng = np.random.default_rng(7)
+    for shape in ((64, 64), (32, 32), (5, 64), (1, 64), (100, 64)):
+        x = rng.integers(0, 256, shape, dtype=np.uint8)
+        small = np.zeros((32, 32))
+        for i in range(32):
+            for j in range(32):
+                rows, columns = (slice(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1)) for k, n in zip((i, j), shape, strict=True))
+                small[i, j] = x[rows, columns].mean()
+        low = np.array([
+            sum(small[a, b] * np.cos(np.pi * u * (2 * a + 1) / 64) * np.cos(np.pi * v * (2 * b + 1) / 64) for a in range(32) for b in range(32))
+            for u in range(8) for v in range(8)
+        ])
+        clear = np.abs(low - np.median(low[1:])) > 1
+        got = np.unpackbits(np.frombuffer(media.cosine_hash(x), np.uint8)).astype(bool)
+        assert (got == (low > np.median(low[1:])))[clear].all() and clear.sum() > (50 if shape[0] > 1 else 5)
+    flat = np.full((9, 64), 77, np.uint8)
+    assert media.cosine_hash(flat) == media.cosine_hash(flat.copy()) and len(media.cosine_hash(flat)) == 8
+
+
 def brute_components(fps, ids, distance):
     u = np.unique(fps)
     parent = list(range(len(u)))
