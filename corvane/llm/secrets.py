@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import fresh
+
 #: Characters between the ends of two parts that may belong together.
 REACH = 200
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
@@ -19,10 +22,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-#: Weak parts: an account identifier, a token of mixed kinds, an endpoint.
+#: Weak parts: an account identifier, a token of mixed kinds, an endpoint (schemes of 32 characters at most, so that each
+#: place of a text is tried in bounded time).
 _ID = re.compile(r"""\b(?:client_?id|access_?key_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{4,})""", re.A | re.I)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,})""", re.A | re.I)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{0,31}://[^\s"'<>]+|(?:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,})""", re.A | re.I)
 _SCOPE_END = re.compile(r"\n[\x20\t]*\n")
 _TO_HEX = bytes.maketrans(bytes(range(256)), bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256)))
 
@@ -57,6 +61,19 @@ def _weak_spans(text: str, low: str) -> list[Span]:
     return found
 
 
+def _apart(weak: list[Span], strong: list[Span]) -> list[Span]:
+    """Weak spans that no strong span of the same role overlaps, by one sorted pass over each."""
+    kept = []
+    for role in ("id", "secret", "endpoint"):
+        held = sorted(s for s in strong if ROLE[s[2]] == role)
+        starts, furthest = [s[0] for s in held], list(accumulate((s[1] for s in held), max))
+        for s in (w for w in weak if ROLE[w[2]] == role):
+            k = bisect_left(starts, s[1])  # strong ones that begin before its end
+            if not k or furthest[k - 1] <= s[0]:
+                kept.append(s)
+    return kept
+
+
 #: What each kind of part is: an identifier, a secret or an endpoint.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
 
@@ -73,7 +90,7 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[tuple[S
         return [], []
     strong = base_spans(text)
     low = text.lower()
-    weak = [s for s in _weak_spans(text, low) if not any(s[0] < b and a < s[1] for a, b, k in strong if ROLE[k] == ROLE[s[2]])]
+    weak = _apart(_weak_spans(text, low), strong)
     if not weak and len(strong) < 2:
         return sorted(strong, key=_order), []
     ends = [m.start() for m in _SCOPE_END.finditer(text)]
@@ -103,8 +120,8 @@ def joined(spans: list[Span]) -> str:
 def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """docs with `secrets`: array of (kind, start, end, text), code points, end exclusive; and `links`.
 
-    A null or empty text has none. Whole texts; every row stays, repeated rows too; other columns are kept, but for
-    those two names.
+    A null or empty text has none. Whole texts of any length; every row stays, repeated rows too; other columns are kept,
+    but for those two names. An empty table gives an empty result.
     """
 
     @F.pandas_udf("secrets array<struct<kind string, start int, stop int, value string>>, links array<struct<part int, secret int>>")
@@ -116,11 +133,16 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
             pairs.append([{"part": a[0], "secret": b[0]} for a, b in p])
         return pd.DataFrame({"secrets": spans, "links": pairs})
 
-    return docs.withColumn("_found", found(docs["text"])).withColumns({"secrets": F.col("_found.secrets"), "links": F.col("_found.links")}).drop("_found")
+    (held,) = fresh(docs, "found")
+    return docs.withColumn(held, found(docs["text"])).withColumns({"secrets": F.col(f"{held}.secrets"), "links": F.col(f"{held}.links")}).drop(held)
 
 
 def redact(docs: DataFrame, reach: int = REACH, mask: str = "[REDACTED]") -> DataFrame:
-    """docs with every reported span of text replaced by the mask (overlaps merged); n_chars follows where there is one."""
+    """docs with every reported span of text replaced by the mask (overlaps merged); n_chars follows where there is one.
+
+    A null text stays null, an empty one empty. Every row stays, repeated rows alike, and so do all other columns,
+    whatever their names; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
