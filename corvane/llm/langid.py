@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import materialize
+from corvane.llm.shared import fresh, materialize
 
 #: Buckets of hashed byte 2- and 3-grams.
 DIMS = 4096
@@ -217,14 +217,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     letters = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    marked = docs.withColumn("_guess", guess(F.coalesce("text", F.lit(""))))
+    (held,) = fresh(docs, "guess")
+    marked = docs.withColumn(held, guess(F.coalesce("text", F.lit(""))))
     return marked.withColumns(
         {
-            "lang_pred": F.when(letters, F.col("_guess.lang")).otherwise(UNKNOWN),
-            "score": F.when(letters, F.col("_guess.score")).otherwise(0.0),
-            "rejected": F.when(letters, F.col("_guess.rejected")).otherwise(True),
+            "lang_pred": F.when(letters, F.col(f"{held}.lang")).otherwise(UNKNOWN),
+            "score": F.when(letters, F.col(f"{held}.score")).otherwise(0.0),
+            "rejected": F.when(letters, F.col(f"{held}.rejected")).otherwise(True),
         }
-    ).drop("_guess")
+    ).drop(held)
 
 
 def held_out(doc_id="doc_id", folds: int = 5):
