@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import materialize, spread_join
+
 RULES = "host string, path string, action string"
 ALLOW, BLOCK = "allow", "block"
 #: Hex digits of the digest that rows and rules are joined on.
@@ -65,8 +67,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataF
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame:
     """(page_id, url) -> (page_id, url, host, path, rule, verdict), a row for each input row; other columns are ignored.
 
-    Each distinct url is judged once, so a url that a third of all pages share is no more work than another.
+    Each distinct url is judged once, and a url that very many pages share is joined by broadcast (spread_join), so it
+    is no more work than another. Pages with a null url are judged in place, without a join.
     """
-    judged = judge_urls(pages, rules, default).withColumnRenamed("url", "own_url")
     rows = pages.select("page_id", "url")
-    return rows.join(judged, rows["url"].eqNullSafe(judged["own_url"])).select("page_id", "url", "host", "path", "rule", "verdict")
+    counts = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n_rows"))
+    judged = materialize(judge_urls(counts.select("url"), rules, default).join(counts, "url"), "judged")
+    told = spread_join(rows, judged, "url", "n_rows", pages.count())
+    none = rows.where("url is null").withColumns({"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    columns = ["page_id", "url", "host", "path", "rule", "verdict"]
+    return told.select(*columns).unionAll(none.select(*columns))
