@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import connected_components, materialize
+from corvane.llm.shared import connected_components, materialize, spread_join
 
 SEED = 42
 WIDTH = 4
@@ -262,13 +262,15 @@ def components(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) ->
     hashed = materialize(
         docs.select("doc_id", fingerprint_column(docs["text"], width).alias("code"), F.xxhash64("text").alias("text_hash")), "codes"
     )
-    least = hashed.groupBy("code").agg(F.min("doc_id").alias("least"))
-    links = near_links(least.select("code"), distance)
-    roots = connected_components(links).select(F.col("node").alias("code"), "root")
-    placed = least.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("code", "root", "component_id")
-    return hashed.join(named, "code").select(
+    total = hashed.count()
+    least = materialize(hashed.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "least")
+    roots = connected_components(near_links(least.select("code"), distance)).select(F.col("node").alias("code"), "root")
+    linked = least.join(roots, "code")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_codes"))
+    named = spread_join(linked, ids, "root", "n_codes", total).select("code", "root", "component_id", "n_rows")
+    alone = least.join(roots, "code", "left_anti").select("code", F.col("code").alias("root"), F.col("least").alias("component_id"), "n_rows")
+    named = materialize(named.unionAll(alone), "named")
+    return spread_join(hashed, named, "code", "n_rows", total).select(
         "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root"
     )
 
