@@ -189,90 +189,117 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
+class SumIndex:
+    """Single, pair and triple sums of the given lengths, under counts that only fall.
+
+    For each sum up to the capacity, `pairs` holds the larger halves of the pairs that make it, largest first, built
+    once; `at` points to the first that is still to be had. A triple is a length and a pair of the rest, so its sums
+    are found in the same tables: `third` holds for each sum the largest length that may still be part of a triple.
+    As counts only fall, what is passed over once never comes back, and all pointers together move a bounded number of times.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        for k, n in counts.items():
+            self.left[k] = n
+        lengths = np.flatnonzero(self.left)
+        self.pairs = [np.zeros(0, np.int16)] * 2
+        for total in range(2, capacity + 1):
+            x = lengths[(2 * lengths >= total) & (lengths < total)]
+            self.pairs.append(x[self.left[total - x] > 0][::-1].astype(np.int16))
+        self.at = [0] * (capacity + 1)
+        self.lengths = lengths[::-1].tolist()
+        self.third = np.searchsorted(-lengths[::-1], 2 - np.arange(capacity + 1)).tolist()
+
+    def _live(self, total: int, begin: int, used: int = 0) -> int:
+        """Index of the first pair from `begin` on that is to be had beside one piece of length `used`; the number of pairs if none is."""
+        x = self.pairs[total][begin:]
+        y = total - x
+        left_x, left_y = self.left[x] - (x == used), self.left[y] - (y == used)
+        live = (left_x > 0) & (left_y > (x == y))
+        return begin + int(live.argmax()) if live.any() else len(self.pairs[total])
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The pair that makes total, its larger half as large as can be."""
+        if total < 2:
+            return None
+        at = self.at[total] = self._live(total, self.at[total])
+        if at == len(self.pairs[total]):
+            return None
+        x = int(self.pairs[total][at])
+        return x, total - x
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """A triple that makes total, its largest part as large as can be."""
+        while self.third[total] < len(self.lengths):
+            x = self.lengths[self.third[total]]
+            if 3 * x < total:
+                return None
+            rest = total - x
+            if self.left[x] and self.pair(rest):
+                begin = max(self.at[rest], int(np.searchsorted(-self.pairs[rest], -x)))
+                at = self._live(rest, begin, x)
+                if at < len(self.pairs[rest]):
+                    y = int(self.pairs[rest][at])
+                    return x, y, rest - y
+            self.third[total] += 1
+        return None
+
+    def complement(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that make total exactly."""
+        if self.left[total] > 0:
+            return (total,)
+        return self.pair(total) or self.triple(total)
+
+
 class Plan:
     """Rows (length, first_rank, last_rank, first_sequence, place): the piece of rank r goes to first_sequence + r - first_rank."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.left = defaultdict(int, {k: v for k, v in counts.items() if v})
+        self.sums = SumIndex({k: v for k, v in counts.items() if v}, capacity)
         self.used: dict[int, int] = defaultdict(int)
-        self.capacity, self.rows, self.sequences = capacity, [], 0
-        self.bits = sum(1 << k for k in self.left)
+        self.rows, self.sequences = [], 0
 
     def take(self, length: int, n: int, sequence: int, place: int) -> None:
         at = self.used[length]
         self.rows.append((length, at, at + n - 1, sequence, place))
         self.used[length] += n
-        self.left[length] -= n
-        if not self.left[length]:
-            self.bits &= ~(1 << length)
-
-    def two(self, gap: int, below: int) -> tuple[int, int] | None:
-        """The two available lengths whose sum is gap, the larger as large as can be."""
-        both, x = self.bits & ((1 << below + 1) - 1), 0
-        while both:
-            x = both.bit_length() - 1
-            if 2 * x < gap:
-                return None
-            y = gap - x
-            if y > 0 and self.left[y] > (x == y):
-                return x, y
-            both &= ~(1 << x)
-        return None
-
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to gap exactly."""
-        if self.left.get(gap):
-            return (gap,)
-        if found := self.two(gap, gap - 1):
-            return found
-        rest = self.bits & ((1 << max(gap - 1, 0)) - 1)
-        while rest:
-            x = rest.bit_length() - 1
-            if 3 * x < gap:
-                return None
-            found = self.two(gap - x, min(x, gap - x - 1))
-            if found and (found[0] != x or self.left[x] > 1 + (found[1] == x)):
-                return x, *found
-            rest &= ~(1 << x)
-        return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The plan's rows and the number of sequences, from the number of pieces of each length (1 to capacity)."""
+    """The plan's rows and the number of sequences, from the number of pieces of each length (1 to capacity).
+
+    From the longest length on, the complement of a sequence is looked up among single lengths, pairs and triples, and
+    taken as often as the counts of its parts allow; lengths without a complement go best-fit into open gaps.
+    """
     p = Plan(counts, capacity)
+    left = p.sums.left
     odd: list[tuple[int, int]] = []
-    while p.bits:
-        top = p.bits.bit_length() - 1
-        n = p.left[top]
-        if top == capacity:
-            p.take(top, n, p.sequences, 0)
-            p.sequences += n
-            continue
-        p.left[top] -= 1  # one at least opens the sequence
-        if not p.left[top]:
-            p.bits &= ~(1 << top)
-        found = p.complement(capacity - top)
-        p.left[top] += 1
-        p.bits |= 1 << top
-        if not found:
-            odd.append((top, n))
-            p.left[top] = 0
-            p.bits &= ~(1 << top)
-            continue
-        need: dict[int, int] = defaultdict(int)
-        for x in (top, *found):
-            need[x] += 1
-        times = min(p.left[x] // k for x, k in need.items())
-        place = 0
-        for x in (top, *found):
-            p.take(x, times, p.sequences, place)
-            place += x
-        p.sequences += times
+    for top in sorted((k for k, v in counts.items() if v), reverse=True):
+        while n := int(left[top]):
+            if top == capacity:
+                left[top] = 0
+                p.take(top, n, p.sequences, 0)
+                p.sequences += n
+                break
+            left[top] -= 1  # one at least opens the sequence
+            found = p.sums.complement(capacity - top)
+            left[top] = 0 if found is None else n
+            if found is None:
+                odd.append((top, n))
+                break
+            parts = (top, *found)
+            times = min(int(left[x]) // parts.count(x) for x in parts)
+            place = 0
+            for x in parts:
+                left[x] -= times
+                p.take(x, times, p.sequences, place)
+                place += x
+            p.sequences += times
     # Best fit for the rest: gap -> runs (first sequence, number, filled), the fullest sequences first.
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
     open_bits = 0
     for length, n in odd:
-        p.left[length] = n
         while n:
             fits = open_bits >> length
             if fits:
@@ -324,5 +351,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, cut and pack; the pieces (numbers only, no ids) are written once between the two passes over them."""
+    """Tokenise, cut and pack; the pieces (numbers only, no ids) are written once between the two passes over them.
+
+    A null or empty text is the end id alone; a text of any length is cut, never dropped; repeated rows and null ids are
+    pieces of their own. Only doc_id and text are read, so other columns may have any name; an empty table gives no row.
+    """
     return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)

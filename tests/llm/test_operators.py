@@ -526,3 +526,22 @@ def test_op10_examples(spark):
     got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_examples(df)).collect()}
     assert got == {1: 5, None: 1, 2: 3}
     assert chat.digests(chat.format_examples(df.limit(0))).collect() == []
+
+
+def test_op6_sum_index_finds_what_brute_force_finds():
+    from itertools import combinations_with_replacement
+
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        counts = Counter(rng.integers(1, 40, rng.integers(1, 12)).tolist())
+        index = packing.SumIndex(dict(counts), 64)
+        for _ in range(25):
+            total = int(rng.integers(1, 65))
+            live = Counter({k: int(n) for k, n in enumerate(index.left) if n})
+            found = index.complement(total)
+            every = [c for m in (1, 2, 3) for c in combinations_with_replacement(sorted(live), m) if sum(c) == total and not Counter(c) - live]
+            assert bool(every) == (found is not None), (counts, total)
+            if found:
+                assert tuple(sorted(found)) in every and len(found) == len(every[0])
+                for x in found:
+                    index.left[x] -= 1
