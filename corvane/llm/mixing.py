@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import materialize
+from corvane.llm.shared import fresh, materialize
 
 #: Buckets of hashed words; a text's features are the buckets it has.
 DIMS = 1 << 15
@@ -18,8 +19,10 @@ DIMS = 1 << 15
 FIT_ROWS = 6_000
 EPOCHS = 120
 DECAY = 3e-5
-STEPS = 25
+#: Expected totals meet their targets within this share of all tokens, or the gap that is left is reported.
 TOLERANCE = 1e-4
+#: Steps end without that if the last STALL of them did not lessen the largest gap by a hundredth: targets out of reach.
+STALL = 8
 SLICE = 2_000_000
 #: Target token shares by (quality, toxic) for the registered query and the pipeline.
 TARGETS = {"quality=1,toxic=0": 0.93, "quality=0,toxic=0": 0.04, "quality=1,toxic=1": 0.025, "quality=0,toxic=1": 0.005}
@@ -156,15 +159,21 @@ def fit(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality
     return Classifier(domains, weights.astype(np.float32), bias)
 
 
-def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_hash, n_tokens, p): words of the whole text and its domain posteriors; null text: no word."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+def membership(spark: SparkSession, classifier: Classifier):
+    """The column function text -> (n_tokens, p): words of the whole text and its domain posteriors."""
+    shared = spark.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("n_tokens long, p array<double>")
     def soft(texts: pd.Series) -> pd.DataFrame:
         p, n = shared.value.posteriors(texts.tolist())
         return pd.DataFrame({"n_tokens": n, "p": list(p)})
 
+    return soft
+
+
+def members(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text_hash, n_tokens, p): words of the whole text and its domain posteriors; null text: no word."""
+    soft = membership(docs.sparkSession, classifier)
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), soft(F.coalesce("text", F.lit(""))).alias("m"))
     return found.select("doc_id", "text_hash", "m.n_tokens", "m.p")
 
@@ -180,12 +189,22 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def solve(table: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> tuple[Column, dict[str, float]]:
-    """The rate column over (n_tokens, p), and the expected tokens of each domain under it.
+@dataclass(frozen=True)
+class Totals:
+    """Of each domain: the tokens wanted and those expected under the rates; `met` if no gap exceeds the tolerance."""
+
+    wanted: dict[str, float]
+    expected: dict[str, float]
+    met: bool
+
+
+def solve(table: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> tuple[Column, Totals]:
+    """The rate column over (n_tokens, p), and the tokens of each domain wanted and expected under it.
 
     Minimises the squared, whitened residual of expected domain totals against budget x target share over rates r >= 0,
     from r = 1. With residuals whitened by G = sum n p p' and documents measured by their tokens, the gradient's
     Lipschitz constant is 1, so full steps converge. A step is one aggregation to as many numbers as there are domains.
+    Targets that no rates can meet (a domain of no document) end where steps no longer help, and the totals say so.
     budget: the tokens wanted (None: as many as there are). Domains without a target keep their share of the rest.
     """
     size = len(domains)
@@ -195,7 +214,7 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], budge
     total = float(first["n"])
     gram = np.array([[first[f"g{max(i, j)}_{min(i, j)}"] for j in range(size)] for i in range(size)])
     if not total:
-        return F.lit(1.0), dict.fromkeys(domains, 0.0)
+        return F.lit(1.0), Totals(dict.fromkeys(domains, 0.0), dict.fromkeys(domains, 0.0), True)
     natural = gram.sum(1)
     wanted = np.array([targets.get(d, np.nan) for d in domains], float)
     free = np.isnan(wanted)
@@ -205,35 +224,53 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], budge
     goal = wanted / max(wanted.sum(), 1e-9) * (budget or total)
     whiten = np.linalg.pinv(gram + 1e-9 * total * np.eye(size))
     steps: list[np.ndarray] = []
-    for _ in range(STEPS + 1):
+    gaps: list[float] = []
+    while True:
         got = table.select(n.alias("n_tokens"), "p", _rate(steps).alias("r")).agg(*[F.sum(F.col("r") * n * p[k]).alias(f"t{k}") for k in range(size)]).first()
         expected = np.array([got[f"t{k}"] for k in range(size)], float)
-        gap = expected - goal
-        if np.abs(gap).max() <= TOLERANCE * total or len(steps) == STEPS:
+        gaps.append(float(np.abs(expected - goal).max()))
+        met = gaps[-1] <= TOLERANCE * total
+        if met or (len(gaps) > STALL and min(gaps[-STALL:]) > 0.99 * min(gaps[:-STALL])):
             break
-        steps.append(whiten @ gap)
-    return _rate(steps), dict(zip(domains, expected.tolist(), strict=True))
+        steps.append(whiten @ (expected - goal))
+    return _rate(steps), Totals(dict(zip(domains, goal.tolist(), strict=True)), dict(zip(domains, expected.tolist(), strict=True)), met)
+
+
+def _copies(rate: Column, *row: Column | str) -> Column:
+    """The rate rounded to a neighbouring whole number so that its mean is the rate: the fraction is the chance, by a hash of the row."""
+    chance = F.pmod(F.xxhash64(*row, F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    return F.floor(rate + chance).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget_share: float = 1.0) -> tuple[DataFrame, list[str], dict[str, float]]:
-    """docs and labels -> ((doc_id, text_hash, n_tokens, p, rate, copies), domains, expected tokens by domain).
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget_share: float = 1.0) -> tuple[DataFrame, list[str], Totals]:
+    """docs and labels -> ((doc_id, text_hash, n_tokens, p, rate, copies), domains, totals by domain), a row for each of docs.
 
-    copies is the rate rounded to a neighbouring whole number so that its mean is the rate: the fraction is the chance,
-    by a hash of the row. Repeated rows have equal rates. A text without words has rate 1.
+    Repeated rows have equal rates and copies. A null text, like one without words, has no tokens and rate 1. Without
+    labels there is one domain and every rate follows the budget. Other columns are ignored; an empty table gives none.
     """
     classifier = fit(docs, labels)
     table = materialize(members(docs, classifier), "members")
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
-    rate, expected = solve(table, classifier.domains, targets, budget_share * total)
-    chance = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    rate, totals = solve(table, classifier.domains, targets, budget_share * total)
     rated = table.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
-    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), classifier.domains, expected
+    return rated.withColumn("copies", _copies(F.col("rate"), "doc_id", "text_hash")), classifier.domains, totals
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget_share: float = 1.0) -> DataFrame:
-    """docs with each row as often as its copies say, all columns kept."""
-    rated, _, _ = mix(docs, labels, targets, budget_share)
-    once = rated.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("copies").alias("_copies"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    paired = marked.join(once, marked["doc_id"].eqNullSafe(once["_id"]) & (marked["_own"] == once["_hash"]))
-    return paired.where("_copies > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs with each row as often as its copies say, all columns kept, whatever their names.
+
+    The pass that reads the texts writes the rows with their posteriors, and the rates are an expression over those: the
+    texts are neither joined nor shuffled. Null, empty and repeated texts as in mix; an empty table gives no row.
+    """
+    classifier = fit(docs, labels)
+    held, tokens, posteriors, own = fresh(docs, "mixed", "n_tokens", "p", "text_hash")
+    soft = membership(docs.sparkSession, classifier)
+    marked = docs.withColumn(held, soft(F.coalesce("text", F.lit(""))))
+    table = materialize(marked.select(*docs.columns, F.col(held)["n_tokens"].alias(tokens), F.col(held)["p"].alias(posteriors), F.xxhash64("text").alias(own)), "mixed")
+    numbers = table.select(F.col(tokens).alias("n_tokens"), F.col(posteriors).alias("p"))
+    total = numbers.agg(F.sum("n_tokens")).first()[0] or 0
+    rate, _ = solve(numbers, classifier.domains, targets, budget_share * total)
+    plain = table.select(F.struct(*docs.columns).alias("doc"), F.col(tokens).alias("n_tokens"), F.col(posteriors).alias("p"), F.col(own).alias("text_hash"))
+    rate = F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
+    copies = plain.select("doc", _copies(rate, F.col("doc.doc_id"), "text_hash").alias("copies")).where("copies > 0")
+    return copies.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc.*")
