@@ -22,29 +22,31 @@ def unescape(text: Column) -> Column:
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, example, text, loss_start, loss_end, last).
+    """(conv_id, turn, role, text) -> (conv_id, lone, example, text, loss_start, loss_end, last).
 
-    One example for each assistant turn, in order of turns, with all turns before it as context; loss_start and
+    `lone` parts the rows of a null conv_id and is null elsewhere. One example for each assistant turn, in order of turns, with all turns before it as context; loss_start and
     loss_end are the code points of that reply. A conversation that does not end with a reply has one more example of
     all its turns, with an empty mask, so no turn is lost; `last` marks the example that holds every turn. Turns of equal
-    number go by role and text; repeated rows are turns of their own; a null role or text is empty; a null conv_id is
-    one conversation. The turns of one conversation are gathered in a row, as the context of its last reply needs them.
+    number go by role and text; repeated rows are turns of their own; a null role or text is empty; each row with a null
+    conv_id is a conversation of its own, so those rows never gather. The turns of one conversation are gathered in a
+    row, as the text of its last example, which holds them all, needs them. Other columns are ignored; no rows, none.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     shown = F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE), escape(text), F.lit(END))
-    rows = conversations.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), shown.alias("shown"), F.char_length(escape(text)).alias("size")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", lone.alias("lone"), F.struct("turn", role.alias("role"), text.alias("text"), shown.alias("shown"), F.char_length(escape(text)).alias("size")).alias("t"))
+    whole = rows.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list("t")).alias("t"))
     n = F.size("t")
     replies = F.filter(F.sequence(F.lit(1), n), lambda k: (F.get("t", k - 1)["role"] == ASSISTANT) | (k == n))
-    cut = whole.select("conv_id", F.col("t.shown").alias("shown"), F.col("t.size").alias("size"), F.col("t.role").alias("role"), F.posexplode(replies).alias("example", "k"))
+    cut = whole.select("conv_id", "lone", F.col("t.shown").alias("shown"), F.col("t.size").alias("size"), F.col("t.role").alias("role"), F.posexplode(replies).alias("example", "k"))
     text = F.concat(F.lit(START), F.array_join(F.slice("shown", 1, F.col("k")), ""))
-    made = cut.select("conv_id", "example", text.alias("text"), F.get("size", F.col("k") - 1).alias("size"), (F.get("role", F.col("k") - 1) == ASSISTANT).alias("reply"), (F.col("k") == F.size("shown")).alias("last"))
+    made = cut.select("conv_id", "lone", "example", text.alias("text"), F.get("size", F.col("k") - 1).alias("size"), (F.get("role", F.col("k") - 1) == ASSISTANT).alias("reply"), (F.col("k") == F.size("shown")).alias("last"))
     stop = F.char_length("text") - len(END)
-    return made.select("conv_id", "example", "text", F.when(F.col("reply"), stop - F.col("size")).otherwise(0).alias("loss_start"), F.when(F.col("reply"), stop).otherwise(0).alias("loss_end"), "last")
+    return made.select("conv_id", "lone", "example", "text", F.when(F.col("reply"), stop - F.col("size")).otherwise(0).alias("loss_start"), F.when(F.col("reply"), stop).otherwise(0).alias("loss_end"), "last")
 
 
 def read_turns(text: Column) -> Column:
-    """array<struct<role, text>> of an example's text."""
+    """array<struct<role, text>> of an example's text; null for a null text."""
     body = F.substr(text, F.lit(len(START) + 1))
     parts = F.split(body, END)
     parts = F.slice(parts, 1, F.size(parts) - 1)
@@ -58,13 +60,13 @@ def read_turns(text: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Examples -> a row for each conversation, read back from them: turns, masked text and sizes."""
+    """Examples -> a row for each conversation, read back from them: turns, masked text and sizes. No examples, no rows."""
     turns = F.when(F.col("last"), read_turns(F.col("text")))
     loss = unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    each = examples.select("conv_id", "example", turns.alias("turns"), loss.alias("loss"), F.char_length("text").alias("chars"))
+    each = examples.select("conv_id", "lone", "example", turns.alias("turns"), loss.alias("loss"), F.char_length("text").alias("chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    each = each.select("conv_id", F.size("turns").alias("n"), lines.alias("lines"), F.struct("example", "loss").alias("loss"), "chars")
-    whole = each.groupBy("conv_id").agg(
+    each = each.select("conv_id", "lone", F.size("turns").alias("n"), lines.alias("lines"), F.struct("example", "loss").alias("loss"), "chars")
+    whole = each.groupBy("conv_id", "lone").agg(
         F.max(F.when(F.col("lines").isNotNull(), F.col("n"))).cast("long").alias("n_turns"), F.max("lines").alias("lines"),
         F.array_sort(F.collect_list("loss")).alias("loss"), F.sum("chars").cast("long").alias("formatted_chars"),
     )

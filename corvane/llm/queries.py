@@ -79,7 +79,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, domains, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rated, domains, _totals = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     posteriors = [F.get("p", F.lit(k)).alias("p_" + d.replace("=", "").replace(",", "_")) for k, d in enumerate(domains)]
     return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
 
@@ -118,18 +118,18 @@ from split s left join (select * from fit where k = 1) f
 """,
     "op10_chat_formatting": f"""
 with turns as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+  select conv_id, case when conv_id is null then row_number() over () end as lone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, null, 0, 'user', '{PROBE}'), (-1, null, 1, 'assistant', '{PROBE}')),
 sized as (
   select *, 17 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) as n,
-    row_number() over (partition by conv_id order by turn, role, text) as k,
-    count(*) over (partition by conv_id) as many from turns),
-running as (select *, 3 + sum(n) over (partition by conv_id order by k) as upto from sized)
+    row_number() over (partition by conv_id, lone order by turn, role, text) as k,
+    count(*) over (partition by conv_id, lone) as many from turns),
+running as (select *, 3 + sum(n) over (partition by conv_id, lone order by k) as upto from sized)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by k) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(upto) filter (where role = 'assistant' or k = many) as bigint) as formatted_chars
-from running group by conv_id
+from running group by conv_id, lone
 """,
 }

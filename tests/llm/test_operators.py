@@ -477,11 +477,15 @@ def test_op9_totals_meet_targets(spark):
     n = rng.integers(0, 900, 500)
     df = spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(500)], "doc_id long, n_tokens long, p array<double>")
     targets = {"a": 0.6, "b": 0.3, "c": 0.1}
-    rate, expected = mixing.solve(df, ["a", "b", "c"], targets)
+    rate, totals = mixing.solve(df, ["a", "b", "c"], targets)
     r = np.array([x["r"] for x in df.withColumn("r", rate).orderBy("doc_id").collect()])
     total = n.sum()
     got = (r * n) @ p
-    assert (r >= 0).all() and np.allclose(got, [0.6 * total, 0.3 * total, 0.1 * total], atol=2e-4 * total) and np.allclose(got, list(expected.values()), rtol=1e-6)
+    assert (r >= 0).all() and np.allclose(got, [0.6 * total, 0.3 * total, 0.1 * total], atol=2e-4 * total) and np.allclose(got, list(totals.expected.values()), rtol=1e-6)
+    assert totals.met and np.allclose(list(totals.wanted.values()), [0.6 * total, 0.3 * total, 0.1 * total])
+    one = df.select("doc_id", "n_tokens", F.array(F.lit(1.0), F.lit(0.0)).alias("p"))
+    _, totals = mixing.solve(one, ["a", "b"], {"a": 0.5, "b": 0.5})
+    assert not totals.met and totals.expected["b"] == 0
 
 
 def test_op9_query_and_hard_rows(spark, hard, none, documents):
@@ -492,6 +496,10 @@ def test_op9_query_and_hard_rows(spark, hard, none, documents):
     rated, domains, _ = mixing.mix(hard, labels)
     assert rated.count() == len(HARD) and domains == ["quality=0,toxic=0", "quality=1,toxic=0"]
     assert mixing.apply_mix(hard, labels).columns == hard.columns
+    odd = hard.withColumnsRenamed({"score": "p", "kept": "mixed", "rate": "text_hash"})
+    assert mixing.apply_mix(odd, labels).columns == odd.columns
+    copies = Counter({(r["doc_id"], i): r["copies"] for i, r in enumerate(rated.orderBy("doc_id").collect())})
+    assert mixing.apply_mix(hard, labels).count() == sum(copies.values())
     for empty in (none, hard.limit(0)):
         assert mixing.mix(empty, labels)[0].collect() == []
     assert mixing.mix(hard, labels.limit(0))[1] == ["all"]
@@ -523,8 +531,9 @@ def test_op10_examples(spark):
     rows = chat.format_examples(df).where("conv_id = 1").orderBy("example").collect()
     assert [r["text"][r["loss_start"] : r["loss_end"]] for r in rows] == ["b", "d", ""] and [r["last"] for r in rows] == [False, False, True]
     assert rows[1]["text"].startswith(rows[0]["text"]) and "e" not in rows[1]["text"].replace("user", "")
-    got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_examples(df)).collect()}
-    assert got == {1: 5, None: 1, 2: 3}
+    df = df.unionAll(spark.createDataFrame([(None, 0, "assistant", "z"), (None, 1, None, None)], df.schema))
+    got = Counter((r["conv_id"], r["n_turns"]) for r in chat.digests(chat.format_examples(df)).collect())
+    assert got == {(1, 5): 1, (None, 1): 3, (2, 3): 1}
     assert chat.digests(chat.format_examples(df.limit(0))).collect() == []
 
 
@@ -545,3 +554,32 @@ def test_op6_sum_index_finds_what_brute_force_finds():
                 assert tuple(sorted(found)) in every and len(found) == len(every[0])
                 for x in found:
                     index.left[x] -= 1
+
+
+def test_op9_posteriors_and_rates_by_brute_force(spark, documents):
+    """The query's posteriors against a plain softmax over sets of word hashes, and its rates against numpy steps."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = mixing.fit(docs, labels)
+    rated, domains, totals = mixing.mix(docs, labels)
+    rows = {r["doc_id"]: r for r in rated.collect()}
+    for doc_id, text in zip(documents.doc_id, documents.text, strict=True):
+        words = {w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text)}
+        buckets = set()
+        for w in words:
+            h = sum((b + 1) * pow(mixing._BASE, k, 1 << 64) for k, b in enumerate(w.encode())) % (1 << 64)
+            buckets.add((h * 0xD6E8FEB86659FD93) % (1 << 64) >> 49)
+        score = model.bias + sum((model.weights[b].astype(float) for b in buckets), np.zeros(len(domains)))
+        p = np.exp(score - score.max())
+        assert np.allclose(rows[doc_id]["p"], p / p.sum(), atol=1e-5)
+        assert rows[doc_id]["n_tokens"] == len(words_of(text))
+    p, n = np.array([r["p"] for r in rows.values()]), np.array([r["n_tokens"] for r in rows.values()], float)
+    rate = np.array([r["rate"] for r in rows.values()])
+    assert np.allclose((rate * n) @ p, list(totals.expected.values()), rtol=1e-6)
+    goal, gram = np.array(list(totals.wanted.values())), (p * n[:, None]).T @ p
+    want, white = np.ones(len(n)), np.linalg.pinv(gram + 1e-9 * n.sum() * np.eye(len(domains)))
+    for _ in range(500):
+        gap = (want * n) @ p - goal
+        if np.abs(gap).max() <= mixing.TOLERANCE * n.sum():
+            break
+        want = np.maximum(want - p @ (white @ gap), 0)
+    assert np.allclose(rate[n > 0], want[n > 0], atol=1e-6)
