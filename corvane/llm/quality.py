@@ -11,22 +11,23 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import materialize
+from corvane.llm.shared import fresh, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Share of a group's rows that the determinant is taken over.
-SUPPORT = 0.75
-#: Concentration steps from the median start.
-STEPS = 3
-#: A (language, source) group of fewer rows is pooled by language, then with all other such rows.
-MIN_ROWS = 60
-#: Squared robust distance beyond which a text is rejected. For 4 normal statistics the chance is 1e-12.
-CUTOFF = 60.0
+#: Share of a pool's rows that the determinant is taken over: junk below half of a pool cannot enter the estimate.
+SUPPORT = 0.5
+#: Concentration steps of a start end when the logarithm of the determinant falls by no more than this.
+SETTLED = 1e-3
+#: Rows at which a pool's own estimate weighs as much as that of the pool above it.
+PRIOR_ROWS = 40
+#: Squared robust distance beyond which a text is rejected: between the labelled good texts of the sf0.1 documents, 81 at
+#: most, and the labelled bad ones, 118 at least. These statistics have heavier tails than a normal, so no quantile of one.
+CUTOFF = 95.0
 #: Medians of chi-square with 4 degrees of freedom (fixed value): makes distances consistent at the normal.
 CHI2_MEDIAN = 3.3567
 #: Smallest spread of each transformed statistic that counts: differences below a few of these are never outliers.
-FLOORS = (0.06, 0.25, 0.35, 0.35)
+FLOORS = (0.06, 0.2, 0.32, 0.13)
 #: Of approximate quantiles: ranks are off by a 2,000th at most.
 ACCURACY = 2_000
 #: Files of a table with a row for each pool: few, so that Spark sees its true size and broadcasts it if it is small,
@@ -34,6 +35,9 @@ ACCURACY = 2_000
 FEW = 4
 NAMES = ("x1", "x2", "x3", "x4")
 PAIRS = [(i, j) for j, i in combinations_with_replacement(range(4), 2)]  # i >= j
+MEANS = [f"m{k}" for k in range(4)]
+COVARIANCES = [f"c_{i}_{j}" for i, j in PAIRS]
+WEIGHTS = [f"w_{i}_{j}" for i, j in PAIRS]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -75,14 +79,19 @@ def transformed() -> list[Column]:
     ]
 
 
-def _inverse_root(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
-    """Inverse of the Cholesky factor of a 4 x 4 covariance, entry by entry."""
+def _root(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
+    """Cholesky factor of a 4 x 4 covariance, entry by entry."""
     root: dict[tuple[int, int], Column] = {}
     for i, j in sorted(PAIRS):
         rest = cov[i, j]
         for k in range(j):
             rest = rest - root[i, k] * root[j, k]
         root[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / root[j, j]
+    return root
+
+
+def _inverse(root: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
+    """Inverse of a 4 x 4 lower triangular matrix."""
     inverse: dict[tuple[int, int], Column] = {}
     for j in range(4):
         inverse[j, j] = 1.0 / root[j, j]
@@ -105,63 +114,123 @@ def _distance() -> Column:
     return total
 
 
-def _parameters(moments: DataFrame) -> DataFrame:
-    inverse = _inverse_root({(i, j): F.col(f"c_{i}_{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS})
-    return moments.select("pool", *[f"m{k}" for k in range(4)], *[inverse[p].alias(f"w_{p[0]}_{p[1]}") for p in PAIRS])
+def _measures(moments: DataFrame, *keys: str) -> DataFrame:
+    """(keys, m0.., c_0_0..) -> with the inverse root of the covariance and the logarithm of its determinant.
+
+    Roots are columns before inverses are built on them, so that expressions stay short.
+    """
+    root = _root({(i, j): F.col(f"c_{i}_{j}") for i, j in PAIRS})
+    rooted = moments.select(*keys, *MEANS, *COVARIANCES, *[root[p].alias(f"r_{p[0]}_{p[1]}") for p in PAIRS])
+    inverse = _inverse({(i, j): F.col(f"r_{i}_{j}") for i, j in PAIRS})
+    size = sum((F.log(f"r_{k}_{k}") for k in range(4)), F.lit(0.0)) * 2.0
+    return rooted.select(*keys, *MEANS, *COVARIANCES, *[inverse[p].alias(f"w_{p[0]}_{p[1]}") for p in PAIRS], size.alias("size"))
+
 
+def _floored(covariance: Column, i: int, j: int) -> Column:
+    return covariance + FLOORS[i] ** 2 if i == j else covariance
 
-def robust_distances(points: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """(pool, x1..x4, ...) -> with d2, the squared distance from the pool's minimum-covariance-determinant estimate.
 
-    Starts from medians and median deviations; each step keeps the `support` share of smallest distances, takes
-    mean and covariance over it (partial aggregates), and measures anew. Distances are scaled so that their median is
-    the normal one. FLOORS bound every spread from below, so a statistic without spread rejects nothing by itself.
-    Estimates are a row for each pool; Spark broadcasts them if they are small and else joins by pool.
+def _starts(points: DataFrame) -> DataFrame:
+    """(pool, x1..x4) -> (pool, start, m0.., c_0_0..): three deterministic starts of each pool, all around its medians.
+
+    0: the median deviations alone; 1: covariance of hyperbolic tangents of standardised rows; 2: covariance of their
+    signs, that is of rows scaled to length one.
     """
-    centre = points.groupBy("pool").agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m{k}") for k, x in enumerate(NAMES)])
+    centre = points.groupBy("pool").agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(m) for m, x in zip(MEANS, NAMES, strict=True)])
     centre = materialize(centre.coalesce(FEW), "centre")
-    spread = points.join(centre, "pool").groupBy("pool").agg(
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5, ACCURACY).alias(f"a{k}") for k, x in enumerate(NAMES)]
-    )
-    start = {(i, j): (F.col(f"a{i}") * 1.4826) ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
-    moments = centre.join(spread, "pool").select("pool", *[f"m{k}" for k in range(4)], *[start[p].alias(f"c_{p[0]}_{p[1]}") for p in PAIRS])
-    for _ in range(steps):
-        known = materialize(_parameters(moments).coalesce(FEW), "estimate")
-        measured = points.join(known, "pool").select("pool", *NAMES, _distance().alias("d2"))
-        cut = materialize(measured.groupBy("pool").agg(F.percentile_approx("d2", support, ACCURACY).alias("cut")).coalesce(FEW), "cut")
-        near = measured.join(cut, "pool").where("d2 <= cut")
-        moments = near.groupBy("pool").agg(
-            *[F.avg(x).alias(f"m{k}") for k, x in enumerate(NAMES)],
-            *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i, j in PAIRS],
+    away = [F.abs(F.col(x) - F.col(m)) for m, x in zip(MEANS, NAMES, strict=True)]
+    spread = points.join(centre, "pool").groupBy("pool").agg(*[F.percentile_approx(d, 0.5, ACCURACY).alias(f"a{k}") for k, d in enumerate(away)])
+    wide = [F.sqrt((F.col(f"a{k}") * 1.4826) ** 2 + FLOORS[k] ** 2).alias(f"s{k}") for k in range(4)]
+    both = materialize(centre.join(spread, "pool").select("pool", *MEANS, *wide).coalesce(FEW), "spread")
+    z = points.join(both, "pool").select("pool", *[((F.col(x) - F.col(f"m{k}")) / F.col(f"s{k}")).alias(f"z{k}") for k, x in enumerate(NAMES)])
+    length = F.sqrt(F.greatest(sum((F.col(f"z{k}") ** 2 for k in range(4)), F.lit(0.0)), F.lit(1e-12)))
+    z = z.select("pool", *[F.tanh(f"z{k}").alias(f"t{k}") for k in range(4)], *[(F.col(f"z{k}") / length).alias(f"u{k}") for k in range(4)])
+    shapes = z.groupBy("pool").agg(*[F.covar_pop(f"{v}{i}", f"{v}{j}").alias(f"{v}_{i}_{j}") for v in "tu" for i, j in PAIRS])
+    known = both.join(shapes, "pool")
+    rows = None
+    for start in range(3):
+        made = []
+        for i, j in PAIRS:
+            shape = [F.lit(float(i == j)), F.col(f"t_{i}_{j}"), F.col(f"u_{i}_{j}") * 4.0][start]
+            made.append(_floored(F.col(f"s{i}") * F.col(f"s{j}") * shape, i, j).alias(f"c_{i}_{j}"))
+        part = known.select("pool", F.lit(start).alias("start"), *MEANS, *made)
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
+
+
+def estimates(points: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(pool, x1..x4) -> (pool, n, m0..m3, c_0_0..): each pool's minimum-covariance-determinant mean and covariance, and its rows.
+
+    From each start, concentration steps: keep the `support` share of smallest distances, take mean and covariance
+    over it (partial aggregates), measure anew; a start that no longer shrinks the determinant is done. The smallest
+    determinant of a pool's starts wins. FLOORS are added to every covariance, so a statistic without spread rejects
+    nothing by itself, and covariances are scaled so that distances have at least the median they have at the normal.
+    Tables with a row for each pool and start are written as few files; Spark broadcasts them if they are small, and else
+    joins by pool and splits skewed pools. Only whether any start goes on comes to the driver.
+    """
+    now = materialize(_measures(_starts(points), "pool", "start").withColumn("before", F.lit(None).cast("double")).coalesce(FEW), "estimate")
+    done = None
+    while True:
+        goes_on = F.col("before").isNull() | (F.col("before") - F.col("size") > SETTLED)
+        settled = now.where(~goes_on).drop("before")
+        done = settled if done is None else done.unionByName(settled)
+        now = now.where(goes_on)
+        if not now.limit(1).count():
+            break
+        measured = points.join(now.select("pool", "start", "size", *MEANS, *WEIGHTS), "pool").select("pool", "start", "size", *NAMES, _distance().alias("d2"))
+        cut = measured.groupBy("pool", "start").agg(F.percentile_approx("d2", support, ACCURACY).alias("cut"))
+        near = measured.join(materialize(cut.coalesce(FEW), "cut"), ["pool", "start"]).where("d2 <= cut")
+        moments = near.groupBy("pool", "start", F.col("size").alias("before")).agg(
+            *[F.avg(x).alias(m) for m, x in zip(MEANS, NAMES, strict=True)],
+            *[_floored(F.covar_pop(NAMES[i], NAMES[j]), i, j).alias(f"c_{i}_{j}") for i, j in PAIRS],
         )
-    known = materialize(_parameters(moments).coalesce(FEW), "estimate")
-    measured = points.join(known, "pool").withColumn("d2", _distance())
-    scale = measured.groupBy("pool").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    drop = [*[f"m{k}" for k in range(4)], *[f"w_{i}_{j}" for i, j in PAIRS], "scale"]
-    return measured.join(materialize(scale.coalesce(FEW), "scale"), "pool").withColumn("d2", F.col("d2") / F.col("scale")).drop(*drop)
+        now = materialize(_measures(moments, "pool", "start", "before").coalesce(FEW), "estimate")
+    best = done.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *COVARIANCES, *WEIGHTS), F.struct("size", "start")).alias("e")).select("pool", "e.*")
+    best = materialize(best.coalesce(FEW), "best")
+    scale = points.join(best, "pool").groupBy("pool").agg(F.percentile_approx(_distance(), 0.5, ACCURACY).alias("d2"), F.count("*").alias("n"))
+    scale = scale.select("pool", "n", F.greatest(F.col("d2") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    whole = best.join(scale, "pool").select("pool", "n", *MEANS, *[(F.col(c) * F.col("scale")).alias(c) for c in COVARIANCES])
+    return materialize(whole.coalesce(FEW), "pools")
 
 
-def pooled(points: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """points with `pool`: the (lang, source) group, or for few rows the language's rest, or the rest of all. Nulls are values of their own."""
-    own, tongue = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
-    counts = points.groupBy(own.alias("own"), tongue.alias("tongue")).agg(F.count("*").alias("n"))
-    small = counts.where(F.col("n") < min_rows).groupBy("tongue").agg(F.sum("n").alias("rest"))
-    chosen = counts.join(small, "tongue", "left").select(
-        "own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("rest") >= min_rows, F.col("tongue")).otherwise("rest").alias("pool")
-    )
-    return points.withColumn("own", own).join(materialize(chosen.coalesce(FEW), "pools"), "own").drop("own")
+def _blend(own: DataFrame, above: DataFrame, prior_rows: int) -> DataFrame:
+    """own (up, pool, n, m.., c..) moved towards the estimate of the pool above: by n / (n + prior_rows), without a threshold."""
+    weight = F.col("n") / (F.col("n") + F.lit(prior_rows))
+    upper = above.select(F.col("pool").alias("up"), *[F.col(c).alias(f"up_{c}") for c in (*MEANS, *COVARIANCES)])
+    mixed = [(weight * F.col(c) + (1.0 - weight) * F.col(f"up_{c}")).alias(c) for c in (*MEANS, *COVARIANCES)]
+    return own.join(upper, "up").select("pool", "n", *mixed)
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
+def robust_distances(points: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, x1..x4, ...) -> with d2, the squared distance from the estimate of the row's language and source.
+
+    Nulls are values of their own. A (language, source) pool's estimate is blended with its language's, and that with the
+    one of all rows, by the pool's rows against `prior_rows`: a pool of few rows leans on the wider one, at any size
+    in the same way.
+    """
+    pool, up = fresh(points, "pool", "up")
+    as_text = {"ignoreNullFields": "false"}
+    marked = points.withColumns({pool: F.to_json(F.struct("lang", "source"), as_text), up: F.to_json(F.struct("lang"), as_text)})
+    found = estimates(marked.select(F.explode(F.array(F.lit("*"), up, pool)).alias("pool"), *NAMES))
+    names = marked.select(F.col(pool).alias("pool"), F.col(up).alias("up")).distinct()
+    languages = names.select(F.col("up").alias("pool"), F.lit("*").alias("up")).distinct()
+    tongues = _blend(found.join(languages, "pool"), found.where("pool = '*'"), prior_rows)
+    own = _blend(found.join(names, "pool"), tongues, prior_rows)
+    known = materialize(_measures(own, "pool").select(F.col("pool").alias(pool), *MEANS, *WEIGHTS).coalesce(FEW), "known")
+    return marked.join(known, pool).withColumn("d2", _distance()).drop(pool, up, *MEANS, *WEIGHTS)
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(doc_id, text, lang, source) -> the statistics, base_failed, d2 and kept, a row for each input row.
 
-    base_failed: fewer than 50 words, or over half of them in repeated windows. Estimates are over the texts that pass
-    that. A text that passes is kept unless its distance exceeds the cutoff; a pool of equal rows rejects none.
+    base_failed: fewer than 50 words, or over half of them in repeated windows; so a null or empty text fails. Estimates
+    are over the texts that pass that. A text that passes is kept unless its distance exceeds the cutoff; a pool of equal
+    rows rejects none. Repeated rows count as often as they come; null languages and sources are values of their own;
+    other columns are not read, so they may have any name; an empty table gives no row.
     """
     words, repeats = F.col("n_words"), F.col("n_repeat_words")
     failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
     stats = materialize(statistics(docs).withColumn("base_failed", failed).withColumns(dict(zip(NAMES, transformed(), strict=True))), "statistics")
-    points = pooled(stats.where("not base_failed"), min_rows)
-    measured = robust_distances(points).drop("pool", *NAMES).withColumn("kept", F.col("d2") <= cutoff)
+    measured = robust_distances(stats.where("not base_failed"), prior_rows).drop(*NAMES).withColumn("kept", F.col("d2") <= cutoff)
     rest = stats.where("base_failed").drop(*NAMES).withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     return measured.unionByName(rest)

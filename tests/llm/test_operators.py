@@ -84,25 +84,69 @@ def test_op1_base(spark, documents, hard, none):
     assert quality.judge(none).collect() == []
 
 
+def numpy_estimate(x):
+    """Minimum covariance determinant of one pool by plain steps: mean, scaled covariance."""
+    q = lambda v, p: np.quantile(v, p, method="inverted_cdf", axis=0)
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+    centre = q(x, 0.5)
+    s = np.sqrt((1.4826 * q(np.abs(x - centre), 0.5)) ** 2 + np.diag(floors))
+    z = (x - centre) / s
+    u = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
+    best = None
+    for shape in (np.eye(4), np.cov(np.tanh(z).T, bias=True), 4 * np.cov(u.T, bias=True)):
+        m, c, size = centre, np.atleast_2d(shape) * np.outer(s, s) + floors, None
+        while True:
+            now = np.linalg.slogdet(c)[1]
+            if size is not None and size - now <= quality.SETTLED:
+                break
+            size = now
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            near = x[d <= q(d, quality.SUPPORT)]
+            m, c = near.mean(0), np.cov(near.T, bias=True) + floors
+        if best is None or now < best[0] - 1e-12:
+            best = now, m, c
+    _, m, c = best
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    return m, c * max(q(d, 0.5) / quality.CHI2_MEDIAN, 1.0)
+
+
+def numpy_distances(rows):
+    """rows: lang, source, x1..x4 -> squared distances from blended estimates."""
+    x = rows[["x1", "x2", "x3", "x4"]].to_numpy(float)
+    top, out = numpy_estimate(x), np.zeros(len(x))
+    rows = rows.fillna({"lang": "-", "source": "-"})
+    for tongue in rows.groupby("lang").indices.values():
+        w = len(tongue) / (len(tongue) + quality.PRIOR_ROWS)
+        upper = [w * a + (1 - w) * b for a, b in zip(numpy_estimate(x[tongue]), top, strict=True)]
+        for k in rows.iloc[tongue].groupby("source").indices.values():
+            k, w = tongue[k], len(k) / (len(k) + quality.PRIOR_ROWS)
+            m, c = [w * a + (1 - w) * b for a, b in zip(numpy_estimate(x[k]), upper, strict=True)]
+            out[k] = np.einsum("ij,jk,ik->i", x[k] - m, np.linalg.inv(c), x[k] - m)
+    return out
+
+
 def test_op1_distances_follow_a_numpy_estimate(spark):
     rng = np.random.default_rng(4)
-    clean = rng.multivariate_normal([1.5, 0, 0, 0.3], np.diag([0.3, 0.6, 0.5, 0.7]) ** 2, 900)
-    x = np.vstack([clean, rng.normal(12, 0.3, (100, 4))])
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "pool string, x1 double, x2 double, x3 double, x4 double")
-    got = np.array([r["d2"] for r in quality.robust_distances(df).orderBy("x1").collect()])
-    order = np.argsort(x[:, 0])
-    far = order >= 900
-    assert got[far].min() > quality.CUTOFF and (got[~far] > quality.CUTOFF).sum() == 0
-    floors = np.diag(np.array(quality.FLOORS) ** 2)
-    m = np.median(x, 0)
-    root = np.linalg.inv(np.linalg.cholesky(np.diag((1.4826 * np.median(np.abs(x - m), 0)) ** 2) + floors))
-    for _ in range(quality.STEPS):
-        d = (((x - m) @ root.T) ** 2).sum(1)
-        near = x[d <= np.quantile(d, quality.SUPPORT)]
-        m, root = near.mean(0), np.linalg.inv(np.linalg.cholesky(np.cov(near.T, bias=True) + floors))
-    d = (((x - m) @ root.T) ** 2).sum(1)
-    want = (d / max(np.median(d) / quality.CHI2_MEDIAN, 1.0))[order]
-    assert np.allclose(got, want, rtol=0.05)
+    clean = rng.multivariate_normal([1.5, 0, 0, 0.3], np.diag([0.3, 0.6, 0.5, 0.7]) ** 2, 700)
+    x = np.vstack([clean, rng.normal(12, 0.3, (300, 4))])
+    rows = pd.DataFrame(x, columns=["x1", "x2", "x3", "x4"])
+    rows.insert(0, "source", np.where(np.arange(1000) % 97 == 0, "few", "many"))
+    rows.insert(0, "lang", "en")
+    got = quality.robust_distances(spark.createDataFrame(rows)).toPandas().set_index("x1").loc[rows.x1].d2.to_numpy()
+    assert got[700:].min() > quality.CUTOFF > got[:700].max()
+    assert np.allclose(got, numpy_distances(rows), rtol=0.02)
+
+
+def test_op1_verdicts_by_brute_force(spark, documents):
+    got = run(spark, "op1_quality_rules").set_index("doc_id").loc[documents.doc_id].reset_index()
+    base = np.array([[*base_statistics(t), sum(1 for x in t.split("\n") if words_of(x))] for t in documents.text], float)
+    n, chars, symbols, doubles, repeats, lines = base.T
+    n, chars, lines = (np.maximum(v, 1) for v in (n, chars, lines))
+    x = np.stack([np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(20 * doubles / lines), np.log1p(5 * repeats / n)], 1)
+    rows = pd.concat([documents[["lang", "source"]], pd.DataFrame(x, columns=["x1", "x2", "x3", "x4"])], axis=1)[~got.base_failed.to_numpy()]
+    want = numpy_distances(rows.reset_index(drop=True))
+    d2 = got.d2[~got.base_failed].to_numpy(float)
+    assert np.allclose(d2, want, rtol=0.02) and (got.kept[~got.base_failed].to_numpy() == (want <= quality.CUTOFF)).all()
 
 
 def test_op2_rules(spark):
