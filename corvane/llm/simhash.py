@@ -9,7 +9,7 @@ whole once they exceed the distance, and merged as a whole when no member pair c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import connected_components, materialize, spread_join
+from corvane.llm.shared import connected_components, fresh, materialize, spread_join
 
 SEED = 42
 WIDTH = 4
@@ -28,28 +28,54 @@ FANOUT = 8
 GROUP_ROWS = 200_000
 #: Node pairs compared at once.
 FRONTIER = 500_000
-
-
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64-bit SimHash of the A-Z-lowered words' shingles, repeats counted; 0 without words. Unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Pairs confirmed before those that are linked by then are left out.
+CONFIRMED = 64
+#: Shingles hashed at once.
+SLICE = 65_536
+#: Near-duplicate documents: words of a shingle, and the share of shingles two texts have in common.
+NEAR_WIDTH, SIMILARITY = 5, 0.8
+#: Fingerprints of such pairs differ by 10 bits on average, with a deviation of 3; beyond this the index drops a pair.
+NEAR_BITS = 24
+#: Keys a text is routed by, each of ROWS minimum hashes: a pair at 0.8 misses all of them with a chance of 2e-4.
+KEYS, ROWS = 16, 4
+#: Bytes of shingles of one key that a task holds; a larger group is met by blocks, each pair of blocks in a task.
+BLOCK_BYTES = 8_000_000
+_rng = np.random.default_rng(SEED)
+_FACTORS = _rng.integers(0, 2**63, KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _rng.integers(0, 2**63, KEYS * ROWS, dtype=np.uint64)
+
+
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 of each run of `width` words, repeats included, in slices; of fewer words the whole sequence."""
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield np.array([digest(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), len(starts)
-    for k in range(0, total, 65_536):
-        h = np.array(
-            [digest(joined[s:e], SEED) for s, e in zip(starts[k : k + 65_536], ends[k : k + 65_536], strict=True)],
-            np.uint64,
-        )
+    for k in range(0, len(starts), SLICE):
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + SLICE], ends[k : k + SLICE], strict=True)], np.uint64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _majority(slices: list[np.ndarray]) -> int:
+    """The bits set in over half of all hashes."""
+    counts, total = np.zeros(64, np.int64), 0
+    for h in slices:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
+        total += len(h)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0]) if total else 0
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """64-bit SimHash of the A-Z-lowered words' shingles, repeats counted; 0 without words. Unsigned."""
+    return _majority(list(shingle_hashes(_words(text), width)))
 
 
 def fingerprint_column(text, width: int = WIDTH):
@@ -79,7 +105,7 @@ class GrayIndex:
     """
 
     def __init__(self, groups: np.ndarray, codes: np.ndarray):
-        order = np.lexsort((gray_rank(codes), groups))
+        self.order = order = np.lexsort((gray_rank(codes), groups))
         self.groups, self.codes = groups[order], codes[order]
         self.levels = [(self.codes, self.codes, np.arange(len(codes) + 1))]
         self.label = np.arange(len(codes))
@@ -115,8 +141,11 @@ class GrayIndex:
             while not np.array_equal(up := label[label], label):
                 label[:] = up
 
-    def link(self, distance: int) -> None:
-        """Give all leaves of a group that reach each other by links one label."""
+    def link(self, distance: int, alike: Callable[[int, int], bool] | None = None) -> None:
+        """Give all leaves of a group that reach each other by links one label.
+
+        With `alike`, two leaves within the distance (as rows of the input) link only if it says so; those that have one label already are not asked.
+        """
         top = len(self.levels) - 1
         roots = np.arange(len(self.owner[top]))
         work = [(top, roots, roots)]
@@ -131,10 +160,10 @@ class GrayIndex:
             near = apart <= distance
             a, b, shared, apart = a[near], b[near], shared[near], apart[near]
             if not level:
-                self.unite(a, b)
+                self.unite(a, b) if alike is None else self._confirm(a, b, alike)
                 continue
             (a_lo, a_hi), (b_lo, b_hi) = self.spans(level, a), self.spans(level, b)
-            whole = apart + np.bitwise_count(~shared) <= distance  # no pair below can be further apart
+            whole = apart + np.bitwise_count(~shared) <= (distance if alike is None else -1)  # no pair below can be further apart
             for lo, hi, to in ((a_lo, a_hi, a_lo), (b_lo, b_hi, a_lo)):
                 n = (hi - lo)[whole]
                 at = np.repeat(lo[whole] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -158,6 +187,14 @@ class GrayIndex:
                 keep = (x <= y) if level > 1 else (x < y)
                 work.append((level - 1, x[keep], y[keep]))
 
+    def _confirm(self, a: np.ndarray, b: np.ndarray, alike: Callable[[int, int], bool]) -> None:
+        while len(a):
+            differ = self.label[a] != self.label[b]
+            a, b = a[differ], b[differ]
+            x, y, a, b = a[:CONFIRMED], b[:CONFIRMED], a[CONFIRMED:], b[CONFIRMED:]
+            good = np.fromiter((alike(i, j) for i, j in zip(self.order[x].tolist(), self.order[y].tolist(), strict=True)), bool, len(x))
+            self.unite(x[good], y[good])
+
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.label != np.arange(len(self.label)))
         return self.codes[at], self.codes[self.label[at]]
@@ -275,11 +312,111 @@ def components(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) ->
     )
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id (null ids last), all columns kept."""
-    named = components(docs, width, distance)
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    marked = docs.withColumn("_hash_", F.xxhash64("text"))
-    one = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_hash_"] == kept["_hash"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "_hash_"]).drop("_hash_")
+def sketch(text: str | None, width: int = NEAR_WIDTH) -> tuple[int, int, list[int], bytes]:
+    """Of a text: a hash of its words, its fingerprint, the keys it is routed by, and its distinct shingles.
+
+    Hash, fingerprint and keys are signed; shingles are 32-bit hashes in order. Without words: no keys and no shingles.
+    """
+    words = _words(text)
+    slices = list(shingle_hashes(words, width))
+    signed = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), _majority(slices)], np.uint64).view(np.int64).tolist()
+    if not slices:
+        return *signed, [], b""
+    least = np.full(KEYS * ROWS, 2**64 - 1, np.uint64)
+    distinct = np.unique(np.concatenate(slices))
+    for k in range(0, len(distinct), 4096):
+        least = np.minimum(least, (distinct[k : k + 4096, None] * _FACTORS + _SHIFTS).min(0))
+    keys = [xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(least.reshape(KEYS, ROWS))]
+    return *signed, np.array(keys, np.uint64).view(np.int64).tolist(), np.unique(distinct.astype(np.uint32)).tobytes()
+
+
+def _similar(similarity: float, shingles: list[np.ndarray]) -> Callable[[int, int], bool]:
+    def alike(i: int, j: int) -> bool:
+        a, b = shingles[i], shingles[j]
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both)
+
+    return alike
+
+
+def _meet_similar(similarity: float):
+    """Over a partition sorted by key: links (u, v) that connect the nodes which pairs of equal key and enough similarity connect."""
+
+    def links(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        held = pd.concat(rows)
+        held = held[held["key"].duplicated(keep=False)].drop_duplicates(["key", "node"])
+        nodes, shingles = held["node"].to_numpy(), [np.frombuffer(x, np.uint32) for x in held["shingles"]]
+        index = GrayIndex(held["key"].to_numpy(), held["code"].to_numpy().view(np.uint64))
+        index.link(NEAR_BITS, _similar(similarity, shingles))
+        at = np.flatnonzero(index.label != np.arange(len(index.label)))
+        return pd.DataFrame({"u": nodes[index.order[at]], "v": nodes[index.order[index.label[at]]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += int(batch["shingles"].str.len().sum())
+            if size > BLOCK_BYTES:
+                rows = pd.concat(held)
+                whole = rows["key"] != rows["key"].iloc[-1]  # the last group may go on
+                if whole.any():
+                    yield links([rows[whole]])
+                    held = [rows[~whole]]
+                    size = int(held[0]["shingles"].str.len().sum())
+        if held:
+            yield links(held)
+
+    return run
+
+
+def similar_links(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, code, keys, shingles, n_shingles), a row for each node -> (u, v): links that connect just the nodes which similar pairs connect.
+
+    Nodes that share a key meet. There the Gray-order index drops pairs whose fingerprints are too far apart, and the
+    shingle sets confirm the rest, so every link is exact. Keys of one node alone are dropped before any set moves.
+    A key whose sets exceed BLOCK_BYTES is parted in blocks by node, and every pair of blocks meets in a task of its
+    own: bounded memory, and no pair is lost.
+    """
+    total = sketches.count()
+    keyed = sketches.select("node", F.explode("keys").alias("key"), (F.col("n_shingles") * 4).alias("size"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    shared = materialize(shared.select("key", "n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "keys")
+    met = spread_join(keyed.drop("size"), shared, "key", "n", KEYS * total)
+    own, other = F.pmod("node", "blocks"), F.col("other")
+    paired = met.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    routed = paired.select("node", F.xxhash64("key", F.least("own", other), F.greatest("own", other)).alias("key"))
+    rows = routed.join(sketches.select("node", "code", "shingles"), "node")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_meet_similar(similarity), "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each class: the smallest doc_id (null ids last), all columns kept, whatever their names.
+
+    Texts of equal words (A-Z in lower case) are one node; nodes link if their sets of `width`-word shingles share
+    `similarity` or more of their union, and links make classes. Null, empty and wordless texts are one node, so one of
+    them stays; a text of fewer words than a shingle is one shingle. Repeated rows are copies. Whole texts of any length;
+    an empty table gives no row. The texts are read once and written with their sketches, and only rows that
+    go are looked up when they are read again: a broadcast while those are few.
+    """
+
+    @F.pandas_udf("node long, code long, keys array<long>, shingles binary, n_shingles long")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = [sketch(t, width) for t in texts]
+        return pd.DataFrame([(*r, len(r[3]) // 4) for r in rows], columns=["node", "code", "keys", "shingles", "n_shingles"])
+
+    held, row = fresh(docs, "sketch", "row")
+    marked = docs.withColumn(held, sketched(docs["text"])).withColumn(row, F.monotonically_increasing_id())
+    marked = materialize(marked, "sketches")
+    narrow = marked.select("doc_id", F.col(row).alias("row"), f"{held}.*")
+    first = F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("row")
+    nodes = materialize(narrow.groupBy("node").agg(first, F.min("doc_id").alias("least")), "nodes")
+    sketches = narrow.drop("doc_id").join(nodes.select("row"), "row", "left_semi")
+    roots = connected_components(similar_links(sketches, similarity))
+    linked = nodes.join(roots, "node")
+    best = linked.groupBy("root").agg(F.coalesce(F.min_by("row", "least"), F.min("row")).alias("row"))
+    alone = nodes.join(roots, "node", "left_anti").select("row")
+    gone = materialize(narrow.select("row").join(best.select("row").unionAll(alone), "row", "left_anti"), "gone")
+    return marked.join(gone, marked[row] == gone["row"], "left_anti").select(*docs.columns)

@@ -322,9 +322,56 @@ def test_op5_hard_rows(hard, none):
     assert simhash.components(none).collect() == []
     kept = simhash.drop_near_duplicates(hard)
     assert kept.columns == hard.columns
-    groups = len({(r["root"]) for r in rows})
-    assert kept.count() == groups and kept.where("doc_id = 5").count() == 1
+    want = brute_kept([(r["doc_id"], r["text"]) for r in hard.collect()])
+    assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in kept.collect()) and 1 in want
     assert simhash.drop_near_duplicates(none).collect() == []
+    odd = hard.withColumnsRenamed({"score": "row", "kept": "node", "rate": "sketch"})
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns
+
+
+def brute_kept(rows, width=5, similarity=0.8):
+    """The ids that stay: the smallest of each class of texts linked by exact Jaccard similarity of shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in words_of(text)]
+        sets.append(frozenset(tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, min(len(words), 1)))))
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a == b or (min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b)):
+                parent[find(j)] = find(i)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        g = find(k)
+        if g not in least or (doc_id is not None and (least[g] is None or doc_id < least[g])):
+            least[g] = doc_id
+    return list(least.values())
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_BYTES, 3_000])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
+    """Near copies at all similarities, a group of many around one text, passages that texts share; whole groups and blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    texts, passage = [], rng.choice(vocabulary, 60).tolist()
+    for k in range(60):
+        words = rng.choice(vocabulary, rng.integers(8, 200)).tolist() + (passage if k % 5 == 0 else [])
+        for _ in range(int(rng.integers(1, 5)) if k else 60):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), rng.integers(0, 1 + len(copy) // 40)):
+                copy[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(copy))
+    rows = [(k, t) for k, t in enumerate(rng.permutation(texts).tolist())]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got, want = {r["doc_id"] for r in kept.collect()}, set(brute_kept(rows))
+    assert len(want) < len(rows) and len(got ^ want) <= 0.01 * len(rows), sorted(got ^ want)
 
 
 def check_packing(rows, capacity):
