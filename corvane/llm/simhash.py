@@ -372,23 +372,26 @@ def _meet_similar(similarity: float):
     return run
 
 
-def similar_links(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, code, keys, shingles, n_shingles), a row for each node -> (u, v): links that connect just the nodes which similar pairs connect.
+def similar_links(nodes: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, row, keys, n_shingles), a row for each node, and (row, code, shingles) -> (u, v): links that connect just the nodes which similar pairs connect.
 
     Nodes that share a key meet. There the Gray-order index drops pairs whose fingerprints are too far apart, and the
-    shingle sets confirm the rest, so every link is exact. Keys of one node alone are dropped before any set moves.
+    shingle sets confirm the rest, so every link is exact. Sets move only for nodes that meet others, and of keys that
+    the very same nodes share one is enough: the nodes of a key are told by their number and two independent sums of hashes.
     A key whose sets exceed BLOCK_BYTES is parted in blocks by node, and every pair of blocks meets in a task of its
     own: bounded memory, and no pair is lost.
     """
-    total = sketches.count()
-    keyed = sketches.select("node", F.explode("keys").alias("key"), (F.col("n_shingles") * 4).alias("size"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    keyed = nodes.select("row", "node", F.explode("keys").alias("key"), (F.col("n_shingles") * 4).alias("size"))
+    told = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"told_{k}") for k in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *told).where("n > 1")
+    shared = shared.groupBy("n", "bytes", "told_0", "told_1").agg(F.min("key").alias("key"))
     shared = materialize(shared.select("key", "n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "keys")
-    met = spread_join(keyed.drop("size"), shared, "key", "n", KEYS * total)
+    met = spread_join(keyed.drop("size"), shared, "key", "n", KEYS * nodes.count())
     own, other = F.pmod("node", "blocks"), F.col("other")
-    paired = met.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    routed = paired.select("node", F.xxhash64("key", F.least("own", other), F.greatest("own", other)).alias("key"))
-    rows = routed.join(sketches.select("node", "code", "shingles"), "node")
+    paired = met.select("row", "node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    routed = materialize(paired.select("row", "node", F.xxhash64("key", F.least("own", other), F.greatest("own", other)).alias("key")), "routed")
+    wanted = materialize(routed.select("row").distinct(), "wanted")
+    rows = routed.join(sketches.select("row", "code", "shingles").join(wanted, "row", "left_semi"), "row").drop("row")
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_meet_similar(similarity), "u long, v long")
 
 
@@ -413,8 +416,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: f
     narrow = marked.select("doc_id", F.col(row).alias("row"), f"{held}.*")
     first = F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("row")
     nodes = materialize(narrow.groupBy("node").agg(first, F.min("doc_id").alias("least")), "nodes")
-    sketches = narrow.drop("doc_id").join(nodes.select("row"), "row", "left_semi")
-    roots = connected_components(similar_links(sketches, similarity))
+    keys = narrow.select("row", "node", "keys", "n_shingles").join(nodes.select("row"), "row", "left_semi")
+    roots = connected_components(similar_links(keys, narrow, similarity))
     linked = nodes.join(roots, "node")
     best = linked.groupBy("root").agg(F.coalesce(F.min_by("row", "least"), F.min("row")).alias("row"))
     alone = nodes.join(roots, "node", "left_anti").select("row")
