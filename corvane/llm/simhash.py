@@ -27,7 +27,7 @@ FANOUT = 8
 #: Rows a task holds at once; a group of fingerprints beyond it is routed anew by a finer choice of blocks.
 GROUP_ROWS = 200_000
 #: Node pairs compared at once.
-FRONTIER = 500_000
+FRONTIER = 200_000
 #: Pairs confirmed before those that are linked by then are left out.
 CONFIRMED = 64
 #: Shingles hashed at once.
@@ -175,17 +175,18 @@ class GrayIndex:
             bounds = self.levels[level][2]
             na, nb = bounds[a + 1] - bounds[a], bounds[b + 1] - bounds[b]
             n = na * nb
-            cut = np.searchsorted(np.cumsum(n), np.arange(FRONTIER, n.sum(), FRONTIER)) if len(n) else []
-            for part in np.split(np.arange(len(a)), cut):
-                if not len(part):
-                    continue
-                m = n[part]
-                k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                width = np.repeat(nb[part], m)
-                x = np.repeat(bounds[a[part]], m) + k // width
-                y = np.repeat(bounds[b[part]], m) + k % width
-                keep = (x <= y) if level > 1 else (x < y)
-                work.append((level - 1, x[keep], y[keep]))
+            if not len(n):
+                continue
+            # Depth first: what is put off waits as few parents, not as all their children, and labels found by then prune it.
+            first = max(1, int(np.searchsorted(np.cumsum(n), FRONTIER, "right")))
+            if first < len(n):
+                work.append((level, a[first:], b[first:]))
+            a, b, n, nb = a[:first], b[:first], n[:first], nb[:first]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            width = np.repeat(nb, n)
+            x, y = np.repeat(bounds[a], n) + k // width, np.repeat(bounds[b], n) + k % width
+            keep = (x <= y) if level > 1 else (x < y)
+            work.append((level - 1, x[keep], y[keep]))
 
     def _confirm(self, a: np.ndarray, b: np.ndarray, alike: Callable[[int, int], bool]) -> None:
         while len(a):
