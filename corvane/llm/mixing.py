@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import fresh, materialize
+from corvane.llm.shared import fresh, materialize, small_batches
 
 #: Buckets of hashed words; a text's features are the buckets it has.
 DIMS = 1 << 15
@@ -249,7 +249,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     labels there is one domain and every rate follows the budget. Other columns are ignored; an empty table gives none.
     """
     classifier = fit(docs, labels)
-    table = materialize(members(docs, classifier), "members")
+    with small_batches(docs.sparkSession):
+        table = materialize(members(docs, classifier), "members")
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     rate, totals = solve(table, classifier.domains, targets, budget_share * total)
     rated = table.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(1.0))
@@ -266,7 +267,8 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     held, tokens, posteriors, own = fresh(docs, "mixed", "n_tokens", "p", "text_hash")
     soft = membership(docs.sparkSession, classifier)
     marked = docs.withColumn(held, soft(F.coalesce("text", F.lit(""))))
-    table = materialize(marked.select(*docs.columns, F.col(held)["n_tokens"].alias(tokens), F.col(held)["p"].alias(posteriors), F.xxhash64("text").alias(own)), "mixed")
+    with small_batches(docs.sparkSession):
+        table = materialize(marked.select(*docs.columns, F.col(held)["n_tokens"].alias(tokens), F.col(held)["p"].alias(posteriors), F.xxhash64("text").alias(own)), "mixed")
     numbers = table.select(F.col(tokens).alias("n_tokens"), F.col(posteriors).alias("p"))
     total = numbers.agg(F.sum("n_tokens")).first()[0] or 0
     rate, _ = solve(numbers, classifier.domains, targets, budget_share * total)

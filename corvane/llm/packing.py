@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import materialize
+from corvane.llm.shared import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -356,4 +356,6 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     A null or empty text is the end id alone; a text of any length is cut, never dropped; repeated rows and null ids are
     pieces of their own. Only doc_id and text are read, so other columns may have any name; an empty table gives no row.
     """
-    return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    return pack(cut, capacity)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows, as 1 in HEAVY, is heavy; so there are fewer than HEAVY heavy keys.
 HEAVY = 10_000
+#: Rows of texts that a Python worker holds at once, and that its JVM keeps for it.
+BATCH_ROWS = 1_000
 
 _open: list[Scratch] = []
 
@@ -81,6 +85,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, Python workers get at most so many rows at a time: for tables that are written there and hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     folder = table._corvane_folder

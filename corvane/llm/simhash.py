@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import connected_components, fresh, materialize, spread_join
+from corvane.llm.shared import connected_components, fresh, materialize, small_batches, spread_join
 
 SEED = 42
 WIDTH = 4
@@ -297,9 +297,10 @@ def components(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) ->
     copies meet before any link is looked for. component_id is the smallest non-null doc_id of all that links reach
     (null if there is none). Other columns are ignored; an empty table gives an empty result.
     """
-    hashed = materialize(
-        docs.select("doc_id", fingerprint_column(docs["text"], width).alias("code"), F.xxhash64("text").alias("text_hash")), "codes"
-    )
+    with small_batches(docs.sparkSession):
+        hashed = materialize(
+            docs.select("doc_id", fingerprint_column(docs["text"], width).alias("code"), F.xxhash64("text").alias("text_hash")), "codes"
+        )
     total = hashed.count()
     least = materialize(hashed.groupBy("code").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")), "least")
     roots = connected_components(near_links(least.select("code"), distance)).select(F.col("node").alias("code"), "root")
@@ -413,12 +414,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: f
 
     held, row = fresh(docs, "sketch", "row")
     marked = docs.withColumn(held, sketched(docs["text"])).withColumn(row, F.monotonically_increasing_id())
-    marked = materialize(marked, "sketches")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        marked = materialize(marked, "sketches")
     narrow = marked.select("doc_id", F.col(row).alias("row"), f"{held}.*")
     first = F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("row")
     nodes = materialize(narrow.groupBy("node").agg(first, F.min("doc_id").alias("least")), "nodes")
     keys = narrow.select("row", "node", "keys", "n_shingles").join(nodes.select("row"), "row", "left_semi")
-    roots = connected_components(similar_links(keys, narrow, similarity))
+    with small_batches(spark):
+        links = materialize(similar_links(keys, narrow, similarity), "similar")
+    roots = connected_components(links)
     linked = nodes.join(roots, "node")
     best = linked.groupBy("root").agg(F.coalesce(F.min_by("row", "least"), F.min("row")).alias("row"))
     alone = nodes.join(roots, "node", "left_anti").select("row")
