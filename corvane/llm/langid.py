@@ -25,7 +25,7 @@ UNKNOWN = "und"
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 32
 #: Texts are hashed together up to this many bytes, longer ones slice by slice.
-SLICE = 1_000_000
+SLICE = 400_000
 
 
 def _counts(texts: list[str]) -> np.ndarray:
