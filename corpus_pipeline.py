@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import langid, mixing, packing, secrets, simhash
 from corvane.llm.queries import table, tokenizer_path
-from corvane.llm.shared import Scratch, discard, materialize
+from corvane.llm.shared import BATCH_ROWS, Scratch, discard, materialize
 
 #: Tokens after mixing as a share of those before. Above 1, so that what the targets do not cut stays once at least.
 BUDGET_SHARE = 1.1
 
 
+def _settings(spark: SparkSession) -> None:
+    """The pipeline's own setting of its session: Python workers, and the JVM's queues for them, hold few whole texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the model rejects go: null texts, texts without a letter, and those far from every centroid."""
+    _settings(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
     return langid.predict(docs, model).where("not rejected").select(*docs.columns)
 
@@ -27,21 +33,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts are one class; repeated rows are copies.
     """
+    _settings(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reported spans are replaced in the text; every document stays, null and empty texts as they are."""
+    _settings(spark)
     return secrets.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says; texts without a word once, repeated rows alike."""
+    _settings(spark)
     return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), budget_share=BUDGET_SHARE)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 4096 tokens; a null or empty text is one end mark."""
+    _settings(spark)
     return packing.best_fit_pack(docs, tokenizer_path())
 
 
