@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ GOAL_PARTICLES = ("について", "調べたい", "したい", "レビューし
 #: Stop words of coverage scoring (fixed values).
 ECHO_STOP = ("the", "a", "an", "is", "in", "of", "to", "and", "or", "for", "on", "by", "with", "は", "が", "を", "に", "で", "と", "の")
 
+#: Runs of letters that are a word (fixed values): CJK and kana blocks, or ASCII letters, digits and hyphens.
 _TOKEN = re.compile(r"[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿ぁ-ゟァ-ヿ]+|[A-Za-z0-9_-]+")
 
 
@@ -112,20 +114,28 @@ def echo_tokens(text: Column) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy in bits over the characters."""
-    chars = F.split(value, "")
-    n = F.size(chars)
+    """Shannon entropy in bits over the characters, from run lengths of one sorted pass; 0 for an empty text."""
+    chars = F.array_sort(F.split(value, ""))
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).cast("double").alias("run"), F.lit(0.0).alias("total"))
+
+    def closed(acc: Column) -> Column:
+        return acc["total"] + F.when(acc["run"] > 0, acc["run"] * F.log2(acc["run"])).otherwise(0.0)
 
-    def share(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def step(acc: Column, c: Column) -> Column:
+        same = c == acc["last"]
+        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, acc["total"]).otherwise(closed(acc)).alias("total"))
 
-    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda total, c: total + share(c))
+    n = F.size(chars)
+    return F.when(value == "", 0.0).otherwise(F.aggregate(chars, start, step, lambda acc: F.log2(n) - closed(acc) / n))
 
 
 def preview(value: Column) -> Column:
-    """Up to twelve characters whole, else the first and last four."""
-    return F.when(F.char_length(value) <= 12, value).otherwise(F.concat(F.left(value, F.lit(4)), F.lit("[...]"), F.right(value, F.lit(4))))
+    """Up to twelve bytes whole, else the whole characters within the first and the last four bytes."""
+    head, tail = F.lit(""), F.lit("")
+    for k in range(1, 5):
+        head = F.when(F.octet_length(F.left(value, F.lit(k))) <= 4, F.left(value, F.lit(k))).otherwise(head)
+        tail = F.when(F.octet_length(F.right(value, F.lit(k))) <= 4, F.right(value, F.lit(k))).otherwise(tail)
+    return F.when(F.octet_length(value) <= 12, value).when(value.isNotNull(), F.concat(head, F.lit("[...]"), tail))
 
 
 def byte_column(line: Column, term: Column) -> Column:
@@ -193,6 +203,13 @@ def language(path: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext), F.lit(""))
 
 
+def period_start(text: str, now: datetime) -> datetime:
+    """`YYYY-MM-DD` as midnight UTC of that day, or a duration before now."""
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text.strip()):
+        return datetime.fromisoformat(text.strip()).replace(tzinfo=UTC)
+    return now - timedelta(seconds=duration_seconds(text))
+
+
 def duration_seconds(text: str) -> int:
     """`7d`, `2w`, `1mo`, `1y`, `3h`, `5m`, `9s` or a sum such as `1h30m`; months are 30 days, years 365."""
     units = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "mo": 2592000, "y": 31536000}
@@ -202,6 +219,10 @@ def duration_seconds(text: str) -> int:
     return sum(int(n) * units[u] for n, u in parts)
 
 
+#: A script block of a page or component, its content in group 1 (fixed value).
+SCRIPT_BLOCK = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
+
+
 def relative_path(raw: Column) -> Column:
     """A relative path below the root with slashes, or null: no empty path, drive, leading slash, NUL or `..`."""
     unified = F.replace(F.trim(raw), F.lit("\\"), F.lit("/"))
@@ -211,5 +232,5 @@ def relative_path(raw: Column) -> Column:
 
 
 def strip_comments(source: Column) -> Column:
-    """Block comments and whole-line `//` comments go."""
-    return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
+    """Block comments go, then each `//` up to the end of its line."""
+    return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")

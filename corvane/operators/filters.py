@@ -15,6 +15,14 @@ DEPENDENCY_FOLDERS = (".git", "node_modules", "vendor", "dist", "build", "target
 #: Names and endings that hold secrets (fixed values).
 SECRET_NAMES = (".env", "id_rsa", "id_ed25519", ".npmrc", ".netrc", "credentials")
 SECRET_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".keystore")
+#: Folders that packs never walk (fixed values).
+PACK_SKIPPED = (".git", "node_modules", "dist", "coverage", "target")
+#: Endings of files whose public interface can be shown alone (fixed values).
+API_ENDINGS = (".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py")
+#: Hex of one, two or three bytes that begin a longer UTF-8 character (fixed values).
+CUT_CHARACTERS = (
+    "^(?:C[2-9A-F]|D.|E.|F[0-4])$", "^(?:E0[AB].|E[1-9A-CEF][89AB].|ED[89].|F0[9AB].|F[1-3][89AB].|F48.)$", "^(?:F0[9AB].|F[1-3][89AB].|F48.)[89AB].$",
+)
 
 
 def ignore_rule(line: str) -> tuple[str, bool] | None:
@@ -24,7 +32,7 @@ def ignore_rule(line: str) -> tuple[str, bool] | None:
     and what matches a folder matches all below it.
     """
     rule = line.rstrip("\r").strip(" ")
-    if not rule or rule.startswith("#"):
+    if not rule or line.startswith("#"):  # an indented mark opens a pattern
         return None
     negated = rule.startswith("!")
     rule = rule[1:] if negated else rule
@@ -120,9 +128,47 @@ def allowed(path: Column, include: list[str] = (), exclude: list[str] = ()) -> C
 
 
 def is_binary(head: Column) -> Column:
-    """A NUL in the first 512 bytes, or bytes that are no UTF-8."""
+    """A NUL in the first 512 bytes, or bytes there that are no UTF-8; a character that the 512th byte cuts is no such evidence."""
     start = F.substring(head, 1, 512)
-    return (F.instr(F.hex(start), "00") % 2 == 1) | ~F.is_valid_utf8(start)
+    valid = F.is_valid_utf8(start)
+    for k, opened in enumerate(CUT_CHARACTERS, 1):
+        end = F.hex(F.substring(start, F.octet_length(start) - k + 1, F.lit(k)))
+        valid = valid | ((F.octet_length(start) >= k) & end.rlike(opened) & F.is_valid_utf8(F.substring(start, F.lit(1), F.octet_length(start) - k)))
+    return has_nul(start) | ~valid
+
+
+def has_nul(data: Column) -> Column:
+    return F.contains(data.cast("string"), F.char(F.lit(0)))
+
+
+def is_binary_blob(data: Column) -> Column:
+    """A NUL in the first 8000 bytes, as for stored revisions."""
+    return has_nul(F.substring(data, 1, 8000))
+
+
+def pack_ignored(path: Column, patterns: list[str]) -> Column:
+    """The simpler ignore lists of packs: comments and negations are dropped; a name or glob without a slash fits any segment,
+    one with a slash from the root, and what fits a folder fits all below.
+    """
+    kept = [p for p in (x.strip() for x in patterns) if p and not p.startswith(("#", "!"))]
+    if not kept:
+        return F.lit(False)
+    return path.rlike("|".join(f"(?:{glob_pattern(p.removeprefix('/') if '/' in p.strip('/') else p.strip('/'))})" for p in kept))
+
+
+def hard_skipped(path: Column) -> Column:
+    """Below a folder that packs never walk."""
+    return path.rlike("(?:^|/)(?:" + "|".join(map(re.escape, PACK_SKIPPED)) + ")/")
+
+
+def api_only(path: Column) -> Column:
+    """Whether a file's public interface can be shown alone."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(*API_ENDINGS)
+
+
+def changed(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """files whose path is in the change set (path)."""
+    return files.join(changes.select("path"), "path", "left_semi")
 
 
 def below(path: Column, anchor: str) -> Column:

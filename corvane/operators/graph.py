@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
-#: Import statements by language (fixed values): extensions and pattern with the target in group 1.
+#: Import statements by language (fixed values): extensions, pattern, and the group with the target. Lists are parted at commas.
 IMPORTS = (
-    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""(?:import|export)[^'"\n]*?from\s*['"]([^'"]+)['"]"""),
-    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""(?:import|require)\s*\(?\s*['"]([^'"]+)['"]"""),
-    ("py", r"(?m)^\s*from\s+([.\w]+)\s+import"),
-    ("py", r"(?m)^\s*import\s+([.\w]+)"),
-    ("java|kt|scala", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
+    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""\b(?:import|export)\b[^'"\n;]*?(?:from\s*)?['"]([^'"\n]+)['"]"""),
+    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""\b(?:import|require)\b\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""),
+    ("py", r"(?m)^\s*from\s+(\.*[\w.]*)\s+import\s"),
+    ("py", r"(?m)^\s*import\s+([^\n#]+)"),
+    ("java|scala", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"),
+    ("kt", r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?\s*$"),
     ("go", r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"'),
-    ("php", r"(?m)^\s*use\s+([\\\w]+)"),
-    ("swift", r"(?m)^\s*import\s+(\w+)"),
+    ("php", r"(?m)^\s*use\s+(?:function\s+|const\s+)?([^;]+);"),
+    ("swift", r"(?m)^\s*import\s+(?:struct\s+|class\s+|enum\s+|protocol\s+|typealias\s+|func\s+|var\s+|let\s+)?([A-Za-z_]\w*)"),
 )
 #: Endings tried for a target without one, in order (fixed values).
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py", ".java", ".kt", ".php", ".swift", ".go")
 
 
+def _listed(target: Column) -> Column:
+    """`a as b, c` and `N\\{A, B as C}` -> each name by itself, aliases left out."""
+    head, rest = F.regexp_extract(target, r"^([^{]*)\{", 1), F.regexp_extract(target, r"\{([^}]*)\}", 1)
+    names = F.when(target.contains("{"), F.transform(F.split(rest, ","), lambda x: F.concat(head, F.trim(x)))).otherwise(F.split(target, ","))
+    return F.filter(F.transform(names, lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", "")), lambda x: x != "")
+
+
 def import_targets(files: DataFrame) -> DataFrame:
     """files (path, body) -> (path, target) as written, comments left out, each once."""
     ext = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
-    plain = F.regexp_replace(F.regexp_replace("body", r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
+    plain = F.when(ext == "py", F.col("body")).when(ext == "php", F.regexp_replace(T.strip_comments(F.col("body")), r"#[^\n]*", "")).when(ext == "go", F.col("body")).otherwise(T.strip_comments(F.col("body")))
     found = F.array().cast("array<string>")
     for endings, pattern in IMPORTS:
-        found = F.concat(found, F.when(ext.rlike(f"^(?:{endings})$"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>")))
+        targets = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
+        if endings in ("py", "php"):
+            targets = F.flatten(F.transform(targets, _listed))
+        found = F.concat(found, F.when(ext.rlike(f"^(?:{endings})$"), targets).otherwise(F.array().cast("array<string>")))
     return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
 
 
@@ -66,41 +82,89 @@ def lookup(symbols: DataFrame, name: str, origin: str = "", kind: str = "") -> D
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "path", "name", "kind", "line")  # one name's definitions
 
 
-def focus(files: DataFrame, lines: DataFrame, symbols: DataFrame, anchor: str, hops: int = 1) -> DataFrame:
-    """(path, reason): where a symbol is defined, its folder, files named for it, and files that mention it; then, on a second hop, files that mention symbols of those.
+#: Endings of files that focus reads (fixed values).
+FOCUS_ENDINGS = ("go", "ts", "tsx", "js", "jsx", "mjs", "py")
+_IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+def focus(files: DataFrame, lines: DataFrame, symbols: DataFrame, anchor: str, hops: int = 1, endings: tuple[str, ...] = FOCUS_ENDINGS) -> DataFrame:
+    """(path, reason): where a symbol is defined, its folder, files named for the defining file (its stem, or that and `_`), and files
+    that mention the symbol; then, on a second hop, files that mention symbols of those. The first reason of a path stands.
 
-    Mentions are equality of identifiers, so text meets names by an equi-join. The first reason of a path stands.
+    Only files of these endings count, but for the defining one. Names meet by equality: a file's stem and each beginning
+    of it before a `_` with the defining stem, and identifiers of lines with symbol names, after lines without any are dropped.
     """
+    low = F.lower("path")
+    ours = reduce(lambda a, b: a | b, [low.endswith("." + e) for e in endings])
     origin = symbols.where(F.col("name") == anchor).select("path").distinct()
+    known = files.where(ours).select("path")
     folders = origin.select(T.dirname(F.col("path")).alias("dir")).distinct()
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
-    near = files.select("path", T.dirname(F.col("path")).alias("dir")).join(folders, "dir", "left_semi")
-    low = anchor.lower()
-    stem = F.lower(T.stem(F.col("path")))
-    named = files.where((stem == low) | stem.startswith(low + "_"))
-    said = lines.where(F.array_contains(words, anchor))
-    first = [(origin, 0, "anchor-origin"), (near, 1, "same-dir"), (named, 2, "basename-prefix"), (said, 3, "name-match")]
+    near = known.withColumn("dir", T.dirname(F.col("path"))).join(folders, "dir", "left_semi")
+    stems = origin.select(T.stem(F.col("path")).alias("head")).distinct()
+    parts = F.split(T.stem(F.col("path")), "_")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "_"))
+    named = known.select("path", F.explode(heads).alias("head")).join(stems, "head", "left_semi")
+    texts = lines.where(ours)
+    said = texts.where(F.col("text").contains(anchor) & F.array_contains(F.regexp_extract_all("text", F.lit(_IDENTIFIER), F.lit(0)), anchor)).select("path").distinct()
     rows = None
-    for frame, k, reason in first:
+    for k, (frame, reason) in enumerate(((origin, "anchor-origin"), (near, "same-dir"), (named, "basename-prefix"), (said, "name-match"))):
         part = frame.select("path", F.lit(k).alias("k"), F.lit(reason).alias("reason"))
         rows = part if rows is None else rows.unionAll(part)
     found = rows.groupBy("path").agg(F.min_by("reason", "k").alias("reason"))
     if hops < 2:
         return found
     names = symbols.join(found.select("path"), "path", "left_semi").select(F.col("name").alias("word")).distinct()
-    mentions = lines.select("path", F.explode(words).alias("word")).distinct().join(names, "word", "left_semi").select("path").distinct()
-    return found.unionAll(mentions.join(found.select("path"), "path", "left_anti").withColumn("reason", F.lit("hop-2")))
+    words = texts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_IDENTIFIER), F.lit(0)))).alias("word"))
+    more = words.join(names, "word", "left_semi").select("path").distinct().join(found.select("path"), "path", "left_anti")
+    return found.unionAll(more.select("path", F.lit("hop-2").alias("reason")))
+
+
+#: Stems that one automaton holds; more are matched block by block.
+STEM_BLOCK = 50_000
+
+
+@lru_cache(maxsize=2)
+def _automaton(stems: tuple[str, ...]):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for k, stem in enumerate(stems):
+        machine.add_word(stem, k)
+    machine.make_automaton()
+    return machine
 
 
 def reference_counts(files: DataFrame) -> DataFrame:
-    """(path, refs): how many other files have a word that is the path's stem.
+    """(path, refs): how many other files hold the path's stem on any line, inside longer words too.
 
-    Words, not any substring: texts meet stems by an equi-join, which a test of every stem in every text could not scale to.
+    Each distinct stem is looked for once: one pass of an automaton over every body counts the files of all stems of a block, and a
+    file's own mention is taken off. Stems are parted in blocks of about STEM_BLOCK by hash, so what a task gets is bounded;
+    the driver holds one block at a time. Counts are summed per batch before they are shuffled.
     """
-    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
-    stems = files.select(T.stem(F.col("path")).alias("word"), F.col("path").alias("own"))
-    hits = words.join(stems, "word").where("path <> own").groupBy("own").agg(F.count("*").alias("refs"))
-    return files.select(F.col("path")).join(hits.withColumnRenamed("own", "path"), "path", "left").select("path", F.coalesce("refs", F.lit(0)).alias("refs"))
+    stems = files.select("path", T.stem(F.col("path")).alias("stem"), F.col("body").contains(T.stem(F.col("path"))).cast("long").alias("own"))
+    distinct = stems.where("stem <> ''").select("stem").distinct()
+    blocks = -(-distinct.count() // STEM_BLOCK)
+    counted = None
+    for k in range(blocks):
+        block = tuple(sorted(r["stem"] for r in distinct.where(F.pmod(F.xxhash64("stem"), F.lit(blocks)) == k).collect()))
+        if not block:
+            continue
+        shared = files.sparkSession.sparkContext.broadcast(block)
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            machine, held = _automaton(shared.value), shared.value
+            for batch in batches:
+                total: Counter[int] = Counter()
+                for body in batch["body"]:
+                    total.update({at for _, at in machine.iter(body or "")})
+                yield pd.DataFrame({"stem": [held[at] for at in total], "n": list(total.values())}).astype({"stem": object, "n": "int64"})
+
+        part = files.select("body").mapInPandas(count, "stem string, n long")
+        counted = part if counted is None else counted.unionAll(part)
+    if counted is None:
+        return stems.select("path", F.lit(0).cast("long").alias("refs"))
+    sums = counted.groupBy("stem").agg(F.sum("n").alias("n"))
+    return stems.join(sums, "stem", "left").select("path", F.coalesce(F.col("n") - F.col("own"), F.lit(0)).cast("long").alias("refs"))
 
 
 #: Ranks of change states (fixed values): a folder shows the highest below it.

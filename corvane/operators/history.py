@@ -18,8 +18,8 @@ def churn(commits: DataFrame, commit_files: DataFrame, since: Column | None = No
 
 
 def newest_commits(commits: DataFrame, limit: int) -> DataFrame:
-    """The newest commits by (at, commit)."""
-    return commits.orderBy(F.desc("at"), F.desc("commit")).limit(limit)
+    """The newest commits by time; equal times go by commit."""
+    return commits.orderBy(F.desc("at"), "commit").limit(limit)
 
 
 def pairs(commits: DataFrame, commit_files: DataFrame, limit: int | None = None, min_weight: int = 2) -> DataFrame:
@@ -30,8 +30,8 @@ def pairs(commits: DataFrame, commit_files: DataFrame, limit: int | None = None,
     """
     chosen = commits if limit is None else newest_commits(commits, limit)
     files = commit_files.select("commit", "path").distinct().join(chosen.select("commit"), "commit", "left_semi")
-    counted = files.withColumn("n", F.count("*").over(Window.partitionBy("commit"))).where(F.col("n").between(2, PAIR_FILES))
-    gathered = counted.groupBy("commit").agg(F.sort_array(F.collect_list("path")).alias("p"))
+    sized = files.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(2, PAIR_FILES))  # before any path is gathered
+    gathered = files.join(sized, "commit", "left_semi").groupBy("commit").agg(F.sort_array(F.collect_list("path")).alias("p"))
     later = lambda a, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))
     each = gathered.select(F.explode(F.flatten(F.transform("p", later))).alias("x")).select("x.a", "x.b")
     return each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
@@ -66,13 +66,16 @@ def companions(partner_rows: DataFrame, files: DataFrame, seeds: list, n: int) -
 
 
 def digest(commits: DataFrame, commit_files: DataFrame, since: Column) -> DataFrame:
-    """One row: commits, authors, files, added and deleted rows since a time."""
-    period = commits.where(F.col("at") >= since).select("commit", "author")
+    """One row of a period: commits, authors, files changed, files added (status A outside root commits) and files deleted (status D).
+
+    commits (commit, at, author, root) and commit_files (commit, path, status).
+    """
+    period = commits.where(F.col("at") >= since).select("commit", "author", "root")
     heads = period.agg(F.count("*").alias("commits"), F.count_distinct("author").alias("authors"))
-    touched = commit_files.join(period.select("commit"), "commit", "left_semi").agg(
-        F.count_distinct("path").alias("files"), F.coalesce(F.sum("added"), F.lit(0)).cast("long").alias("added"), F.coalesce(F.sum("deleted"), F.lit(0)).cast("long").alias("deleted")
-    )
-    return heads.crossJoin(F.broadcast(touched))  # one row each
+    touched = commit_files.select("commit", "path", "status").join(period.select("commit", "root"), "commit")
+    by_path = touched.groupBy("path").agg(F.max((F.col("status") == "A") & ~F.col("root")).alias("a"), F.max(F.col("status") == "D").alias("d"))
+    sums = by_path.agg(F.count("*").alias("files"), F.count_if("a").alias("added"), F.count_if("d").alias("deleted"))
+    return heads.crossJoin(F.broadcast(sums))  # one row each
 
 
 def hot_files(commits: DataFrame, commit_files: DataFrame, since: Column, top: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -74,29 +75,31 @@ def gap(scored: DataFrame) -> DataFrame:
 
 
 def greedy(items: DataFrame, budget: int, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """items (path, tokens, ...) with `taken` and `used`: in order (then tokens, path), a row is taken if it still fits, else passed over.
+    """items (path, tokens, ...) with `taken` and `used`: in order, then by path, a row is taken if it still fits, else passed over.
 
-    Each decision depends on all before it, so a group is folded in one task, in one pass over its numbers: a group is a
-    bounded selection, such as candidates after ranking or one strand. Whole corpora in ascending size go to budget_plan.
+    Each decision depends on all before it, so the rows of a group pass through one task, sorted by Spark (which spills)
+    and streamed batch by batch: memory does not grow with the group. Whole corpora in ascending size go to budget_plan.
     """
     keys = group or []
-    slim = items.select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col("tokens").alias("_n"), F.col("path").alias("_path"))
-    by = [*[f"_o{k}" for k in range(len(order))], "_n", "_path"]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(by, kind="stable")
-        used, taken, after = 0, [], []
-        for n in rows["_n"].tolist():
-            fits = used + n <= budget
-            used += n if fits else 0
-            taken.append(fits)
-            after.append(used)
-        return rows[[*keys, "_path"]].assign(taken=taken, used=after)
-
-    types = dict(slim.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"_path {types['_path']}", "taken boolean", "used long"])
-    marks = slim.groupBy(*keys).applyInPandas(fold, schema)
-    return items.join(marks.withColumnRenamed("_path", "path"), [*keys, "path"])
+    by = [*keys, *order, *([] if "path" in order else ["path"])]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used = None, 0
+        for rows in batches:
+            taken, after = [], []
+            owners = list(zip(*[rows[k] for k in keys], strict=True)) if keys else [()] * len(rows)
+            for owner, n in zip(owners, rows["tokens"].tolist(), strict=True):
+                if owner != at:
+                    at, used = owner, 0
+                fits = used + n <= budget
+                used += n if fits else 0
+                taken.append(fits)
+                after.append(used)
+            yield rows.assign(taken=taken, used=after)
+
+    dealt = items.repartition(*keys) if keys else items.coalesce(1)
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in items.dtypes], "taken boolean", "used long"])
+    return dealt.sortWithinPartitions(*by).mapInPandas(fold, schema)
 
 
 #: Budget order of roles (fixed values): lower first.

@@ -58,7 +58,7 @@ def digest_markdown(digest: DataFrame) -> DataFrame:
     return digest.select(
         F.concat(
             F.lit("# Digest\n\n- commits: "), F.col("commits").cast("string"), F.lit("\n- authors: "), F.col("authors").cast("string"), F.lit("\n- files: "), F.col("files").cast("string"),
-            F.lit("\n- added: "), signed(F.col("added")), F.lit("\n- deleted: "), signed(-F.col("deleted")), F.lit("\n"),
+            F.lit("\n- added: "), F.col("added").cast("string"), F.lit("\n- deleted: "), F.col("deleted").cast("string"), F.lit("\n"),
         ).alias("text")
     )
 

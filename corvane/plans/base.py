@@ -19,9 +19,10 @@ cut as (select path, case when p[len(p)] = '' then p[1:len(p) - 1] else p end as
 lines as (select path, u.i as line_no, p[u.i] as text from cut, unnest(range(1, len(p) + 1)) as u(i))"""
 SYMBOLS = LINES + """,
 symbols as (select path, regexp_extract(text, '[A-Z][a-z]+') as name, 'word' as kind, line_no as line from lines where regexp_matches(text, '[A-Z][a-z]+'))"""
-COMMITS = """commits as (select o_orderkey as "commit", o_orderdate as "at", o_custkey as author from orders),
+COMMITS = """commits as (select o_orderkey as "commit", o_orderdate as "at", o_custkey as author, o_orderpriority like '1%' as root from orders),
 commit_files as (select l_orderkey as "commit", l_partkey as path, sum(cast(floor(l_quantity) as bigint)) as added,
-  sum(case when l_returnflag = 'R' then cast(floor(l_quantity) as bigint) else 0 end) as deleted from lineitem group by all)"""
+  sum(case when l_returnflag = 'R' then cast(floor(l_quantity) as bigint) else 0 end) as deleted,
+  case when bool_or(l_returnflag = 'R') then 'D' when bool_or(l_returnflag = 'A') then 'A' else 'M' end as status from lineitem group by all)"""
 
 
 def query(name: str, sql: str | None = None) -> Callable:

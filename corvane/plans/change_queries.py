@@ -45,8 +45,8 @@ def s18b(spark, sf_dir):
     return render.heat_rows(a1(spark, sf_dir), "ascii")
 
 
-@query("s21_digest_markdown", f"""with {COMMITS}, d as (select (select count(*) from commits) as c, (select count(distinct author) from commits) as a, count(distinct path) as f, sum(added) as p, sum(deleted) as m from commit_files)
-select '# Digest' || chr(10) || chr(10) || '- commits: ' || c || chr(10) || '- authors: ' || a || chr(10) || '- files: ' || f || chr(10) || '- added: +' || p || chr(10) || '- deleted: -' || m || chr(10) as text from d""")
+@query("s21_digest_markdown", f"""with {COMMITS}, d as (select (select count(*) from commits) as c, (select count(distinct author) from commits) as a, count(distinct path) as f, count(distinct path) filter (where status = 'A' and not root) as p, count(distinct path) filter (where status = 'D') as m from commit_files join commits using ("commit"))
+select '# Digest' || chr(10) || chr(10) || '- commits: ' || c || chr(10) || '- authors: ' || a || chr(10) || '- files: ' || f || chr(10) || '- added: ' || p || chr(10) || '- deleted: ' || m || chr(10) as text from d""")
 def s21(spark, sf_dir):
     from corvane.operators import history
 
@@ -66,6 +66,13 @@ def p43(spark, sf_dir):
 
 
 CODE = """code as (select 'f' || page_id || case page_id % 3 when 0 then '.py' when 1 then '.go' else '.ts' end as path, 'import os' || chr(10) || 'def run' || page_id || '(' || chr(10) || '    a,' || chr(10) || '):' || chr(10) || '    pass' || chr(10) || 'class Thing' || page_id || ':' || chr(10) || '    pass' as body from pages)"""
+#: Declarations of four languages, and lines that look like some but are none: the same in both engines, with what is found.
+DECLARED = (
+    ("a.go", "  func (r *Reader) Read(p []byte)", "Read", "function"), ("a.go", "func  main()", "main", "function"), ("a.go", "\ttype  Point struct {", "Point", "type"), ("a.go", "functional()", None, None), ("a.go", "var x = func(a int) {}", None, None),
+    ("b.rs", "pub fn open<T>()", "open", "function"), ("b.rs", "    trait Shape {", "Shape", "interface"), ("b.rs", "pub enum Kind", "Kind", "type"), ("b.rs", "async fn later()", None, None), ("b.rs", "pub(crate) struct Hidden", None, None),
+    ("c.ts", "export default class App {", "App", "class"), ("c.ts", "export interface Props {", "Props", "interface"), ("c.cjs", "const add = (a, b) => a + b", "add", "function"), ("c.ts", "export const LIMIT = 3", None, None),
+    ("c.ts", "type Id = string", None, None), ("c.tsx", "  function view() {", "view", "function"), ("d.py", "    def run(self):", "run", "function"), ("d.py", "class Thing:", "Thing", "class"), ("d.py", "async def later():", None, None), ("e.txt", "def no():", None, None),
+)
 
 
 def code(spark, sf_dir):
@@ -76,11 +83,13 @@ def code(spark, sf_dir):
 
 
 @query("p32_line_symbols", f"""with {CODE} select path, 'run' || regexp_extract(path, '\\d+') as name, 'function' as kind, 2 as line from code where ends_with(path, '.py')
-union all select path, 'Thing' || regexp_extract(path, '\\d+'), 'class', 6 from code where ends_with(path, '.py') or ends_with(path, '.ts')""")
+union all select path, 'Thing' || regexp_extract(path, '\\d+'), 'class', 6 from code where ends_with(path, '.py') or ends_with(path, '.ts')
+union all select * from (values {", ".join(f"('{p}', '{n}', '{k}', {i})" for i, (p, _, n, k) in enumerate(DECLARED, 1) if n)}) v(path, name, kind, line)""")
 def p32(spark, sf_dir):
     from corvane.sources import tables as S
 
-    return S.code_symbols(S.lines_of(code(spark, sf_dir)))
+    rows = [(p, i, t) for i, (p, t, _, _) in enumerate(DECLARED, 1)]
+    return S.code_symbols(S.lines_of(code(spark, sf_dir)).unionAll(spark.createDataFrame(rows, "path string, line_no long, text string")))
 
 
 @query("p28_signatures", f"""with {CODE}, l as (select path, u.i as line_no, string_split(body, chr(10))[u.i] as text from code, unnest(range(1, 8)) as u(i))
@@ -100,11 +109,13 @@ def p29(spark, sf_dir):
     return render.public_lines(S.lines_of(code(spark, sf_dir)))
 
 
-@query("j17_query_log", f"""with {COMMITS}, found as (select distinct path from commit_files where path % 97 = 5), hits as (select distinct "commit", path from commit_files where path in (select path from found)),
+@query("j17_query_log", f"""with {COMMITS}, found as (select p_partkey as path from part order by greatest(len(p_name) - len(replace(lower(p_name), 'a', '')), 0) desc, p_partkey limit 10), hits as (select distinct "commit", path from commit_files where path in (select path from found)),
 g as (select "commit", string_agg(cast(path as varchar), ',' order by path) as matched from hits group by "commit"), r as (select g."commit", "at", matched from g join commits using ("commit"))
 select "commit", "at", matched, (select count(*) from r) > 100 as truncated from r order by "at" desc, "commit" limit 100""")
 def j17(spark, sf_dir):
-    found = commit_files(spark, sf_dir).where("path % 97 = 5").select("path")
+    name = F.lower("p_name")
+    hits = F.char_length(name) - F.char_length(F.replace(name, F.lit("a"), F.lit("")))
+    found = table(spark, sf_dir, "part").orderBy(F.desc(hits), "p_partkey").limit(10).select(F.col("p_partkey").alias("path"))  # the ten best hits of a search
     log = changes.query_log(found, commits(spark, sf_dir), commit_files(spark, sf_dir))
     return log.select("commit", "at", F.array_join(F.col("matched_paths").cast("array<string>"), ",").alias("matched"), "truncated")
 
@@ -209,14 +220,13 @@ def u2(spark, sf_dir):
     return changes.append_companions(scored.where("tier = 'High'"), scored.where("tokens % 50 = 0").select("path"))
 
 
-@query("w19_tiered_plan", f"""with recursive {RELEVANT}, best as materialized (select * from tiered where tier <> '' order by score desc, path limit 150),
-ranked as materialized (select row_number() over (order by case tier when 'High' then 0 else 1 end, -score, tokens, path) as k, path, tokens from best),
+@query("w19_tiered_plan", f"""with recursive {RELEVANT}, 
+ranked as materialized (select row_number() over (order by case tier when 'High' then 0 else 1 end, -score, path) as k, path, tokens from tiered where tier <> ''),
 walk as (select k, path, tokens, tokens <= 9000 as taken, case when tokens <= 9000 then tokens else 0 end as used from ranked where k = 1
   union all select r.k, r.path, r.tokens, w.used + r.tokens <= 9000, case when w.used + r.tokens <= 9000 then w.used + r.tokens else w.used end from walk w join ranked r on r.k = w.k + 1)
 select path, tokens, taken, cast(used as bigint) as used from walk""")
 def w19(spark, sf_dir):
-    best = relevance.rank(k6(spark, sf_dir), 150)
-    ordered = best.withColumns({"tier_order": changes.tier_order(F.col("tier")), "falling": -F.col("score")})
+    ordered = k6(spark, sf_dir).where("tier <> ''").withColumns({"tier_order": changes.tier_order(F.col("tier")), "falling": -F.col("score")})
     return relevance.greedy(ordered, 9000, ["tier_order", "falling"]).select("path", "tokens", "taken", "used")
 
 

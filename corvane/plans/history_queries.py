@@ -36,7 +36,7 @@ def t5(spark, sf_dir):
     return history.top_pairs(j1(spark, sf_dir), 50)
 
 
-@query("j1_newest_commits", f"""with {COMMITS}, top as (select "commit" from commits order by "at" desc, "commit" desc limit 500),
+@query("j1_newest_commits", f"""with {COMMITS}, top as (select "commit" from commits order by "at" desc, "commit" limit 500),
 f as (select "commit", path from commit_files join top using ("commit"))
 select x.path as a, y.path as b, count(*) as weight from f x join f y on x."commit" = y."commit" and x.path < y.path group by all""")
 def j1_limited(spark, sf_dir):
@@ -71,7 +71,7 @@ def j28(spark, sf_dir):
 
 @query("a6_digest", f"""with {COMMITS}, p as (select * from commits where "at" >= timestamp '{SINCE}')
 select (select count(*) from p) as commits, (select count(distinct author) from p) as authors, count(distinct path) as files,
-  cast(coalesce(sum(added), 0) as bigint) as added, cast(coalesce(sum(deleted), 0) as bigint) as deleted from commit_files where "commit" in (select "commit" from p)""")
+  count(distinct path) filter (where status = 'A' and not root) as added, count(distinct path) filter (where status = 'D') as deleted from commit_files join p using ("commit")""")
 def a6(spark, sf_dir):
     return history.digest(commits(spark, sf_dir), commit_files(spark, sf_dir), _since())
 
@@ -95,7 +95,7 @@ def f13(spark, sf_dir):
     return history.in_period(present, touched, modified, F.lit("1998-01-01").cast("timestamp"), F.lit("2000-01-01").cast("timestamp"))
 
 
-@query("s7_newest_log", f"""with {COMMITS} select "commit", "at", author, (select count(*) from commits) > 100 as truncated from commits order by "at" desc, "commit" limit 100 """)
+@query("s7_newest_log", f"""with {COMMITS} select "commit", "at", author, root, (select count(*) from commits) > 100 as truncated from commits order by "at" desc, "commit" limit 100 """)
 def s7(spark, sf_dir):
     return S.newest(commits(spark, sf_dir), 100)
 

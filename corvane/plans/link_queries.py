@@ -34,29 +34,31 @@ def j24(spark, sf_dir):
     return graph.lookup(symbols(spark, sf_dir), "The", "src1/en/doc_1.md")
 
 
-FOCUS = f"""{SYMBOLS}, origin as (select distinct path from symbols where name = 'Thention' or name = 'Theand'),
+FOCUS = f"""{SYMBOLS}, origin as (select distinct path, regexp_extract(path, '([^/]+)\\.md$', 1) as head from symbols where name = 'Hand'),
 words as (select distinct path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as word from lines),
 r as (select path, 0 as k, 'anchor-origin' as reason from symbols where name = 'Hand' union all
   select path, 1, 'same-dir' from files where {DIR} in (select {DIR} from symbols where name = 'Hand') union all
+  select f.path, 2, 'basename-prefix' from files f join origin o on regexp_extract(f.path, '([^/]+)\\.md$', 1) = head or starts_with(regexp_extract(f.path, '([^/]+)\\.md$', 1), head || '_') union all
   select path, 3, 'name-match' from words where word = 'Hand'),
 one as (select path, arg_min(reason, k) as reason from r group by path)"""
 
 
 @query("j21_focus", f"with {FOCUS} select path, reason from one")
 def j21(spark, sf_dir):
-    return graph.focus(files(spark, sf_dir), lines(spark, sf_dir), symbols(spark, sf_dir), "Hand")
+    return graph.focus(files(spark, sf_dir), lines(spark, sf_dir), symbols(spark, sf_dir), "Hand", endings=("md",))
 
 
 @query("j22_focus_two_hops", f"""with {FOCUS}, names as (select distinct name from symbols where path in (select path from one)),
 more as (select distinct path from words where word in (select name from names) and path not in (select path from one))
 select path, reason from one union all select path, 'hop-2' from more""")
 def j22(spark, sf_dir):
-    return graph.focus(files(spark, sf_dir), lines(spark, sf_dir), symbols(spark, sf_dir), "Hand", 2)
+    return graph.focus(files(spark, sf_dir), lines(spark, sf_dir), symbols(spark, sf_dir), "Hand", 2, ("md",))
 
 
 REFS = f"""{SYMBOLS}, stems as (select distinct name || '.md' as path, name as stem from symbols),
-words as (select distinct path, unnest(regexp_extract_all(body, '[A-Za-z0-9_]+')) as word from files),
-refs as (select s.path, count(w.path) as refs from stems s left join words w on w.word = s.stem group by s.path)"""
+refs as (select s.path, count(f.path) as refs from stems s left join files f on contains(f.body, s.stem) group by s.path),
+named as (select f.path, regexp_extract(f.path, '([^/]+)\\.md$', 1) as stem from files f),
+own as (select n.path, count(f.path) as refs from named n left join files f on f.path <> n.path and contains(f.body, n.stem) group by n.path)"""
 
 
 def _named(spark, sf_dir):
@@ -70,7 +72,7 @@ def k14(spark, sf_dir):
 
 
 @query("k13_onboarding", f"""with {REFS}, n as (select path, count(*) as n from symbols group by path),
-s as (select f.path, 'core' as role, round(case when n.n > 0 then 15.0 else 0.0 end + case when n.n > 0 then least(3 * log2(n.n + 1), 15.0) else 0.0 end, 2) as score from files f left join n using (path))
+s as (select f.path, 'core' as role, round(case when n.n > 0 then 15.0 else 0.0 end + case when n.n > 0 then least(3 * log2(n.n + 1), 15.0) else 0.0 end + least(own.refs / greatest((select max(refs) from own), 1) * 20, 20.0), 2) as score from files f left join n using (path) left join own using (path))
 select row_number() over (order by score desc, path) as rank, path, role, score from s order by score desc, path limit 10""")
 def k13(spark, sf_dir):
     rows = files(spark, sf_dir)

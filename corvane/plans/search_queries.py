@@ -118,20 +118,20 @@ def _fold(source: str) -> str:
 
 
 @query("w1_budget_pack", f"""with recursive {RELEVANT},
-best as materialized (select * from tiered where tier <> '' order by score desc, path limit 200),
-ranked as materialized (select 1 as g, row_number() over (order by -score, tokens, path) as k, path, tokens from best), {_fold("ranked")}
+ranked as materialized (select 1 as g, row_number() over (order by -score, path) as k, path, tokens from tiered where tier <> ''), {_fold("ranked")}
 select path, tokens, taken, cast(used as bigint) as used from walk""")
 def w1(spark, sf_dir):
-    best = relevance.rank(k6(spark, sf_dir), 200).withColumn("order", -F.col("score"))
-    return relevance.greedy(best, BUDGET, ["order"]).select("path", "tokens", "taken", "used")
+    ranked = k6(spark, sf_dir).where("tier <> ''").withColumn("order", -F.col("score"))
+    return relevance.greedy(ranked, BUDGET, ["order"]).select("path", "tokens", "taken", "used")
 
 
 @query("w13_strand_trim", f"""with recursive {FILES},
-ranked as materialized (select split_part(path, '/', 2) as g, row_number() over (partition by split_part(path, '/', 2) order by tokens, path) as k, path, tokens from files where tokens > 200), {_fold("ranked")}
+ranked as materialized (select split_part(path, '/', 2) as g, row_number() over (partition by split_part(path, '/', 2) order by cast(regexp_extract(path, 'doc_(\\d+)', 1) as bigint) desc, path) as k, path, tokens from files), {_fold("ranked")}
 select g as strand, path, tokens, taken, cast(used as bigint) as used from walk""")
 def w13(spark, sf_dir):
-    strands = files(spark, sf_dir).where("tokens > 200").select(F.split_part("path", F.lit("/"), F.lit(2)).alias("strand"), "path", "tokens")
-    return relevance.greedy(strands, BUDGET, ["tokens"], ["strand"]).select("strand", "path", "tokens", "taken", "used")
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")  # each strand in an order of its own
+    strands = files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(2)).alias("strand"), "path", "tokens", (-number).alias("ord"))
+    return relevance.greedy(strands, BUDGET, ["ord"], ["strand"]).select("strand", "path", "tokens", "taken", "used")
 
 
 PLAN = f"""{FILES},

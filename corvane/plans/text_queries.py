@@ -56,28 +56,29 @@ def p7(spark, sf_dir):
     return lines(spark, sf_dir)
 
 
-@query("p19_line_entropy", f"""with {FILES}, c as (select path, unnest(string_split(substr(body, 1, 200), '')) as ch from files where body <> ''),
+@query("p19_line_entropy", f"""with {FILES}, c as (select path, unnest(string_split(body, '')) as ch from files where body <> ''),
 n as (select path, ch, count(*) as n from c group by all), t as (select path, sum(n) as t from n group by path)
 select path, round(sum(-(n / t) * log2(n / t)), 9) as bits from n join t using (path) group by path""")
 def p19(spark, sf_dir):
     rows = files(spark, sf_dir).where("body <> ''")
-    return rows.select("path", F.round(T.entropy(F.left("body", F.lit(200))), 9).alias("bits"))  # the head of a file, as the entropy probe reads it
+    return rows.select("path", F.round(T.entropy(F.col("body")), 9).alias("bits"))
 
 
-@query("p20_entropy_candidates", f"""with {LINES}, c as (select distinct path, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_+/=-]+')) as candidate from lines),
+@query("p20_entropy_candidates", f"""with {LINES}, m as (select path, line_no, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_+/=-]+') as found from lines where not contains(text, 'token')),
+c as (select path, line_no, u.i as k, found[u.i] as candidate from m, unnest(range(1, len(found) + 1)) as u(i)),
 b as (select *, unnest(string_split(candidate, '')) as ch from c where length(candidate) >= 20),
-n as (select path, line_no, candidate, ch, count(*) as n from b group by all),
-e as (select path, line_no, candidate, round(sum(-(n / length(candidate)) * log2(n / length(candidate))), 9) as bits from n group by all)
-select * from e where bits >= 3.5""")
+n as (select path, line_no, k, candidate, ch, count(*) as n from b group by all),
+e as (select path, line_no, k, candidate, sum(-(n / length(candidate)) * log2(n / length(candidate))) as bits from n group by all)
+select path, line_no, arg_min(candidate, k) as candidate, round(arg_min(bits, k), 9) as bits from e where bits >= 3.9999999999 group by path, line_no""")
 def p20(spark, sf_dir):
-    runs = F.filter(F.regexp_extract_all("text", F.lit(scan.CANDIDATE), F.lit(0)), lambda c: F.char_length(c) >= scan.CANDIDATE_SIZE)
-    each = lines(spark, sf_dir).select("path", "line_no", F.explode(F.array_distinct(runs)).alias("candidate"))
-    return each.withColumn("bits", F.round(T.entropy(F.col("candidate")), 9)).where("bits >= 3.5")
+    return scan.entropy_warnings(lines(spark, sf_dir), ("token", "")).withColumn("bits", F.round("bits", 9))
 
 
-@query("p21_preview", f"with {LINES}, w as (select distinct regexp_extract(text, '[A-Za-z0-9]+') as v from lines) select v, case when length(v) <= 12 then v else left(v, 4) || '[...]' || right(v, 4) end as preview from w")
+@query("p21_preview", f"""with {LINES}, w as (select distinct regexp_extract(text, '\\p{{L}}+[^\\n]{{0,9}}') as v from lines),
+k as (select v, list_filter(range(1, 5), lambda n: strlen(left(v, n)) <= 4) as a, list_filter(range(1, 5), lambda n: strlen(right(v, n)) <= 4) as z from w)
+select v, case when strlen(v) <= 12 then v else coalesce(left(v, list_max(a)), '') || '[...]' || coalesce(right(v, list_max(z)), '') end as preview from k""")
 def p21(spark, sf_dir):
-    words = lines(spark, sf_dir).select(F.regexp_extract("text", "[A-Za-z0-9]+", 0).alias("v")).distinct()
+    words = lines(spark, sf_dir).select(F.regexp_extract("text", r"\p{L}+[^\n]{0,9}", 0).alias("v")).distinct()
     return words.select("v", T.preview(F.col("v")).alias("preview"))
 
 
@@ -144,8 +145,7 @@ def f4(spark, sf_dir):
 def f9(spark, sf_dir):
     head = F.encode(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("a"), F.char(F.lit(0)), "html")).otherwise(F.col("html")), "utf-8")
     rows = table(spark, sf_dir, "pages").where("html is not null and html <> ''")
-    cut = F.when(F.col("page_id") % 5 == 0, head).otherwise(F.encode(F.left("html", F.lit(100)), "utf-8"))
-    return rows.select("page_id", filters.is_binary(cut).alias("is_binary"))
+    return rows.select("page_id", filters.is_binary(head).alias("is_binary"))
 
 
 @query("f14_prune_empty_dirs", f"""with {FILES}, d as (select distinct split_part(path, '/', 1) as dir from files union select distinct {DIR} from files),
@@ -178,20 +178,19 @@ _SUB = "\n".join(f"when regexp_matches(text, $p${p}$p$) then regexp_extract(text
 @query("k16_secret_scan", f"""with {LINES}, h as (select path, line_no, case {_HITS} end as kind, case {_SEV} end as severity, case {_SUB} end as hit from lines)
 select path, line_no, kind, severity, case when length(hit) <= 12 then hit else left(hit, 4) || '[...]' || right(hit, 4) end as preview from h where kind is not null""")
 def k16(spark, sf_dir):
-    return scan.warnings(lines(spark, sf_dir))
+    return scan.scan_files(files(spark, sf_dir))
 
 
 @query("p33_redact", f"""with {LINES}, h as (select path, line_no, text, case {_HITS} end as kind from lines)
 select path, line_no, coalesce('[REDACTED — kind=' || kind || ']', text) as text from h""")
 def p33(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    return scan.redact(rows, scan.warnings(rows))
+    return scan.redact(lines(spark, sf_dir))
 
 
-@query("r4_script_blocks", "select page_id, array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10)) as scripts from pages where html is not null")
+@query("r4_script_blocks", "select page_id, array_to_string(regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script\\s*>', 1), chr(10)) as scripts from pages where html is not null")
 def r4(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").where("html is not null")
-    return rows.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n").alias("scripts"))
+    return rows.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(T.SCRIPT_BLOCK), F.lit(1)), "\n").alias("scripts"))
 
 
 METRICS = f"""{SYMBOLS}, n as (select path, count(*) as symbols from symbols group by path),

@@ -1,7 +1,7 @@
 """The tables operators read, from folders of files or from star-schema tables.
 
 files(path, body, size, tokens), lines(path, line_no, text), symbols(path, name, kind, line),
-commits(commit, at, author), commit_files(commit, path, added, deleted), manifests(path, sha, tokens, score, tier).
+commits(commit, at, author, root), commit_files(commit, path, added, deleted, status), manifests(path, sha, tokens, score, tier).
 """
 
 from __future__ import annotations
@@ -42,18 +42,22 @@ def word_symbols(lines: DataFrame) -> DataFrame:
     return lines.select("path", word.alias("name"), F.lit("word").alias("kind"), F.col("line_no").alias("line")).where("name <> ''")
 
 
-#: Declaration rules by language (fixed values): extension, pattern with the name in group 1, kind.
+_IDENT = r"\s*([A-Za-z_][A-Za-z0-9_]*)"
+_SCRIPT = r"^\s*(?:export default |export )?"
+#: Declaration rules by language (fixed values): extensions, pattern with the name in group 1, kind.
 DECLARATIONS = (
-    ("go", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"),
-    ("go", r"^type\s+([A-Za-z_]\w*)", "type"),
-    ("rs", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", "function"),
-    ("rs", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", "type"),
-    ("py", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function"),
-    ("py", r"^\s*class\s+([A-Za-z_]\w*)", "class"),
-    ("ts|tsx|js|jsx|mjs", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$]\w*)", "function"),
-    ("ts|tsx|js|jsx|mjs", r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$]\w*)", "class"),
-    ("ts|tsx|js|jsx|mjs", r"^\s*export\s+(?:const|let|var)\s+([A-Za-z_$]\w*)", "variable"),
-    ("ts|tsx", r"^\s*(?:export\s+)?(?:interface|type)\s+([A-Za-z_$]\w*)", "type"),
+    ("go", r"^\s*func \s*(?:\([^)]*\))" + _IDENT, "function"),
+    ("go", r"^\s*func " + _IDENT, "function"),
+    ("go", r"^\s*type " + _IDENT, "type"),
+    ("rs", r"^\s*(?:pub )?fn " + _IDENT, "function"),
+    ("rs", r"^\s*(?:pub )?(?:struct|enum) " + _IDENT, "type"),
+    ("rs", r"^\s*(?:pub )?trait " + _IDENT, "interface"),
+    ("ts|tsx|js|jsx|mjs|cjs", _SCRIPT + "function " + _IDENT, "function"),
+    ("ts|tsx|js|jsx|mjs|cjs", _SCRIPT + "class " + _IDENT, "class"),
+    ("ts|tsx|js|jsx|mjs|cjs", _SCRIPT + "interface " + _IDENT, "interface"),
+    ("ts|tsx|js|jsx|mjs|cjs", _SCRIPT + "(?:const|let|var) " + _IDENT + r"\s*=.*=>", "function"),
+    ("py", r"^\s*def " + _IDENT, "function"),
+    ("py", r"^\s*class " + _IDENT, "class"),
 )
 
 
@@ -71,14 +75,16 @@ def code_symbols(lines: DataFrame) -> DataFrame:
 
 
 def order_commits(orders: DataFrame) -> DataFrame:
-    return orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.col("o_custkey").alias("author"))
+    """orders -> commits: urgent orders stand in for commits without a parent."""
+    return orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.col("o_custkey").alias("author"), F.col("o_orderpriority").startswith("1").alias("root"))
 
 
 def lineitem_files(lineitem: DataFrame) -> DataFrame:
-    """lineitem -> commit_files: a part is a path; its lines in an order are added rows, those returned deleted ones."""
+    """lineitem -> commit_files: a part is a path; its lines in an order are added rows, those returned deleted ones. Status: D if any is returned, else A or M."""
     return lineitem.groupBy(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path")).agg(
         F.sum(F.col("l_quantity").cast("long")).alias("added"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("long")).otherwise(0)).alias("deleted"),
+        F.when(F.max(F.col("l_returnflag") == "R"), "D").when(F.max(F.col("l_returnflag") == "A"), "A").otherwise("M").alias("status"),
     )
 
 
