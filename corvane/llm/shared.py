@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows, as 1 in HEAVY, is heavy; so there are fewer than HEAVY heavy keys.
 HEAVY = 10_000
+#: Links (16 bytes each) of one node that a task may hold in a join.
+HUB_ROWS = 100_000
 #: Rows of texts that a Python worker holds at once, and that its JVM keeps for it.
 BATCH_ROWS = 1_000
 
@@ -118,13 +120,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, least: int = 1) -> DataFrame:
     """rows joined with facts (one row for each key, and in `count` how many rows have it) on key; inner, null keys meet none.
 
     Facts of heavy keys, fewer than HEAVY whatever the table, are broadcast, so the rows of a hot key stay where they
-    are; the other keys are joined as Spark chooses, and none of them has more than one row in HEAVY.
+    are; the other keys are joined as Spark chooses, and none of them has more than one row in HEAVY. Keys of no more than
+    `least` narrow rows, which any task holds, are never heavy; where all rows are no more, one plain join does.
     """
-    bound = max(total // HEAVY, 1)
+    bound = max(total // HEAVY, least)
+    if total <= bound:
+        return rows.join(facts, key).drop(count)
     hot, cold = facts.where(F.col(count) > bound), facts.where(F.col(count) <= bound)
     (mark,) = fresh(rows.join(facts, key), "is_hot")
     marked = rows.join(F.broadcast(hot.select(key).withColumn(mark, F.lit(True))), key, "left")
@@ -151,16 +156,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both, low, "u", "n", 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
+        large = spread_join(both, low, "u", "n", 2 * mark["n"], HUB_ROWS).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hung = spread_join(large, low, "u", "n", mark["n"])
+        hung = spread_join(large, low, "u", "n", mark["n"], HUB_ROWS)
         small = low.select("u", F.col("m").alias("v")).unionAll(
             hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         before, now = now, materialize(small.where("u <> v").distinct(), "links")
         discard(before)
-        discard(large)
     else:
         raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
