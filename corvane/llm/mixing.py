@@ -23,7 +23,7 @@ DECAY = 3e-5
 TOLERANCE = 1e-4
 #: Steps end without that if the last STALL of them did not lessen the largest gap by a hundredth: targets out of reach.
 STALL = 8
-SLICE = 2_000_000
+SLICE = 250_000
 #: Target token shares by (quality, toxic) for the registered query and the pipeline.
 TARGETS = {"quality=1,toxic=0": 0.93, "quality=0,toxic=0": 0.04, "quality=1,toxic=1": 0.025, "quality=0,toxic=1": 0.005}
 

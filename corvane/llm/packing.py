@@ -26,9 +26,9 @@ from corvane.llm.shared import materialize, small_batches
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 #: Bytes of text taken together.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 #: Pieces of one length that are ranked in one group.
 RANK_ROWS = 500
 

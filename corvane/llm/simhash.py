@@ -27,7 +27,7 @@ FANOUT = 8
 #: Rows a task holds at once; a group of fingerprints beyond it is routed anew by a finer choice of blocks.
 GROUP_ROWS = 200_000
 #: Node pairs compared at once.
-FRONTIER = 200_000
+FRONTIER = 100_000
 #: Pairs confirmed before those that are linked by then are left out.
 CONFIRMED = 64
 #: Shingles hashed at once.
