@@ -18,6 +18,8 @@ DIMS = 4096
 CENTROIDS = 3
 #: Bound of the fitting sample: distinct texts for each label. All labelled rows can be in it; hashes choose.
 FIT_ROWS = 600
+#: Parts of a label's hashes that are ranked by themselves before the label is.
+SALTS = 16
 #: A text is rejected below this quantile of the cosines that a label's held-out fragments of its length had.
 QUANTILE = 0.005
 ROUNDS = 12
@@ -127,8 +129,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
     """
     rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
     mark = F.xxhash64("text").alias("mark")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark")).alias("k")
-    least = rows.select("lang", mark).distinct().select("lang", "mark", rank).where(F.col("k") <= fit_rows)
+    least = rows.select("lang", mark).distinct().withColumn("salt", F.pmod("mark", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # the smallest of each part first, so no task reads all hashes of a label
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
+        least = least.withColumn("k", rank).where(F.col("k") <= fit_rows)
     bounds = [(r["lang"], r["most"]) for r in least.groupBy("lang").agg(F.max("mark").alias("most")).collect()]
     if not bounds:
         return None
