@@ -95,6 +95,49 @@ def verify(contract: DataFrame, refs: DataFrame) -> DataFrame:
     return both.select(*refs.columns, verdict.alias("verdict"))
 
 
+def build_partial(shown: DataFrame) -> DataFrame:
+    """(path, line, sha) of the lines a pack shows -> (path, line_start, line_end, sha, line_shas): the digest is of the shown lines' digests, in order."""
+    rows = shown.groupBy("path").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.array_sort(F.collect_list(F.struct("line", "sha"))).alias("x"))
+    return rows.select("path", "line_start", "line_end", F.sha2(F.array_join("x.sha", ""), 256).alias("sha"), F.col("x.sha").alias("line_shas"))
+
+
+def partial_cover(cited: DataFrame, shown: DataFrame) -> DataFrame:
+    """Ranges (path, line_start, line_end, ...) with `covered`: every line of the range, in either order, is shown (path, line).
+
+    Runs of shown lines and the ranges go through one sorted pass a path, so they never meet as pairs. A line below 1 is not covered.
+    """
+    w = Window.partitionBy("path").orderBy("line")
+    runs = shown.select("path", "line").distinct().withColumn("run", F.col("line") - F.row_number().over(w)).groupBy("path", "run").agg(F.min("line").alias("at"), F.max("line").alias("end"))
+    names = cited.columns
+    ranges = cited.select("path", F.least("line_start", "line_end").alias("at"), F.lit(None).cast("int").alias("end"), F.lit(1).alias("k"), F.struct(*names).alias("r"))
+    both = ranges.unionByName(runs.select("path", "at", F.col("end").cast("int").alias("end"), F.lit(0).alias("k")), allowMissingColumns=True)
+    reach = F.max("end").over(Window.partitionBy("path").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))
+    high = F.greatest("r.line_start", "r.line_end")
+    covered = F.coalesce((F.col("at") > 0) & (F.col("reach") >= high), F.lit(False))
+    return both.withColumn("reach", reach).where("k = 1").select("r.*", covered.alias("covered"))
+
+
+def partial_staleness(shown: DataFrame, current: DataFrame, files: DataFrame) -> DataFrame:
+    """Shown lines and lines now (path, line, sha), and paths now -> (path, state): missing file, stale if a shown line is gone or differs, else fresh."""
+    now = current.select("path", "line", F.col("sha").alias("now"))
+    same = shown.join(now, ["path", "line"], "left").groupBy("path").agg(F.bool_and(F.coalesce(F.col("sha") == F.col("now"), F.lit(False))).alias("same"))
+    there = files.select("path", F.lit(True).alias("there")).distinct()
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("same"), "fresh").otherwise("stale")
+    return same.join(there, "path", "left").select("path", state.alias("state"))
+
+
+def from_manifest(manifest: DataFrame) -> DataFrame:
+    """(path, sha) of a saved manifest -> whole-file contract rows, any line inside; blank paths are left out, backslashes become slashes."""
+    rows = manifest.where(F.trim("path") != "")
+    none = F.array().cast("array<string>")
+    return rows.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.lit(1).alias("line_start"), F.lit(1 << 30).alias("line_end"), "sha", none.alias("line_shas"), none.alias("symbols"))
+
+
+def without_references(responses: DataFrame, refs: DataFrame) -> DataFrame:
+    """Responses (id, text) without any reference: under strict rules each is a violation of its own."""
+    return responses.join(refs.select("id").distinct(), "id", "left_anti").select("id", F.lit("no-references").alias("verdict"))
+
+
 def last_entries(entries: DataFrame) -> DataFrame:
     """(path, ord, ...) -> the last entry of each path."""
     rest = [c for c in entries.columns if c not in ("path", "ord")]

@@ -17,6 +17,10 @@ SECRET_NAMES = (".env", "id_rsa", "id_ed25519", ".npmrc", ".netrc", "credentials
 SECRET_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".keystore")
 #: Folders that packs never walk (fixed values).
 PACK_SKIPPED = (".git", "node_modules", "dist", "coverage", "target")
+#: Folders that the walk for imports skips (fixed values).
+IMPORT_SKIPPED = (".git", "node_modules", "dist", "coverage")
+#: What packs ignore without being told (fixed values).
+PACK_IGNORED = ("node_modules/**", "dist/**", "coverage/**", "*.lock", ".git/**")
 #: Endings of files whose public interface can be shown alone (fixed values).
 API_ENDINGS = (".go", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py")
 #: Hex of one, two or three bytes that begin a longer UTF-8 character (fixed values).
@@ -147,13 +151,45 @@ def is_binary_blob(data: Column) -> Column:
 
 
 def pack_ignored(path: Column, patterns: list[str]) -> Column:
-    """The simpler ignore lists of packs: comments and negations are dropped; a name or glob without a slash fits any segment,
-    one with a slash from the root, and what fits a folder fits all below.
+    """The simpler ignore lists of packs, over files and the folders above them; comments and negations are dropped.
+
+    `x/` is a folder anywhere, `x/**` a folder at the root, a name without a star any path that ends in it at a folder's
+    edge; with stars, whole paths from the root, and a star spans folders. A leading slash fits nothing.
     """
-    kept = [p for p in (x.strip() for x in patterns) if p and not p.startswith(("#", "!"))]
-    if not kept:
-        return F.lit(False)
-    return path.rlike("|".join(f"(?:{glob_pattern(p.removeprefix('/') if '/' in p.strip('/') else p.strip('/'))})" for p in kept))
+    kept = [p.removeprefix("./") for p in (x.strip() for x in patterns) if p and not p.startswith(("#", "!"))]
+    tests = []
+    for p in filter(None, kept):
+        if p.endswith("/"):
+            name = re.escape(p[:-1])
+            tests.append(f"^{name}$|(?:^|/){name}/")
+        elif p.endswith("/**"):
+            tests.append(f"^{re.escape(p[:-3])}(?:/|$)")
+        elif "*" not in p:
+            tests.append(f"(?:^|/){re.escape(p)}(?:/|$)")
+        else:
+            tests.append("^" + ".*".join(map(re.escape, p.split("*"))) + "(?:/|$)")
+    tests = [t for t, p in zip(tests, filter(None, kept), strict=True) if not p.startswith("/")]
+    return path.rlike("(?s)" + "|".join(f"(?:{t})" for t in tests)) if tests else F.lit(False)
+
+
+def pack_scan(files: DataFrame, patterns: list[str] = ()) -> DataFrame:
+    """Files that a pack walks, with `head`: their first 512 bytes; skipped folders and ignored paths are left out."""
+    path = F.col("path")
+    return files.where(~hard_skipped(path) & ~pack_ignored(path, [*PACK_IGNORED, *patterns])).withColumn("head", F.substring(F.col("body").cast("binary"), 1, 512))
+
+
+def import_scan(files: DataFrame) -> DataFrame:
+    """Files whose imports are read: none below a folder that this walk skips."""
+    return files.where(~F.col("path").rlike("(?:^|/)(?:" + "|".join(map(re.escape, IMPORT_SKIPPED)) + ")/"))
+
+
+def folder_counts(files: DataFrame) -> DataFrame:
+    """(path, body, tokens) -> (dir, files, tokens, lines) of each folder with all below it; files at the root have none."""
+    parts = F.split(T.dirname(F.col("path")), "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    n = F.size(T.split_lines(F.col("body"))).cast("long").alias("n")
+    each = files.where(F.col("path").contains("/")).select("tokens", n, up.alias("up")).select("tokens", "n", F.explode("up").alias("dir"))
+    return each.groupBy("dir").agg(F.count("*").alias("files"), F.sum("tokens").cast("long").alias("tokens"), F.sum("n").alias("lines"))
 
 
 def hard_skipped(path: Column) -> Column:

@@ -95,7 +95,9 @@ def test_binary_heads(spark):
 def test_ignore_lines_and_pack_filters(spark):
     assert filters.ignore_rule("# note") is None and filters.ignore_rule("   # note") is not None
     paths = ["a.log", "x/a.log", "tmp/x/y", "doc/tmp", "z/node_modules/q", "keep.GO", "k.rs"]
-    assert values(spark, paths, lambda c: filters.pack_ignored(c, ["# c", "!keep", "*.log", "/tmp/"])) == [True, True, True, True, False, False, False]
+    assert values(spark, paths, lambda c: filters.pack_ignored(c, ["# c", "!keep", "*.log", "tmp/"])) == [True, True, True, False, False, False, False]  # a file named as the folder stays
+    paths_below = ["build", "build/g", "src/build/g", "src/rebuild/g", "rebuild", "dist/a", "x/dist/a", "a.log/b", "x/tmp.d/a"]
+    assert values(spark, paths_below, lambda c: filters.pack_ignored(c, ["build/", "dist/**", "/x/", "a.*", "tmp"])) == [True, True, True, False, False, True, False, True, False]
     assert values(spark, paths, filters.hard_skipped) == [False] * 4 + [True] + [False] * 2
     assert values(spark, paths, filters.api_only) == [False] * 5 + [True, False]
 
