@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, langid, licenses, media, mixing, packing, quality, secrets, simhash, urls
+from corvane.llm import chat, crosstok, jaccard, langid, licenses, media, mixing, packing, quality, secrets, simhash, urls, whitening
 
 #: URL rules of the registered query (fixed values).
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -90,11 +90,27 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_examples(turns.unionByName(probe)))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return crosstok.align(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_url_filter, op3_license_scan, op4_media_columns, op5_simhash, op6_best_fit_packing,
-        op7_language_id, op8_secret_scan, op9_source_mixing, op10_chat_formatting,
+        op7_language_id, op8_secret_scan, op9_source_mixing, op10_chat_formatting, op11_ngram_jaccard,
+        op12_cross_tokenizer, op13_whitening,
     )
 }
 
