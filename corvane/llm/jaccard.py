@@ -222,9 +222,7 @@ def _opened(sets: DataFrame, nodes: DataFrame, members: DataFrame, pairs: DataFr
     own = own.select("node", F.lit(0).alias("tag"), "grp", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
     asked = pairs.join(wanted_groups, "grp").select("node", F.lit(1).alias("tag"), "grp", F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"))
     roles = materialize(own.unionAll(asked).join(nodes.select("node", "row"), "node"), "roles")
-    wanted = materialize(roles.select("row").distinct(), "rows")
-    held = sets.join(_small(wanted, wanted.count()), "row", "left_semi").select("row", "tokens")
-    rows = held.join(roles, "row").select(F.xxhash64("grp", "deal").alias("block"), "tag", "node", "tokens")
+    rows = sets.select("row", "tokens").join(_small(roles, roles.count()), "row").select(F.xxhash64("grp", "deal").alias("block"), "tag", "node", "tokens")
     return rows.repartition("block").sortWithinPartitions("block", "tag").mapInPandas(_open(percent), "u long, v long")
 
 
@@ -250,17 +248,16 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     shared = heads.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     shared = materialize(shared, "shared")
     hits = heads.join(_small(shared, shared.count()), "token").distinct()
-    hits = hits.join(members, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    hits = materialize(hits, "hits")
-    index = hits.where(F.expr(f"pos <= n - ceil({2 * percent} * n / {100 + percent})"))
-    index = index.groupBy("token", "grp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("pos").alias("first"))
-    q = hits.alias("q").join(index.alias("i"), "token").where(
-        F.expr(
-            f"q.grp <> i.grp and i.n_low <= q.n and 100 * i.n_high >= {percent} * q.n"
-            f" and {100 + percent} * least(q.n - q.pos, i.n_high - i.first) >= {percent} * (q.n + i.n_low)"
-        )
-    )
-    pairs = materialize(q.select("q.node", F.col("q.grp").alias("own"), "i.grp").groupBy("node", "own", "grp").agg(F.count("*").alias("hits")), "pairs")
+    hits = materialize(hits.join(members, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "hits")
+    index = hits.groupBy("token", "grp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("pos").alias("first"))
+    # Of x, a query, and a smaller y: tokens of both prefixes, and what either has beyond its own, bound the overlap.
+    least = f"greatest(i.n_low, ceil({percent} * q.n / 100))"
+    wanted = f"ceil({percent} * (q.n + {least}) / {100 + percent})"
+    ahead = F.expr(f"{100 + percent} * least(q.n - q.pos, i.n_high - i.first) >= {percent} * (q.n + {least})")
+    met = hits.alias("q").join(index.alias("i"), "token").where(F.expr(f"q.grp <> i.grp and i.n_low <= q.n and 100 * i.n_high >= {percent} * q.n"))
+    met = met.select("q.node", F.col("q.grp").alias("own"), "i.grp", ahead.alias("ahead"), F.expr(f"{wanted} - ceil({percent} * q.n / 100) + 1").alias("least"))
+    met = met.groupBy("node", "own", "grp").agg(F.count("*").alias("hits"), F.max("ahead").alias("ahead"), F.min("least").alias("least"))
+    pairs = materialize(met.where("ahead and hits >= least").select("node", "own", "grp", "hits"), "pairs")
     first = materialize(pairs.groupBy("own", "grp").agg(F.max_by("node", F.struct("hits", "node")).alias("node")), "first")
     found = materialize(_opened(sets, nodes, members, first.select("node", "grp"), percent), "found")
     of_groups = found.join(members, F.col("u") == F.col("node"), "left").select(F.coalesce("grp", "u").alias("u"), "v")
