@@ -23,8 +23,10 @@ from corvane.llm.simhash import SEED, _words, shingle_hashes
 WIDTH = 4
 #: Sets link at this many hundredths of their union.
 PERCENT = 85
+#: Bytes of a token's hash that are kept: two texts of 1,000 shingles meet a false equal one with a chance of 1e-10.
+TOKEN_BYTES = 6
 #: Bytes of members' tokens that a task opens at once; larger groups are parted.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Queries of a block that go to a task; more are dealt, each task with the members.
 QUERIES = 20_000
 #: The order of tokens knows counts by hash in at most 2 ** SKETCH_BITS cells, and about CELL tokens to a cell below that.
@@ -38,11 +40,21 @@ SEEN = 200_000
 
 
 def token_set(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
-    """(hash of the word sequence, signed; sorted 64-bit hashes of the distinct shingles): of fewer words the whole sequence, without words none."""
+    """(hash of the word sequence, signed; sorted 48-bit hashes of the distinct shingles): of fewer words the whole sequence, without words none."""
     words = _words(text)
     node = int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words), SEED)).view(np.int64))
     slices = list(shingle_hashes(words, width))
-    return node, np.unique(np.concatenate(slices)) if slices else np.array([], np.uint64)
+    return node, np.unique(np.concatenate(slices) >> np.uint64(64 - 8 * TOKEN_BYTES)) if slices else np.array([], np.uint64)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // TOKEN_BYTES, 8), np.uint8)
+    whole[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TOKEN_BYTES)
+    return whole.view("<u8").ravel()
 
 
 def _sets(width: int, schema: pa.Schema):
@@ -55,7 +67,7 @@ def _sets(width: int, schema: pa.Schema):
                 nodes.append(node)
                 sizes.append(len(found))
                 groups.append(int((found * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) if len(found) else None)
-                tokens.append(None if node in seen or not len(found) else found.tobytes())
+                tokens.append(None if node in seen or not len(found) else pack(found))
                 if len(seen) < SEEN:
                     seen.add(node)
             columns = [batch.column("doc_id"), nodes, sizes, groups, tokens]
@@ -87,7 +99,7 @@ class Block:
 
 
 def _tokens(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(t, np.uint64) for t in column]
+    return [unpack(t) for t in column]
 
 
 def _grouped(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[object, pd.DataFrame]]:
@@ -166,7 +178,7 @@ def _order(sets: DataFrame, total: int) -> np.ndarray:
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for data in batch.column("tokens"):
-                np.add.at(counts, np.frombuffer(data.as_py(), np.uint64) >> np.uint64(64 - bits), 1)
+                np.add.at(counts, unpack(data.as_py()) >> np.uint64(8 * TOKEN_BYTES - bits), 1)
         at = np.flatnonzero(counts > FREQUENT * (counts.mean() + 1))
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
 
@@ -179,7 +191,7 @@ def _order(sets: DataFrame, total: int) -> np.ndarray:
 
 def prefix(tokens: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
     """The tokens of which a link with a set of at most this size shares one: rare cells first, then by hash."""
-    rank = cells[tokens >> np.uint64(64 - int(np.log2(len(cells))))]
+    rank = cells[tokens >> np.uint64(8 * TOKEN_BYTES - int(np.log2(len(cells))))]
     n = len(tokens) - -(-percent * len(tokens) // 100) + 1
     if n < len(tokens) // 4:  # no full sort for the few
         edge = np.partition(rank, n - 1)[n - 1]
@@ -193,7 +205,7 @@ def _prefixes(cells, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column("tokens")]
+            found = [unpack(t.as_py()) for t in batch.column("tokens")]
             heads = [prefix(t, cells.value, percent) for t in found]
             if not heads:
                 continue
@@ -231,11 +243,12 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
 
     First the nodes of equal minimum hash meet, in blocks of bounded bytes, and hang on leaders they link with; these are the
     groups. Then every node meets the groups, but for its own, with which it shares a token of both prefixes. Of the
-    nodes of one group one goes first; the others go only to groups that are not connected with theirs by then.
+    nodes of one group one goes first; the others go only to groups that are not connected with theirs by then. Until then only
+    groups are paired, so a group of copies counts once.
     """
     spark = sets.sparkSession
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    meet = nodes.groupBy("grp").agg(F.count("*").alias("many"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")).where("many > 1")
+    meet = nodes.groupBy("grp").agg(F.count("*").alias("many"), F.ceil(F.sum("n") * TOKEN_BYTES / BLOCK_BYTES).cast("int").alias("blocks")).where("many > 1")
     meet = materialize(meet, "meet")
     routed = spread_join(nodes, meet, "grp", "many", nodes.count())
     routed = materialize(routed.select("row", "node", F.xxhash64("grp", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "routed")
@@ -247,25 +260,28 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     heads = sets.select("node", "tokens").mapInArrow(_prefixes(cells, percent), "token long, node long, n int, pos int")
     shared = heads.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     shared = materialize(shared, "shared")
-    hits = heads.join(_small(shared, shared.count()), "token").distinct()
+    hits = heads.join(shared, "token").distinct()
     hits = materialize(hits.join(members, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "hits")
-    index = hits.groupBy("token", "grp").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("pos").alias("first"))
-    # Of x, a query, and a smaller y: tokens of both prefixes, and what either has beyond its own, bound the overlap.
-    least = f"greatest(i.n_low, ceil({percent} * q.n / 100))"
-    wanted = f"ceil({percent} * (q.n + {least}) / {100 + percent})"
-    ahead = F.expr(f"{100 + percent} * least(q.n - q.pos, i.n_high - i.first) >= {percent} * (q.n + {least})")
-    met = hits.alias("q").join(index.alias("i"), "token").where(F.expr(f"q.grp <> i.grp and i.n_low <= q.n and 100 * i.n_high >= {percent} * q.n"))
-    met = met.select("q.node", F.col("q.grp").alias("own"), "i.grp", ahead.alias("ahead"), F.expr(f"{wanted} - ceil({percent} * q.n / 100) + 1").alias("least"))
-    met = met.groupBy("node", "own", "grp").agg(F.count("*").alias("hits"), F.max("ahead").alias("ahead"), F.min("least").alias("least"))
-    pairs = materialize(met.where("ahead and hits >= least").select("node", "own", "grp", "hits"), "pairs")
-    first = materialize(pairs.groupBy("own", "grp").agg(F.max_by("node", F.struct("hits", "node")).alias("node")), "first")
+    index = hits.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - pos")).alias("after"), F.min("node").alias("node"))
+    # Of a set and one no larger: tokens of both prefixes, and what either has beyond its own, bound the overlap. Of groups, the largest
+    # bound of any two members.
+    least = f"greatest(i.low, ceil({percent} * q.low / 100))"
+    wanted = f"ceil({percent} * (q.low + {least}) / {100 + percent}) - ceil({percent} * q.low / 100) + 1"
+    one_size = F.when(F.expr("q.low = q.high"), F.expr(wanted)).otherwise(F.lit(1))
+    ahead = F.expr(f"{100 + percent} * least(q.after, i.after) >= {percent} * (q.low + {least})")
+    met = index.alias("q").join(index.alias("i"), "token").where(F.expr(f"q.grp <> i.grp and i.low <= q.high and 100 * i.high >= {percent} * q.low"))
+    met = met.select("q.node", F.col("q.grp").alias("own"), "i.grp", ahead.alias("ahead"), one_size.alias("least"))
+    met = met.groupBy("own", "grp").agg(F.count("*").alias("hits"), F.max("ahead").alias("ahead"), F.min("least").alias("least"), F.min("node").alias("node"))
+    first = materialize(met.where("ahead and hits >= least").select("own", "grp", "node"), "first")
     found = materialize(_opened(sets, nodes, members, first.select("node", "grp"), percent), "found")
     of_groups = found.join(members, F.col("u") == F.col("node"), "left").select(F.coalesce("grp", "u").alias("u"), "v")
     of_groups = of_groups.join(members, F.col("v") == F.col("node"), "left").select("u", F.coalesce("grp", "v").alias("v"))
     roots = connected_components(of_groups)
     named = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("own", "grp")]
-    rest = pairs.join(first, ["own", "grp", "node"], "left_anti").join(named[0], "own", "left").join(named[1], "grp", "left")
-    rest = materialize(rest.where("coalesce(own_root, own) <> coalesce(grp_root, grp)").select("node", "grp"), "rest")
+    rest = first.join(named[0], "own", "left").join(named[1], "grp", "left").where("coalesce(own_root, own) <> coalesce(grp_root, grp)")
+    rest = hits.select("token", "node", F.col("grp").alias("own"), "n").join(rest.select("own", "grp", F.col("node").alias("tried")), "own")
+    rest = rest.where("node <> tried").join(index.select("token", "grp", "low", "high"), ["token", "grp"]).where(F.expr(f"low <= n and 100 * high >= {percent} * n"))
+    rest = materialize(rest.select("node", "grp").distinct(), "rest")
     more = materialize(_opened(sets, nodes, members, rest, percent), "more")
     return led.unionAll(found).unionAll(more)
 
@@ -273,7 +289,7 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), a row for each row.
 
-    Texts of equal words (A-Z in lower case) are one node, told by a 64-bit hash; shingles are 64-bit hashes. Null, empty and
+    Texts of equal words (A-Z in lower case) are one node, told by a 64-bit hash; shingles are 48-bit hashes. Null, empty and
     wordless texts have an empty set, link with nothing and are their own component, as are their repeats; other repeated
     rows link. component_id is the smallest non-null doc_id of all that links reach. Whole texts of any length; an empty
     table gives an empty result; other columns are ignored, whatever their names.
