@@ -12,53 +12,6 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
-#: Import statements by language (fixed values): extensions, pattern, and the group with the target. Lists are parted at commas.
-IMPORTS = (
-    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""\b(?:import|export)\b[^'"\n;]*?(?:from\s*)?['"]([^'"\n]+)['"]"""),
-    ("ts|tsx|js|jsx|mjs|vue|svelte", r"""\b(?:import|require)\b\s*\(\s*['"]([^'"\n]+)['"]\s*\)"""),
-    ("py", r"(?m)^\s*from\s+(\.*[\w.]*)\s+import\s"),
-    ("py", r"(?m)^\s*import\s+([^\n#]+)"),
-    ("java|scala", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"),
-    ("kt", r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?\s*$"),
-    ("go", r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"'),
-    ("php", r"(?m)^\s*use\s+(?:function\s+|const\s+)?([^;]+);"),
-    ("swift", r"(?m)^\s*import\s+(?:struct\s+|class\s+|enum\s+|protocol\s+|typealias\s+|func\s+|var\s+|let\s+)?([A-Za-z_]\w*)"),
-)
-#: Endings tried for a target without one, in order (fixed values).
-ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py", ".java", ".kt", ".php", ".swift", ".go")
-
-
-def _listed(target: Column) -> Column:
-    """`a as b, c` and `N\\{A, B as C}` -> each name by itself, aliases left out."""
-    head, rest = F.regexp_extract(target, r"^([^{]*)\{", 1), F.regexp_extract(target, r"\{([^}]*)\}", 1)
-    names = F.when(target.contains("{"), F.transform(F.split(rest, ","), lambda x: F.concat(head, F.trim(x)))).otherwise(F.split(target, ","))
-    return F.filter(F.transform(names, lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", "")), lambda x: x != "")
-
-
-def import_targets(files: DataFrame) -> DataFrame:
-    """files (path, body) -> (path, target) as written, comments left out, each once."""
-    ext = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
-    plain = F.when(ext == "py", F.col("body")).when(ext == "php", F.regexp_replace(T.strip_comments(F.col("body")), r"#[^\n]*", "")).when(ext == "go", F.col("body")).otherwise(T.strip_comments(F.col("body")))
-    found = F.array().cast("array<string>")
-    for endings, pattern in IMPORTS:
-        targets = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
-        if endings in ("py", "php"):
-            targets = F.flatten(F.transform(targets, _listed))
-        found = F.concat(found, F.when(ext.rlike(f"^(?:{endings})$"), targets).otherwise(F.array().cast("array<string>")))
-    return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
-
-
-def import_edges(files: DataFrame) -> DataFrame:
-    """(src, dst): targets resolved to files, the first candidate that exists; relative to the file or from the root."""
-    targets = import_targets(files)
-    slash = F.when(F.col("path").endswith(".py"), F.regexp_replace(F.regexp_replace("target", r"^\.", "./"), r"(?<=\w)\.(?=\w)", "/")).when(
-        F.col("path").rlike(r"\.(?:java|kt|scala|php)$"), F.regexp_replace("target", r"[.\\]", "/")
-    ).otherwise(F.col("target"))
-    base = F.when(slash.startswith("."), T.clean_path(F.concat(T.dirname(F.col("path")), F.lit("/"), slash))).otherwise(slash)
-    tries = targets.select(F.col("path").alias("src"), "target", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in ENDINGS])).alias("k", "dst"))
-    known = tries.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").where("src <> dst")
-    return known.groupBy("src", "target").agg(F.min_by("dst", "k").alias("dst")).select("src", "dst").distinct()
-
 
 def reverse(edges: DataFrame) -> DataFrame:
     """(dst, sources): who points at a node, sorted, each once."""

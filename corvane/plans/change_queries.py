@@ -236,17 +236,6 @@ def v2g(spark, sf_dir):
     return changes.violations(spark.createDataFrame(rows, "verdict string"))
 
 
-IMPORT_FILES = [
-    ("src/a.ts", 'import {x} from "./b"; import y from "../lib/z"\n'), ("src/b.ts", 'const q = require("./a.ts")\n// import "./c"\n'), ("src/c.ts", ""), ("lib/z/index.ts", ""),
-    ("pkg/m.py", "from .n import q\nimport os\nimport pkg.k\n"), ("pkg/n.py", ""), ("pkg/k/__init__.py", ""), ("com/x/A.java", "import com.x.B;\n"), ("com/x/B.java", ""),
-]
-
-
-@query("j4_import_edges", """select * from (values ('src/a.ts', 'src/b.ts'), ('src/a.ts', 'lib/z/index.ts'), ('src/b.ts', 'src/a.ts'), ('pkg/m.py', 'pkg/n.py'), ('pkg/m.py', 'pkg/k/__init__.py'), ('com/x/A.java', 'com/x/B.java')) v(src, dst)""")
-def j4(spark, sf_dir):
-    return graph.import_edges(spark.createDataFrame(IMPORT_FILES, "path string, body string"))
-
-
 @query("k3_merged_scores", f"""with {SCORED}, lit as (select path, sum(n) as literal from (select path, 12 as n from files where contains(regexp_extract(path, '([^/]+)\\.md$', 1), 'The') union all
   select path, 10 from symbols where contains(name, 'The') union all select path, 3 from lines where contains(text, 'The')) group by path)
 select path, cast(basename + path_score + symbol + splitname + content as bigint) as keywords, cast(coalesce(literal, 0) as bigint) as literal from scored left join lit using (path) where literal > 0""")

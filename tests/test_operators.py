@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import contract, echo, filters, graph, heat, scan
+from corvane.operators import contract, echo, filters, heat, imports, scan
 from corvane.operators import select as X
 from corvane.sources import tables as S
 from corvane.streaming import watch
@@ -77,8 +77,8 @@ def test_imports(spark):
         ("src/a.ts", 'import {x} from "./b"; // import y from "./c"\n'), ("src/b.ts", ""), ("src/c.ts", ""), ("pkg/m.py", "from .n import q\nimport os\n"), ("pkg/n.py", ""),
     ]
     df = spark.createDataFrame(files, "path string, body string")
-    assert ("src/a.ts", "src/b.ts") in rows(graph.import_edges(df), "src", "dst")
-    assert ("pkg/m.py", "pkg/n.py") in rows(graph.import_edges(df), "src", "dst")
+    assert ("src/a.ts", "src/b.ts") in rows(imports.import_edges(df), "src", "dst")
+    assert ("pkg/m.py", "pkg/n.py") in rows(imports.import_edges(df), "src", "dst")
 
 
 def test_treemap_covers_the_map():
