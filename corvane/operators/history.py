@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.staging import release, staged
+
 #: Commits of more files say nothing of pairs (fixed value).
 PAIR_FILES = 50
 
@@ -101,6 +103,40 @@ def file_log(versions: DataFrame) -> DataFrame:
     return versions.withColumn("before", before).where(~F.col("blob").eqNullSafe(F.col("before"))).drop("before")
 
 
+def first_parents(commits: DataFrame, head: Column) -> DataFrame:
+    """(commit, parents) -> (commit, depth) of the head and its first parents, the head at 0; parents that are not there end the walk.
+
+    Pointer doubling: in round k every commit points 2^k first parents back, and every commit found points on, so a chain of n
+    commits takes log2(n) rounds of equi-joins, and none goes through one task or the driver. commits has each commit once.
+    """
+    parent = F.get("parents", F.lit(0))
+    rows = commits.select("commit", parent.alias("jump"), F.when(F.col("commit") == head, F.lit(0).cast("long")).alias("depth"))
+    now, step = staged(rows), 1
+    while not now.where("depth is not null and jump is not null").isEmpty():
+        further = now.select(F.col("commit").alias("jump"), F.col("jump").alias("next"))
+        found = now.where("depth is not null and jump is not null").select(F.col("jump").alias("commit"), (F.col("depth") + step).alias("found"))
+        moved = now.join(further, "jump", "left").join(found, "commit", "left")
+        before, now = now, staged(moved.select("commit", F.col("next").alias("jump"), F.coalesce("depth", "found").alias("depth")))
+        release(before)
+        step *= 2
+    return now.where("depth is not null").select("commit", "depth")
+
+
+def path_log(chain: DataFrame, versions: DataFrame, limit: int) -> DataFrame:
+    """(path, rank, commit, depth, truncated): the commits of a first-parent chain at which a path's content is not its parent's.
+
+    chain (commit, depth), versions (commit, path, blob) of the files a commit has: a path that comes or goes counts. Neighbours
+    meet by (path, depth), without a walk. The newest `limit` of each path, and whether there were more.
+    """
+    at = versions.join(chain, "commit").select("path", "depth", "blob")
+    before = at.select("path", (F.col("depth") - 1).alias("depth"), F.col("blob").alias("before"))
+    changed = at.join(before, ["path", "depth"], "full").where((F.col("depth") >= 0) & ~F.col("blob").eqNullSafe(F.col("before")))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("depth"))
+    probe = changed.select("path", "depth", rank.alias("rank")).where(F.col("rank") <= limit + 1)
+    more = probe.groupBy("path").agg((F.max("rank") > limit).alias("truncated"))
+    return probe.where(F.col("rank") <= limit).join(more, "path").join(chain, "depth").select("path", "rank", "commit", "depth", "truncated")
+
+
 def changed_summary(commit_files: DataFrame) -> DataFrame:
     """(commit, files, additions, deletions) of each commit."""
     return commit_files.groupBy("commit").agg(F.count_distinct("path").alias("files"), F.sum("added").cast("long").alias("additions"), F.sum("deleted").cast("long").alias("deletions"))

@@ -113,6 +113,28 @@ def w17(spark, sf_dir):
     return history.file_log(rows)
 
 
+# Orders as commits, parted in branches: keys that five divides stand on a side branch, and the next one merges it. An order
+# has three files, whose content is its own; those of pending orders have none.
+MAIN = """main as (select *, row_number() over (order by o_orderkey desc) - 1 as depth from orders where o_orderkey % 5 <> 0),
+v as (select o_orderkey, depth, unnest(['status', 'priority', 'day']) as path,
+  case when o_orderstatus = 'P' then null else unnest([o_orderstatus, o_orderpriority, cast(date_trunc('month', o_orderdate) as varchar)]) end as blob from main),
+changed as (select *, row_number() over (partition by path order by depth) as r, count(*) over (partition by path) as n from
+  (select *, lead(blob) over (partition by path order by depth) as before from v) where blob is distinct from before)"""
+
+
+@query("w17_first_parent_log", f"with {MAIN} select path, r as rank, o_orderkey as \"commit\", depth, n > 500 as truncated from changed where r <= 500")
+def w17_walk(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    before = F.when((key - 1) % 5 == 0, key - 2).otherwise(key - 1)
+    parents = F.when((key % 5 == 1) & (key > 1), F.array(before, key - 1)).when(key > 1, F.array(before)).otherwise(F.array().cast("array<bigint>"))
+    walked = orders.select(key.alias("commit"), parents.alias("parents"))
+    head = walked.where("commit % 5 <> 0").agg(F.max("commit")).first()[0]
+    files = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority", F.lit("day"), F.trunc("o_orderdate", "month").cast("string"))
+    versions = orders.where("o_orderstatus <> 'P'").select(key.alias("commit"), F.explode(files).alias("path", "blob"))
+    return history.path_log(history.first_parents(walked, F.lit(head)), versions, 500)
+
+
 CHAIN = "(event_id || ':' || event_type || ':' || coalesce(props, ''))"
 
 
