@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.staging import staged
 
 #: Points and tiers (fixed values).
 STEM, FOLDER, SYMBOL, PACKABLE = 10, 5, 8, 3
@@ -77,29 +76,48 @@ def gap(scored: DataFrame) -> DataFrame:
 def greedy(items: DataFrame, budget: int, order: list[str], group: list[str] | None = None) -> DataFrame:
     """items (path, tokens, ...) with `taken` and `used`: in order, then by path, a row is taken if it still fits, else passed over.
 
-    Each decision depends on all before it, so the rows of a group pass through one task, sorted by Spark (which spills)
-    and streamed batch by batch: memory does not grow with the group. Whole corpora in ascending size go to budget_plan.
+    Each decision depends on all before it, yet no task sees a whole group: with `rest` left, every row of up to half of it fits
+    until less than half is left, so those are taken by their prefix sum; of larger ones the first that fits where it stands
+    is taken. Either leaves half at most, so the rounds are log2(budget) at most, whatever the rows. Rows are sorted once; prefix sums
+    add up within the parts of that sort, and over one sum a part. tokens are 0 or more.
     """
     keys = group or []
     by = [*keys, *order, *([] if "path" in order else ["path"])]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used = None, 0
-        for rows in batches:
-            taken, after = [], []
-            owners = list(zip(*[rows[k] for k in keys], strict=True)) if keys else [()] * len(rows)
-            for owner, n in zip(owners, rows["tokens"].tolist(), strict=True):
-                if owner != at:
-                    at, used = owner, 0
-                fits = used + n <= budget
-                used += n if fits else 0
-                taken.append(fits)
-                after.append(used)
-            yield rows.assign(taken=taken, used=after)
-
-    dealt = items.repartition(*keys) if keys else items.coalesce(1)
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in items.dtypes], "taken boolean", "used long"])
-    return dealt.sortWithinPartitions(*by).mapInPandas(fold, schema)
+    owner = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    marks = {"_owner": owner, "_pos": F.monotonically_increasing_id()}
+    rows = staged(items.orderBy(*by).withColumns(marks))
+    narrow = rows.select("_owner", "_pos", F.col("tokens").alias("_tokens"))
+    state = narrow.select("_owner").distinct().select("_owner", F.lit(0).cast("long").alias("_used"), F.lit(-1).cast("long").alias("_lo"))
+    phases, done = [], False
+    while not done:
+        live = narrow.join(state, "_owner").where(f"_pos > _lo and _tokens <= {budget} - _used")
+        rest = F.lit(budget) - F.col("_used")
+        live = live.withColumns({"_rest": rest, "_small": F.col("_tokens") * 2 <= rest})
+        summed = _running(live, F.when(F.col("_small"), F.col("_tokens")).otherwise(0))
+        half = F.when(F.col("_small"), (F.col("_sum") * 2 >= F.col("_rest")) & (F.col("_rest") > 0)).otherwise(F.col("_tokens") <= F.col("_rest") - F.col("_sum"))
+        events = summed.where(half).groupBy("_owner").agg(
+            F.min_by(F.struct(F.col("_pos").alias("hi"), (F.col("_sum") + F.when(F.col("_small"), 0).otherwise(F.col("_tokens"))).alias("taken")), "_pos").alias("_event")
+        )
+        turn = staged(state.join(events, "_owner", "left").select("_owner", "_used", "_lo", F.col("_event.hi").alias("_hi"), "_event.taken"))
+        phases.append(turn)
+        state = turn.where("_hi is not null").select("_owner", (F.col("_used") + F.col("taken")).alias("_used"), F.col("_hi").alias("_lo"))
+        done = state.isEmpty()
+    spans = reduce(DataFrame.unionAll, phases).withColumnRenamed("_used", "_before").select("_owner", "_before", "_lo", "_hi")
+    told = rows.join(spans, "_owner").where("_pos > _lo and (_hi is null or _pos <= _hi)")
+    fits = (F.col("tokens") * 2 <= F.lit(budget) - F.col("_before")) | F.coalesce(F.col("_pos") == F.col("_hi"), F.lit(False))
+    told = _running(told.withColumn("taken", fits), F.when(F.col("taken"), F.col("tokens")).otherwise(0))
+    return told.select(*items.columns, "taken", F.col("_sum").cast("long").alias("used"))
+
+
+def _running(rows: DataFrame, value: Column) -> DataFrame:
+    """rows with `_sum`: of an owner the values up to each row in order of _pos, whose high bits are the part of the sort a row is in."""
+    part = F.shiftright("_pos", 33).alias("_part")
+    valued = rows.withColumns({"_part": part, "_value": value.cast("long")})
+    sums = valued.groupBy("_owner", "_part").agg(F.sum("_value").alias("_whole"))
+    ahead = F.sum("_whole").over(Window.partitionBy("_owner").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    offsets = sums.select("_owner", "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    own = F.sum("_value").over(Window.partitionBy("_owner", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return valued.withColumn("_own", own).join(offsets, ["_owner", "_part"]).withColumn("_sum", F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_value", "_part")
 
 
 #: Budget order of roles (fixed values): lower first.

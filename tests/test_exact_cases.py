@@ -1,5 +1,6 @@
 """Small inputs whose results are known: ties, edges and rules that large tables rarely meet."""
 
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -35,6 +36,19 @@ def test_greedy_ties_go_by_path(spark):
     assert relevance.greedy(many.limit(0), 500, ["o"]).collect() == []
 
 
+def test_greedy_of_any_sizes_equals_a_plain_fold(spark):
+    rng = random.Random(11)
+    sizes = {"a": [rng.choice([0, 1, 2, 3, 50, 400, 999, 1000, 1001]) for _ in range(300)], "b": [rng.randint(0, 700) for _ in range(200)], "c": [1, 999, 1, 998, 2, 997] * 20, "d": [2000], "e": [1000, 0, 1, 0]}
+    items = spark.createDataFrame([(g, k, f"{k:03d}", n, "x") for g, ns in sizes.items() for k, n in enumerate(ns)], "g string, o long, path string, tokens long, hi string").repartition(5)
+    got = {(r["g"], r["o"]): (r["taken"], r["used"]) for r in relevance.greedy(items, 1000, ["o"], ["g"]).collect()}
+    for g, ns in sizes.items():
+        used = 0
+        for k, n in enumerate(ns):
+            fits = used + n <= 1000
+            used += n if fits else 0
+            assert got[g, k] == (fits, used), (g, k)
+
+
 def test_focus_goes_by_the_defining_file(spark):
     paths = ["p/foo.go", "p/near.go", "q/foo_util.go", "q/foolish.go", "q/bar.go", "q/says.py", "q/says.rs", "q/bar_x.go", "r/late.ts"]
     files = spark.createDataFrame([(p,) for p in paths], "path string")
