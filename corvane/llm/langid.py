@@ -207,27 +207,29 @@ def _dense(rows: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected in place of columns so named; all other columns stay.
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with a label, its score (0 to 1) and whether it is rejected, in place of columns of those names; all other columns stay.
 
-    A null text, one without a letter, or any text when there is no model: `und`, score 0, rejected. Whole texts.
+    A null text, one without a letter, or any text when there is no model: `und`, score 0, rejected. Whole texts; of labels
+    with equal cosines the first in order; repeated rows get equal values; an empty table gives none.
     """
+    lang, score, rejected = names
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        names, scores, rejected = model.predict(texts.tolist())
-        return pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": scores, "rejected": rejected})
+        labels, scores, far = model.predict(texts.tolist())
+        return pd.DataFrame({"lang": pd.Series(labels, dtype=object), "score": scores, "rejected": far})
 
     letters = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0), rejected: F.lit(True)})
     (held,) = fresh(docs, "guess")
     marked = docs.withColumn(held, guess(F.coalesce("text", F.lit(""))))
     return marked.withColumns(
         {
-            "lang_pred": F.when(letters, F.col(f"{held}.lang")).otherwise(UNKNOWN),
-            "score": F.when(letters, F.col(f"{held}.score")).otherwise(0.0),
-            "rejected": F.when(letters, F.col(f"{held}.rejected")).otherwise(True),
+            lang: F.when(letters, F.col(f"{held}.lang")).otherwise(UNKNOWN),
+            score: F.when(letters, F.col(f"{held}.score")).otherwise(0.0),
+            rejected: F.when(letters, F.col(f"{held}.rejected")).otherwise(True),
         }
     ).drop(held)
 

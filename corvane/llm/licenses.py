@@ -130,10 +130,10 @@ _HINTS = (
 )
 _END = re.compile(
     r"(?<=[.!?])\s+(?=[A-Z\"'(])|;\s+(?=(?:and |or |either |you (?:may|can)\b))|\n[\t #/*;-]*\n|(?<=[.!?:])[\t ]*\n|"
-    r"\n(?=\s*(?:[*#/;]+\s*)?(?:SPDX|Copyright|Licen[sc]ed|Released|Permission|Redistribution|Neither|Everyone is permitted|(?:\(?\d+[.)]|\*|-) +Redistributions|This (?:work|program|library|file|software)))"
+    r"\n(?=[^\S\n]*(?:[*#/;]+[^\S\n]*)?(?:SPDX|Copyright|Licen[sc]ed|Released|Permission|Redistribution|Neither|Everyone is permitted|(?:\(?\d+[.)]|\*|-) +Redistributions|This (?:work|program|library|file|software)))"
 )
 #: Comment marks at the start or end of a line; blanks take their place, so that offsets stay.
-_MARKS = re.compile(r"(?m)^[\t ]*(?:/\*+|\*+/|\*+|//+|#+|;+|--|<!--|\.\.)(?=\s|$)|\*+/[\t ]*$|-->[\t ]*$")
+_MARKS = re.compile(r"(?m)^[\t ]*(?:/\*+|\*+/|\*+|//+|#+|;+|--|<!--|\.\.)(?=\s|$)|(?<!\*)\*+/[\t ]*$|-->[\t ]*$")
 #: What may follow the bare name of a licence.
 _AFTER = re.compile(r"\s*(?:$|[,;:()/\"'-]|and |or |terms\b|only\b)")
 _FREE = re.compile(r"is free software$")
@@ -186,10 +186,11 @@ def _all_named(said: str, at: int) -> tuple[str, int] | None:
     m = _NAMED.match(said, at)
     if not m or not ("licen" in m[0] or "gpl" in m[0] or m["version"] or "-" in m[0] or _AFTER.match(said, m.end())):
         return None
-    names, end = _licence(m), m.end()
+    names, end = [_licence(m)], m.end()
     while (step := _NEXT.match(said, end)) and (m := _NAMED.match(said, step.end())):
-        names, end = f"{names} {'AND' if step['word'] == 'and' else 'OR'} {_licence(m)}", m.end()
-    return names, end
+        names += ["AND" if step["word"] == "and" else "OR", _licence(m)]
+        end = m.end()
+    return " ".join(names), end
 
 
 def identify(sentence: str) -> tuple[str, str] | None:

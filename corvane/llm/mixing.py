@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.shared import fresh, materialize, small_batches
 
+LOG = logging.getLogger(__name__)
+
 #: Buckets of hashed words; a text's features are the buckets it has.
 DIMS = 1 << 15
 #: Bound of the labelled rows the classifier is fitted on, those of smallest hash; DIMS / 8 bytes each on the driver.
@@ -261,7 +264,7 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     """docs with each row as often as its copies say, all columns kept, whatever their names.
 
     The pass that reads the texts writes the rows with their posteriors, and the rates are an expression over those: the
-    texts are neither joined nor shuffled. Null, empty and repeated texts as in mix; an empty table gives no row.
+    texts are neither joined nor shuffled. Targets that the rates do not meet are logged as a warning, with the totals. Null, empty and repeated texts as in mix; an empty table gives no row.
     """
     classifier = fit(docs, labels)
     held, tokens, posteriors, own = fresh(docs, "mixed", "n_tokens", "p", "text_hash")
@@ -271,7 +274,9 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
         table = materialize(marked.select(*docs.columns, F.col(held)["n_tokens"].alias(tokens), F.col(held)["p"].alias(posteriors), F.xxhash64("text").alias(own)), "mixed")
     numbers = table.select(F.col(tokens).alias("n_tokens"), F.col(posteriors).alias("p"))
     total = numbers.agg(F.sum("n_tokens")).first()[0] or 0
-    rate, _ = solve(numbers, classifier.domains, targets, budget_share * total)
+    rate, totals = solve(numbers, classifier.domains, targets, budget_share * total)
+    if not totals.met:
+        LOG.warning("targets not met: wanted %s tokens, expected %s", totals.wanted, totals.expected)
     plain = table.select(F.struct(*docs.columns).alias("doc"), F.col(tokens).alias("n_tokens"), F.col(posteriors).alias("p"), F.col(own).alias("text_hash"))
     rate = F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
     copies = plain.select("doc", _copies(rate, F.col("doc.doc_id"), "text_hash").alias("copies")).where("copies > 0")

@@ -79,9 +79,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, domains, _totals = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rated, domains, totals = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     posteriors = [F.get("p", F.lit(k)).alias("p_" + d.replace("=", "").replace(",", "_")) for k, d in enumerate(domains)]
-    return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
+    return rated.select("doc_id", "n_tokens", *posteriors, "rate", "copies", F.lit(totals.met).alias("targets_met"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ HUB_ROWS = 100_000
 #: Rows of texts that a Python worker holds at once, and that its JVM keeps for it.
 BATCH_ROWS = 1_000
 
-_open: list[Scratch] = []
+#: The open scratches of this thread or task, the innermost last: other threads' tables are theirs.
+_open: ContextVar[tuple[Scratch, ...]] = ContextVar("open", default=())
 
 
 @lru_cache(maxsize=1)
@@ -51,18 +53,19 @@ class Scratch:
         self.spark, self.folders = spark, []
 
     def __enter__(self) -> Scratch:
-        _open.append(self)
+        self.around = _open.get()
+        self.token = _open.set((*self.around, self))
         return self
 
     def keep(self, table: DataFrame) -> DataFrame:
         folder = table._corvane_folder
         self.folders.remove(folder)
-        if len(_open) > 1:
-            _open[-2].folders.append(folder)
+        if self.around:
+            self.around[-1].folders.append(folder)
         return table
 
     def __exit__(self, *_) -> None:
-        _open.remove(self)
+        _open.reset(self.token)
         for folder in self.folders:
             system, path = _path(self.spark, folder)
             system.delete(path, True)
@@ -79,8 +82,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     system, path = _path(spark, folder)
     system.deleteOnExit(path)
-    if _open:
-        _open[-1].folders.append(folder)
+    if _open.get():
+        _open.get()[-1].folders.append(folder)
     df.write.parquet(folder)
     table = spark.read.schema(df.schema).parquet(folder)
     table._corvane_folder = folder
@@ -102,7 +105,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
 def discard(table: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     folder = table._corvane_folder
-    for scratch in _open:
+    for scratch in _open.get():
         if folder in scratch.folders:
             scratch.folders.remove(folder)
     system, path = _path(table.sparkSession, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import materialize, spread_join
@@ -26,10 +26,13 @@ def split_url(urls: DataFrame) -> DataFrame:
     return urls.select("url", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), path.alias("path"))
 
 
-def expressions(parts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(url, host, path) -> (url, expression, digest): each host suffix with each path prefix of a length that rules have."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def labels(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def expressions(parts: DataFrame, lengths: list[int], sizes: list[int]) -> DataFrame:
+    """(url, host, path) -> (url, digest): host suffixes of a number of labels, with path prefixes of a length, that rules have."""
+    suffixes = F.filter(F.array(*[F.when(labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sizes]), lambda s: s.isNotNull())
     wanted = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("path"))
     hosts = parts.where("host <> ''").select("url", "path", F.explode(suffixes).alias("suffix"), wanted.alias("wanted"))
     each = hosts.select("url", "suffix", "path", F.explode("wanted").alias("n"))
@@ -42,13 +45,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataF
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest (host and path, then host)
     wins; of equal rules block wins. Rows meet rules on a short digest prefix, equally, and the full digest confirms,
-    so neither side need be small; Spark broadcasts the rules only if they are. The path lengths that occur in rules
-    come to the driver: at most as many as the longest rule path has characters. No rule: `default` and a null rule.
+    so neither side need be small; Spark broadcasts the rules only if they are. The path lengths and numbers of host labels
+    that occur in rules come to the driver: at most as many as the longest rule has characters, however long the urls are. No rule: `default` and a null rule.
     """
     distinct = urls.select("url").distinct()
     parts = split_url(distinct)
     known = rules.where("host is not null").select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "action")
     lengths = sorted(r["n"] for r in known.select(F.char_length("p").alias("n")).distinct().collect())
+    sizes = sorted(r["n"] for r in known.select(labels(F.col("h")).alias("n")).distinct().collect())
     whole = F.sha2(F.concat("h", F.lit("\n"), "p"), 256)
     known = known.select(
         F.concat("h", "p").alias("rule"), "action", F.char_length("h").alias("size"), whole.alias("full"),
@@ -56,7 +60,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataF
     )
     if not lengths:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    probes = expressions(parts, lengths).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    probes = expressions(parts, lengths, sizes).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     hits = probes.join(known, "short").where(F.col("digest") == F.col("full"))
     rank = F.struct(F.char_length("rule").alias("n"), "size", (F.col("action") == BLOCK).alias("block"), "rule", "action")
     best = hits.groupBy("url").agg(F.max(rank).alias("best")).select(F.col("url").alias("hit_url"), F.col("best.rule").alias("rule"), "best.action")

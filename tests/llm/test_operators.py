@@ -162,6 +162,8 @@ def test_op2_rules(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["url"]]
     assert urls.filter_urls(pages.limit(0), rules).collect() == []
     assert {r["verdict"] for r in urls.filter_urls(pages, rules.limit(0), "block").collect()} == {"block"}
+    long = spark.createDataFrame([(1, "x://" + "." * 1_000_000 + "a.org/x"), (2, "x://" + "a." * 500_000 + "org/x/yyy"), (3, "x://.org/x/yyy")], "page_id long, url string")
+    assert sorted((r["page_id"], r["rule"]) for r in urls.filter_urls(long, rules).collect()) == [(1, "a.org/x"), (2, "org/x/yyy"), (3, "org/x/yyy")]
 
 
 MIT = (

@@ -1,7 +1,10 @@
 """The pipeline's stages on small tables against what each should do."""
 
+from threading import Thread
+
 import corpus_pipeline as P
 from corvane.llm import secrets
+from corvane.llm.shared import Scratch, materialize
 from tests.conftest import SMALL
 from tests.llm.test_operators import brute_kept, check_packing
 
@@ -27,3 +30,27 @@ def test_stages(spark, tmp_path):
     before, after = seen["best_fit_packing"]
     check_packing(after.to_dict("records"), 4096)
     assert (after.piece == 0).sum() == len(before)
+
+
+def test_language_id_keeps_columns_of_its_own_names(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", "doc_id * 2 as score", "'mine' as lang_pred", "doc_id as REJECTED", "1 as guess")
+    kept = P.language_id(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert kept.where("score <> doc_id * 2 or lang_pred <> 'mine' or REJECTED <> doc_id or guess <> 1").count() == 0 < kept.count()
+
+
+def test_language_id_without_labels_or_rows(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert P.language_id(spark, docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars"), SMALL).count() == docs.count()
+    assert P.language_id(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_scratches_of_threads_are_their_own(spark):
+    made = []
+    with Scratch(spark):
+        inner = materialize(spark.range(3), "own")
+        other = Thread(target=lambda: made.append(materialize(spark.range(5), "other")))
+        other.start()
+        other.join()
+        assert inner.count() == 3
+    assert made[0].count() == 5
