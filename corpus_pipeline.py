@@ -7,10 +7,11 @@ Parquet and reread as the next one's docs. All but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import langid, mixing, packing, secrets, simhash
 from corvane.llm.queries import table, tokenizer_path
-from corvane.llm.shared import BATCH_ROWS, Scratch, discard, materialize
+from corvane.llm.shared import BATCH_ROWS, Scratch, discard, fresh, materialize
 
 #: Tokens after mixing as a share of those before. Above 1, so that what the targets do not cut stays once at least.
 BUDGET_SHARE = 1.1
@@ -22,10 +23,17 @@ def _settings(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the model rejects go: null texts, texts without a letter, and those far from every centroid."""
+    """Documents the model rejects go: null texts, texts without a letter, and those far from every centroid.
+
+    All columns keep their values, whatever their names; repeated rows stay or go together; an empty table gives no row. Where no
+    document has a label there is no model, nothing is known of any text, and all documents stay.
+    """
     _settings(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    if model is None:
+        return docs
+    names = fresh(docs, "lang_pred", "score", "rejected")
+    return langid.predict(docs, model, tuple(names)).where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
