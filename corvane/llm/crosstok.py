@@ -8,9 +8,11 @@ postings, each of which adds to its documents. Contributions are packed again an
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -55,36 +58,21 @@ class Aligner:
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
         self.bytes_a = {i: w.encode() if w in special else bytes(table[c] for c in w) for w, i in self.a.get_vocab().items()}
         pieces = range(self.b.get_piece_size())
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in pieces]
+        self.sizes_b = np.array([len(b) for b in self.bytes_b])
+        self.said = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of space+text by A, and of text by B."""
         left = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
         return list(zip(left, self.b.encode(texts, num_threads=1), strict=True))
 
-    def align(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, list[int], str] | None:
-        """(A tokens, B tokens, groups, linked pairs as a << 16 | b, groups written out); None if a side has other bytes than space+text."""
-        whole = b" " + text.encode("utf-8", "surrogatepass")
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if not ids_a or b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        links, groups = [], []
-        i = j = from_a = from_b = 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        while True:
-            links.append(ids_a[i] << 16 | ids_b[j])
-            move_a, move_b = end_a <= end_b, end_b <= end_a
-            if move_a and move_b:
-                groups.append(f"{','.join(map(str, ids_a[from_a : i + 1]))}|{','.join(map(str, ids_b[from_b : j + 1]))}")
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(ids_a):
-                    return len(ids_a), len(ids_b), len(groups), links, ";".join(groups)
-            if move_a:
-                i += 1
-                end_a += len(parts_a[i])
-            if move_b:
-                j += 1
-                end_b += len(parts_b[j])
+
+    def sound(self, encoded: list[tuple[list[int], list[int]]], whole: list[bytes]) -> list[bool]:
+        """Which texts both sides' tokens spell."""
+        spelt_a, spelt_b = self.bytes_a, self.bytes_b
+        return [b"".join([spelt_a[i] for i in a]) == w == b"".join([spelt_b[i] for i in b]) for (a, b), w in zip(encoded, whole, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -93,7 +81,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class Memory:
-    """Alignments of pieces of text, as arrays by number; a worker keeps them from batch to batch."""
+    """Alignments of pieces of text by number: tokens of A and B, groups and links, the groups written out, and all pieces' links in a row."""
 
     def __init__(self, tool: Aligner):
         self.tool = tool
@@ -101,27 +89,50 @@ class Memory:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
+        self.counts: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
         self.groups: list[str] = []
         self.bad: set[int] = set()
 
     def learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.number.keys())
-        for piece, (ids_a, ids_b) in zip(new, self.tool.encode(new), strict=True):
-            found = self.tool.align(piece, ids_a, ids_b)
-            at = self.number[piece] = len(self.counts)
-            if found is None:
-                self.bad.add(at)
-                found = 0, 0, 0, [], ""
-            n_a, n_b, n_groups, links, written = found
-            self.counts.append((n_a, n_b, n_groups, len(links)))
-            self.links.append(np.array(links, np.int64))
-            self.groups.append(written)
+        """Align new pieces, all in one row of bytes. Pieces of which a side has other bytes than space+piece are bad.
+
+        Two tokens overlap in just one stretch between neighbouring ends of either side, so the stretches are the links;
+        ends of both sides end groups.
+        """
+        tool, new = self.tool, list(pieces - self.number.keys())
+        if not new:
+            return
+        whole = [b" " + p.encode("utf-8", "surrogatepass") for p in new]
+        encoded = tool.encode(new)
+        first = len(self.groups)
+        self.number.update((p, first + k) for k, p in enumerate(new))
+        sound = tool.sound(encoded, whole)
+        self.bad.update(first + k for k, fine in enumerate(sound) if not fine)
+        good = [k for k, fine in enumerate(sound) if fine]
+        counts, written = np.zeros((len(new), 4), np.int64), [""] * len(new)
+        if good:
+            sides = [np.fromiter(chain.from_iterable(encoded[k][x] for k in good), np.int64) for x in (0, 1)]
+            ends = [np.cumsum(sizes[ids]) for sizes, ids in zip((tool.sizes_a, tool.sizes_b), sides, strict=True)]
+            last = np.cumsum([len(whole[k]) for k in good])
+            cuts = np.union1d(*ends)
+            self.links.append(sides[0][np.searchsorted(ends[0], cuts)] << 16 | sides[1][np.searchsorted(ends[1], cuts)])
+            common = np.intersect1d(*ends, assume_unique=True)
+            for c, at in enumerate((*ends, common, cuts)):
+                counts[good, c] = np.diff(np.searchsorted(at, last, "right"), prepend=0)
+            names = [[tool.said[i] for i in ids.tolist()] for ids in sides]
+            bounds = [[0, *np.searchsorted(e, common, "right").tolist()] for e in ends]
+            parts = [",".join(names[0][a0:a1]) + "|" + ",".join(names[1][b0:b1]) for a0, a1, b0, b1 in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:], strict=False)]
+            at = 0
+            for k, n in zip(good, counts[good, 2].tolist(), strict=True):
+                written[k] = ";".join(parts[at : at + n])
+                at += n
+        self.counts.append(counts)
+        self.groups += written
 
     def forget(self) -> None:
         """Between batches: all, once there are too many, else only long pieces."""
-        if len(self.counts) > REMEMBERED or any(len(p) > LONGEST for p in self.number):
+        if len(self.number) > REMEMBERED or any(len(p) > LONGEST for p in self.number):
             self.clear()
 
 
@@ -129,7 +140,7 @@ def _postings(memory: Memory, texts: list[str | None]) -> tuple[list[tuple], lis
     """Of a batch: per text its five columns, and per A id (id, B ids and their documents, documents and their multiplicities)."""
     pieces = [_CUT.split(t) if t else [] for t in texts]
     memory.learn({p for ps in pieces for p in ps})
-    number, counts, groups, docs = memory.number, np.array(memory.counts, np.int64).reshape(-1, 4), memory.groups, []
+    number, counts, groups, docs = memory.number, np.concatenate([np.zeros((0, 4), np.int64), *memory.counts]), memory.groups, []
     at_doc, at_piece = [], []
     for k, ps in enumerate(pieces):
         ids = [number[p] for p in ps]
