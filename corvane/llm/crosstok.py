@@ -29,7 +29,7 @@ _CUT = re.compile(f"(?<={_EDGE}) (?={_EDGE})")
 #: Characters of text, and documents, of a batch (document numbers within it take 16 bits).
 BATCH_CHARS, BATCH_DOCS = 4_000_000, 16_384
 #: Pieces of text whose alignment a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 100_000, 200
+REMEMBERED, LONGEST = 250_000, 200
 #: Bytes of postings of one id that a task streams; more are dealt over several tasks, each of which gets all counts.
 ID_BYTES = 16_000_000
 #: Documents whose sums a task holds before it hands them on.
