@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -95,7 +96,7 @@ def with_patch(entries: DataFrame, around: int = 3) -> DataFrame:
         out = []
         for p, w, a, b in zip(path, was, before, after, strict=True):
             old, new = ("/dev/null" if a is None else f"a/{w or p}"), ("/dev/null" if b is None else f"b/{p}")
-            pair = [(x or "").splitlines(keepends=True) for x in (a, b)]
+            pair = [re.findall(r"[^\n]*\n|[^\n]+", x or "") for x in (a, b)]
             lines = difflib.unified_diff(*pair, old, new, n=around)
             out.append("".join(x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in lines))
         return pd.Series(out, dtype=object)

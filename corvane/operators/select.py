@@ -162,32 +162,34 @@ def changed_lines(pairs: DataFrame) -> DataFrame:
 
 
 def line_script(before: str, after: str, cells: int = 25_000_000) -> list[tuple[str, str]]:
-    a, b = before.splitlines(), after.splitlines()
+    """(op, line) by a longest common subsequence walked from the start, removals before additions; over `cells` all goes, all comes."""
+    a, b = text_lines(before), text_lines(after)
+    if (len(a) + 1) * (len(b) + 1) > cells:
+        return [("-", s) for s in a] + [("+", s) for s in b]
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    middle = [("-", s) for s in x] + [("+", s) for s in y]
-    if x and y and len(x) * len(y) <= cells:
-        codes: dict[str, int] = {}
-        cx, cy = (np.array([codes.setdefault(s, len(codes)) for s in part]) for part in (x, y))
-        table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i in range(len(x) - 1, -1, -1):
-            hit = np.where(cx[i] == cy, table[i + 1, 1:] + 1, table[i + 1, :-1])
-            table[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
-        middle, i, j = [], 0, 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                middle.append(("=", x[i]))
-                i, j = i + 1, j + 1
-            elif table[i + 1, j] >= table[i, j + 1]:
-                middle.append(("-", x[i]))
-                i += 1
-            else:
-                middle.append(("+", y[j]))
-                j += 1
-        middle += [("-", s) for s in x[i:]] + [("+", s) for s in y[j:]]
-    return [("=", s) for s in a[:head]] + middle + [("=", s) for s in a[len(a) - tail :]]
+    x, y = a[head:], b[head:]
+    codes: dict[str, int] = {}
+    cx, cy = (np.array([codes.setdefault(s, len(codes)) for s in part], np.int64) for part in (x, y))
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        hit = np.where(cx[i] == cy, table[i + 1, 1:] + 1, table[i + 1, :-1])
+        table[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
+    script, i, j = [("=", s) for s in a[:head]], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            script.append(("=", x[i]))
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            script.append(("-", x[i]))
+            i += 1
+        else:
+            script.append(("+", y[j]))
+            j += 1
+    return script + [("-", s) for s in x[i:]] + [("+", s) for s in y[j:]]
+
+
+def text_lines(text: str) -> list[str]:
+    """Lines parted at newlines alone, without a last empty one; carriage returns and form feeds stay in them."""
+    return text.removesuffix("\n").split("\n") if text else []

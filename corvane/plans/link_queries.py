@@ -288,3 +288,14 @@ def t10(spark, sf_dir):
 def p15(spark, sf_dir):
     names = F.array(*map(F.lit, ["tests/a.py", "docs/x.md", "Cargo.toml", "src/main.py", "src/lib.rs"]))
     return table(spark, sf_dir, "pages").select("page_id", T.role(F.element_at(names, (F.col("page_id") % 5 + 1).cast("int"))).alias("role"))
+
+
+@query("w15_moved_lines", """with d as (select doc_id as path, concat(source, chr(12), lang) as t from documents where doc_id is not null and source is not null and lang is not null),
+s as (select distinct path, t from d)
+select path, unnest([1, 2, 3, 4]) as n, unnest(['-', '=', '+', '+']) as op, unnest([concat('c', t, chr(13)), concat('a', t), concat('b', t), concat('a', t)]) as text from s""")
+def w15_moved(spark, sf_dir):
+    said = F.concat("source", F.lit("\f"), "lang")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null and lang is not null").select(F.col("doc_id").alias("path"), said.alias("t")).distinct()
+    before = F.concat(F.lit("c"), "t", F.lit("\r\na"), "t", F.lit("\n"))
+    after = F.concat(F.lit("a"), "t", F.lit("\nb"), "t", F.lit("\na"), "t")
+    return X.changed_lines(docs.select("path", before.alias("before"), after.alias("after")))

@@ -87,6 +87,14 @@ def test_treemap_covers_the_map():
     assert heat.layout([], 5, 5) == [] and heat.layout([1], 5, 5) == [(0, 0, 5, 5)]
 
 
+def test_line_script_walks_from_the_start_and_parts_at_newlines_alone():
+    said = lambda a, b, **k: "".join(o + t for o, t in X.line_script(a, b, **k))
+    assert said("c\na\n", "a\nb\na\n") == "-c=a+b+a"
+    assert said("x\r\n", "x\n") == "-x\r+x" and said("a\fb", "a\fc") == "-a\fb+a\fc" and said("a\u2028b\n", "a\u2028b") == "=a\u2028b"
+    assert said("", "\n") == "+" and said("a\n\n", "a\n") == "=a-" and said("", "") == ""
+    assert said("a\nb\nc", "a\nx\nc", cells=15) == "-a-b-c+a+x+c" and said("a\nb\nc", "a\nx\nc", cells=16) == "=a-b+x=c"
+
+
 def test_line_script_rebuilds_both_texts():
     a, b = "a\nb\nc\nd\ne", "a\nx\nc\ne\nf"
     ops = X.line_script(a, b)
