@@ -92,9 +92,10 @@ def reference_counts(files: DataFrame) -> DataFrame:
 
     Each distinct stem is looked for once: one pass of an automaton over every body counts the files of all stems of a block, and a
     file's own mention is taken off. Stems are parted in blocks of about STEM_BLOCK by hash, so what a task gets is bounded;
-    the driver holds one block at a time. Counts are summed per batch before they are shuffled.
+    the driver holds one block at a time. Counts are summed per batch before they are shuffled. A null body holds nothing, and an
+    empty stem has no references.
     """
-    stems = files.select("path", T.stem(F.col("path")).alias("stem"), F.col("body").contains(T.stem(F.col("path"))).cast("long").alias("own"))
+    stems = files.select("path", T.stem(F.col("path")).alias("stem"), F.coalesce(F.col("body").contains(T.stem(F.col("path"))), F.lit(False)).cast("long").alias("own"))
     distinct = stems.where("stem <> ''").select("stem").distinct()
     blocks = -(-distinct.count() // STEM_BLOCK)
     counted = None

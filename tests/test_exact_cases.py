@@ -74,6 +74,20 @@ def test_references_are_substrings(spark, monkeypatch, block):
     assert rows(graph.reference_counts(files), "path", "refs") == [("a/main.go", 1), ("b/util.go", 2), ("c/main.py", 1), ("d/é.md", 0), ("e/lone.go", 0)]
 
 
+@pytest.mark.parametrize("block", [graph.STEM_BLOCK, 20])
+def test_references_agree_with_a_search_of_every_body(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "STEM_BLOCK", block)
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abé𝄞_", k=rng.randint(1, 9))) for _ in range(60)]
+    data = [(f"d{k}/{s}.md", None if k == 7 else "".join(rng.choices(["", "ab", *stems, "aaaaaaaaaaaa", "\n"], k=rng.randint(0, 8)))) for k, s in enumerate(stems)]
+    data += [("x/.md", "ab"), ("y/a.md", ""), ("z/a.md", "a"), ("z/long.md", "b" * 5000 + "long")]
+    files = spark.createDataFrame(data, "path string, body string")
+    stem = {r["path"]: r["stem"] for r in files.select("path", T.stem(F.col("path")).alias("stem")).collect()}
+    want = sorted((p, sum(1 for q, b in data if q != p and stem[p] in (b or "")) if stem[p] else 0) for p, _ in data)
+    assert rows(graph.reference_counts(files), "path", "refs") == want
+    assert graph.reference_counts(files.where("false")).count() == 0
+
+
 def test_secret_edges_allowances_and_entropy(spark):
     key = "AKIA" + "0123456789ABCDEF"
     lines = [f"é{key}", f"_{key}", f"{key} # sample", "x = 'aB3dE5gH7jK9mN1pQ2rS4tU6'", "aaaaaaaaaaaaaaaaaaaaaaaa", f"{key}é"]
