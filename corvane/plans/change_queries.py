@@ -8,7 +8,7 @@ from corvane.functions import text as T
 from corvane.operators import changes, graph, relevance, render, search
 from corvane.operators import select as X
 from corvane.plans.base import COMMITS, FILES, LINES, SYMBOLS, commit_files, commits, files, lines, query, symbols, table
-from corvane.plans.link_queries import DIFF, manifests
+from corvane.plans.link_queries import DIFF, VERDICTS, manifests, v2
 from corvane.plans.search_queries import BUDGET, GOAL, RELEVANT, SCORED, SEARCH, k6
 from corvane.plans.text_queries import METRICS, a1
 
@@ -146,10 +146,13 @@ def u8(spark, sf_dir):
     return changes.with_worktree(commits(spark, sf_dir), table(spark, sf_dir, "region")).select("commit")
 
 
-@query("s13_stdin_paths", """select * from (values (1, 'a.py', 0), (1, 'b/c.go', 2), (2, 'x/y.ts', 0), (2, 'z.md', 2)) v(id, path, ord)""")
+@query("s13_stdin_paths", f"""with {LINES}, t as (select path, tokens from files)
+select path as id, 'x/' || tokens || '.go' as path, 0 as ord from t where tokens % 3 = 0 union all
+select path, trim(text), min(line_no) - 1 from lines join t using (path) where tokens % 3 <> 0 and trim(text) <> '' and not starts_with(trim(text), '#') group by 1, 2""")
 def s13(spark, sf_dir):
-    text = spark.createDataFrame([(1, "a.py\n# note\nb/c.go\na.py\n"), (2, "diff --git a/x/y.ts b/x/y.ts\n+++ b\ndiff --git a/z.md b/z.md\n")], "id int, value string")
-    return changes.stdin_paths(text)
+    header = F.concat(F.lit("diff --git a/x/old.go b/x/"), F.col("tokens"), F.lit(".go\n+++ b\n"))
+    text = F.when(F.col("tokens") % 3 == 0, F.concat(header, "body")).otherwise(F.col("body"))
+    return changes.stdin_paths(files(spark, sf_dir).select(F.col("path").alias("id"), text.alias("value")))
 
 
 @query("r5_match_ranges", f"""with {LINES}, r as (select path, greatest(line_no - 2, 1) as first, line_no + 2 as last from lines where contains(text, 'tion')),
@@ -167,10 +170,13 @@ def a12(spark, sf_dir):
     return changes.coverage(table(spark, sf_dir, "lineitem").select(value.alias("value"))).withColumn("percent", F.round("percent", 9))
 
 
-@query("a12_uncovered", """select * from (values ('a.go', 3, 9), ('a.go', 12, 13), ('b.go', 1, 1)) v(path, first, last)""")
+@query("a12_uncovered", """with r as (select 'p' || (l_partkey % 50) || '.go' as path, l_orderkey % 5000 + 1 as first, l_orderkey % 5000 + 1 + l_linenumber as last from lineitem where l_suppkey % 3 = 0),
+o as (select *, case when first <= 1 + max(last) over (partition by path order by first, last rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from r),
+g as (select *, sum(opens) over (partition by path order by first, last rows unbounded preceding) as run from o) select path, min(first) as first, max(last) as last from g group by path, run""")
 def a12u(spark, sf_dir):
-    rows = ["a.go:3.1,5.2 2 0", "a.go:5.3,9.1 1 0", "a.go:10.1,11.1 4 7", "a.go:12.1,13.1 1 0", "b.go:1.1,1.9 1 0", "mode: set"]
-    return changes.uncovered(spark.createDataFrame([(r,) for r in rows], "value string"))
+    first = F.col("l_orderkey") % 5000 + 1
+    parts = F.lit("p"), F.col("l_partkey") % 50, F.lit(".go:"), first, F.lit(".1,"), first + F.col("l_linenumber"), F.lit(".2 1 "), F.col("l_suppkey") % 3
+    return changes.uncovered(table(spark, sf_dir, "lineitem").select(F.concat(*parts).alias("value")))
 
 
 @query("k17_test_links", """select * from (values ('p/a_test.go', 'p/a.go', 95), ('p/a_test.go', 'p/b.go', 35), ('p/a_test.go', 'q/c.go', 5)) v(test, source, score)""")
@@ -230,10 +236,10 @@ def w19(spark, sf_dir):
     return relevance.greedy(ordered, 9000, ["tier_order", "falling"]).select("path", "tokens", "taken", "used")
 
 
-@query("v2_violation_groups", """select * from (values ('out-of-context', 2, 1), ('phantom-symbol', 1, 1), ('stale-content', 1, 1)) v(verdict, "references", exit_code)""")
+@query("v2_violation_groups", f"""with {VERDICTS}, e as (select verdict from verdicts union all select 'out-of-context' from files where tokens % 4 = 3)
+select verdict, count(*) as "references", 1 as exit_code from e where verdict <> 'ok' group by verdict""")
 def v2g(spark, sf_dir):
-    rows = [("ok",), ("out-of-context",), ("out-of-context",), ("phantom-symbol",), ("stale-content",)]
-    return changes.violations(spark.createDataFrame(rows, "verdict string"))
+    return changes.violations(v2(spark, sf_dir))
 
 
 @query("k3_merged_scores", f"""with {SCORED}, lit as (select path, sum(n) as literal from (select path, 12 as n from files where contains(regexp_extract(path, '([^/]+)\\.md$', 1), 'The') union all

@@ -43,17 +43,15 @@ def j23a(spark, sf_dir):
     return search.anchor(files(spark, sf_dir), symbols(spark, sf_dir), "The")
 
 
-@query("s12_parse_results", """select * from (values (1, 'b.py', 0), (1, 'a.py', 1), (2, 'x/y.ts', 0), (2, 'z.md', 2)) v(id, path, ord)""")
+@query("s12_parse_results", f"""with {FILES} select path as id, path, case when tokens >= 20 then 0 else 1 end as ord from files where tokens % 3 = 0 union all
+select path, 'b.py', case when tokens >= 20 then 1 else 0 end from files where tokens % 3 = 0 union all
+select path, 'x/' || path, 0 from files where tokens % 3 = 1 union all select path, 'z.md', 2 from files where tokens % 3 = 1""")
 def s12(spark, sf_dir):
-    raw = [(1, '[{"path":"./a.py","score":3},{"path":"b.py","score":9},{"path":"a.py","score":1}]'), (2, "x/./y.ts\n# note\n\nx/y.ts\nz.md"), (3, "null")]
-    rows = search.parse_results(spark.createDataFrame(raw, "id int, value string"))
-    return rows.select("id", "path", F.dense_rank().over(_by_id()).alias("k"), "ord").select("id", "path", F.when(F.col("id") == 2, F.when(F.col("k") == 1, 0).otherwise(2)).otherwise(F.col("k") - 1).alias("ord"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id").orderBy("ord")
+    path, t = F.col("path"), F.col("tokens")
+    as_json = F.concat(F.lit('[{"path":"./'), path, F.lit('","score":'), t, F.lit('},{"path":"b.py","score":20},{"path":"'), path, F.lit('","score":1}]'))
+    as_lines = F.concat(F.lit("x/./"), path, F.lit("\n# note\n\nx/"), path, F.lit("\nz.md"))
+    value = F.when(t % 3 == 0, as_json).when(t % 3 == 1, as_lines).otherwise("null")
+    return search.parse_results(files(spark, sf_dir).select(path.alias("id"), value.alias("value")))
 
 
 @query("f21_relative_paths", """select page_id, case page_id % 5 when 0 then 'a/b' when 1 then null when 2 then null when 3 then 'x/y.py' else null end as path from pages""")
@@ -144,6 +142,9 @@ def t9(spark, sf_dir):
     return commits(spark, sf_dir).orderBy(F.desc("at"), "commit").limit(500).select("commit", "author")
 
 
-@query("r2_mentions", """select * from (values (1, 'a/b.py', 3, 7), (1, 'c.md', null, null), (2, 'x.go', 12, 12)) v(id, mention, first, last)""")
+@query("r2_mentions", f"""with {FILES} select path as id, path as mention, tokens as first, tokens + 4 as last from files union all
+select path, 'c' || (tokens % 9) || '.md', null, null from files union all select path, 'x.go', 12, 12 from files""")
 def r2(spark, sf_dir):
-    return X.mentions(spark.createDataFrame([(1, "fix a/b.py:3-7 and ./c.md"), (2, "at x.go#L12, twice x.go#L12")], "id int, text string"))
+    t = F.col("tokens")
+    text = F.concat(F.lit("fix "), "path", F.lit(":"), t, F.lit("-"), t + 4, F.lit(" and ./c"), t % 9, F.lit(".md, at x.go#L12, twice x.go#L12"))
+    return X.mentions(files(spark, sf_dir).select(F.col("path").alias("id"), text.alias("text")))

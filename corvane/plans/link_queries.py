@@ -109,36 +109,42 @@ def w8(spark, sf_dir):
     return contract.span_labels(lines(spark, sf_dir).where("line_no % 4 <> 0").select("path", F.col("line_no").alias("line")))
 
 
-#: Responses with references, the same in both engines.
-SAID = [
-    (1, "see src0/fr/doc_0.md:1-2 and src1/en/doc_1.md"), (2, "the `The` and `Nope.Missing` of src9/xx/doc_0.md:3"),
-    (3, "+++ b/src2/en/doc_2.md"), (4, "SRC0/FR/DOC_0.MD is it, `x.py` no symbol\nsrc1/en/doc_1.md:1-9999"), (5, "nothing here"),
-]
-
-
-def _said(spark):
-    return spark.createDataFrame(SAID, "id int, text string")
-
-
-@query("r1_references", """select * from (values
- (1, 'line-range', 'src0/fr/doc_0.md', 1, 2, null, 1), (1, 'file', 'src1/en/doc_1.md', null, null, null, 1), (2, 'symbol', null, null, null, 'The', 1),
- (2, 'symbol', null, null, null, 'Nope.Missing', 1), (2, 'line-range', 'src9/xx/doc_0.md', 3, 3, null, 1), (3, 'diff-header', 'src2/en/doc_2.md', null, null, null, 1),
- (4, 'file', 'SRC0/FR/DOC_0.MD', null, null, null, 1), (4, 'file', 'x.py', null, null, null, 1), (4, 'line-range', 'src1/en/doc_1.md', 1, 9999, null, 2))
- v(id, kind, path, line_start, line_end, symbol, source_line)""")
+#: A response about each file, of four kinds: lines and a symbol that are there, a file and a symbol that are not, a header, another case.
+REFERENCES = """refs as (select path as id, 'line-range' as kind, path, 1 as line_start, tokens % 40 + 1 as line_end, cast(null as varchar) as symbol, 1 as source_line from files where tokens % 4 = 0
+  union all select path, 'symbol', null, null, null, 'The', 2 from files where tokens % 4 = 0
+  union all select path, 'line-range', concat('src9/xx/doc_', tokens, '.md'), 3, 3, null, 1 from files where tokens % 4 = 1
+  union all select path, 'symbol', null, null, null, concat('Nope.Missing', tokens % 7), 1 from files where tokens % 4 = 1
+  union all select path, 'diff-header', path, null, null, null, 1 from files where tokens % 4 = 2
+  union all select path, 'file', upper(path), null, null, null, 1 from files where tokens % 4 = 3
+  union all select path, 'symbol', null, null, null, 'Mod.The', 1 from files where tokens % 4 = 3)"""
+VERDICTS = f"""{SYMBOLS}, {REFERENCES}, names as (select distinct name from symbols),
+h as (select path, len(regexp_extract_all(body, '[^\\n]*\\n|[^\\n]+$')) as n from files), fold as (select lower(path) as low, min(n) as n from h group by 1),
+c as (select r.*, coalesce(h.n, fold.n) as n, a.name is not null or b.name is not null as known from refs r left join h using (path) left join fold on fold.low = lower(r.path)
+  left join names a on a.name = r.symbol left join names b on b.name = regexp_extract(r.symbol, '[^.]*$')),
+verdicts as (select id, kind, path, symbol, case when kind = 'symbol' then case when known then 'ok' else 'phantom-symbol' end when n is null then 'out-of-context'
+  when kind = 'line-range' and not (line_start >= 1 and line_end <= n) then 'stale-content' else 'ok' end as verdict from c)"""
+
+
+def responses(spark, sf_dir):
+    path, t = F.col("path"), F.col("tokens")
+    text = (
+        F.when(t % 4 == 0, F.concat(F.lit("see "), path, F.lit(":1-"), t % 40 + 1, F.lit("\nand `The`")))
+        .when(t % 4 == 1, F.concat(F.lit("the `Nope.Missing"), t % 7, F.lit("` of src9/xx/doc_"), t, F.lit(".md:3")))
+        .when(t % 4 == 2, F.concat(F.lit("+++ b/"), path))
+        .otherwise(F.concat(F.upper(path), F.lit(" is it, as `Mod.The`, `x.py` no symbol")))
+    )
+    return files(spark, sf_dir).select(path.alias("id"), text.alias("text"))
+
+
+@query("r1_references", f"with {FILES}, {REFERENCES} select * from refs union all select path, 'file', 'x.py', null, null, null, 1 from files where tokens % 4 = 3")
 def r1(spark, sf_dir):
-    return contract.references(_said(spark))
+    return contract.references(responses(spark, sf_dir))
 
 
-@query("v2_verify", f"""with {SYMBOLS}, h as (select path, len(regexp_extract_all(body, '[^\\n]*\\n|[^\\n]+$')) as n from files),
-r(id, kind, path, line_start, line_end, symbol) as (values (1, 'line-range', 'src0/fr/doc_0.md', 1, 2, null), (1, 'file', 'src1/en/doc_1.md', null, null, null), (2, 'symbol', null, null, null, 'The'),
- (2, 'symbol', null, null, null, 'Nope.Missing'), (2, 'line-range', 'src9/xx/doc_0.md', 3, 3, null), (3, 'diff-header', 'src2/en/doc_2.md', null, null, null),
- (4, 'file', 'SRC0/FR/DOC_0.MD', null, null, null), (4, 'file', 'x.py', null, null, null), (4, 'line-range', 'src1/en/doc_1.md', 1, 9999, null)),
-c as (select r.*, (select n from h where h.path = r.path) as exact, (select min(n) from h where lower(h.path) = lower(r.path)) as folded from r)
-select id, kind, path, symbol, case when kind = 'symbol' then case when symbol in (select name from symbols) or regexp_extract(symbol, '[^.]*$') in (select name from symbols) then 'ok' else 'phantom-symbol' end
-  when coalesce(exact, folded) is null then 'out-of-context' when kind = 'line-range' and not (line_start >= 1 and line_end <= coalesce(exact, folded)) then 'stale-content' else 'ok' end as verdict from c""")
+@query("v2_verify", f"""with {VERDICTS} select * from verdicts union all select path, 'file', 'x.py', null, 'out-of-context' from files where tokens % 4 = 3""")
 def v2(spark, sf_dir):
     built = contract.build(files(spark, sf_dir), symbols(spark, sf_dir))
-    return contract.verify(built, contract.references(_said(spark))).select("id", "kind", "path", "symbol", "verdict")
+    return contract.verify(built, contract.references(responses(spark, sf_dir))).select("id", "kind", "path", "symbol", "verdict")
 
 
 MANIFESTS = f"""{FILES},

@@ -109,9 +109,15 @@ def p39(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url is not null").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-@query("p42_clean_path", """with p as (select distinct c.k as k, c.path, c.clean from (values (1, 'a/./b/../c', 'a/c'), (2, '/x/../../y', '/y'), (3, './', '.'), (4, '../a/b/..', '../a'), (5, 'a//b/', 'a/b'), (6, '/', '/')) c(k, path, clean)) select k, path, clean from p""")
+@query("p42_clean_path", """with p as (select page_id as k, coalesce(nullif(regexp_extract(lower(url), '([a-z0-9]+)[^a-z0-9]*$', 1), ''), 'n') as s from pages)
+select k, case k % 6 when 0 then 'a/./' || s || '/../c' when 1 then '/' || s || '/../../y' when 2 then './' when 3 then '../' || s || '/b/..' when 4 then s || '//b/' else '/' end as path,
+  case k % 6 when 0 then 'a/c' when 1 then '/y' when 2 then '.' when 3 then '../' || s when 4 then s || '/b' else '/' end as clean from p""")
 def p42(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "a/./b/../c"), (2, "/x/../../y"), (3, "./"), (4, "../a/b/.."), (5, "a//b/"), (6, "/")], "k int, path string")
+    k, found = F.col("page_id"), F.regexp_extract(F.lower("url"), "([a-z0-9]+)[^a-z0-9]*$", 1)
+    s = F.coalesce(F.nullif(found, F.lit("")), F.lit("n"))
+    forms = [("a/./", s, "/../c"), ("/", s, "/../../y"), ("./",), ("../", s, "/b/.."), (s, "//b/"), ("/",)]
+    raw = F.element_at(F.array(*[F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in f]) for f in forms]), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(k.alias("k"), raw.alias("path"))
     return rows.select("k", "path", T.clean_path(F.col("path")).alias("clean"))
 
 
