@@ -179,11 +179,22 @@ def a12u(spark, sf_dir):
     return changes.uncovered(table(spark, sf_dir, "lineitem").select(F.concat(*parts).alias("value")))
 
 
-@query("k17_test_links", """select * from (values ('p/a_test.go', 'p/a.go', 95), ('p/a_test.go', 'p/b.go', 35), ('p/a_test.go', 'q/c.go', 5)) v(test, source, score)""")
+@query("k17_test_links", """with d as (select distinct doc_id as i from documents),
+t as (select i, 'd' || (i // 4) || '/f' || i || '_test.go' as test from d where i % 4 = 0),
+s as (select i, 'd' || (i // 4) || case when i % 4 = 1 then '/f' || (i - 1) || '.go' else '/g' || i || '.go' end as source from d where i % 4 <> 0)
+select test, source, cast(case when s.i > t.i + 3 then 5 else 35 + case s.i - t.i when 1 then 55 when 2 then 5 else 0 end end as bigint) as score
+from t join s on s.i in (t.i + 1, t.i + 2, t.i + 3, t.i + 5)""")
 def k17(spark, sf_dir):
-    rows = [("p/a_test.go", "Alpha() Beta() Gamma", "p_test"), ("p/a.go", "", "p"), ("p/b.go", "", "p"), ("q/c.go", "", "q")]
-    names = [("p/a.go", "Alpha"), ("p/a.go", "Beta"), ("q/c.go", "Gamma"), ("p/b.go", "Delta")]
-    return changes.test_links(spark.createDataFrame(rows, "path string, body string, package string"), spark.createDataFrame(names, "path string, name string"))
+    i, part = F.col("doc_id"), F.floor(F.col("doc_id") / 4)
+    is_test = i % 4 == 0
+    name = F.when(is_test, F.concat(F.lit("f"), i, F.lit("_test"))).when(i % 4 == 1, F.concat(F.lit("f"), i - 1)).otherwise(F.concat(F.lit("g"), i))
+    calls = F.concat(F.lit("S"), i + 1, F.lit("() S"), i + 2, F.lit("() S"), i + 5)
+    package = F.concat(F.lit("p"), part, F.when(is_test, "_test").otherwise(""))
+    rows = table(spark, sf_dir, "documents").select(
+        i, F.concat(F.lit("d"), part, F.lit("/"), name, F.lit(".go")).alias("path"), F.when(is_test, F.concat_ws("\n", "text", calls)).otherwise("").alias("body"), package.alias("package")
+    )
+    names = rows.where(~is_test).select("path", F.concat(F.lit("S"), i).alias("name"))
+    return changes.test_links(rows.drop("doc_id"), names)
 
 
 @query("j20_repositories", f"""with {SCORED}, s as (select path, basename + path_score + symbol + splitname + content as score from scored where basename + path_score + symbol + splitname + content > 0)

@@ -49,3 +49,10 @@ def test_mentions_and_clean_paths(spark):
 def test_violations_by_verdict(spark, verdicts, want):
     got = changes.violations(spark.createDataFrame([(v,) for v in verdicts], "verdict string"))
     assert rows(got, "verdict", "references", "exit_code") == want
+
+
+def test_tests_meet_sources_by_name_folder_package_and_words(spark):
+    files = [("p/a_test.go", "Alpha() Beta() Gamma", "p_test"), ("p/a.go", "", "p"), ("p/b.go", "", "p"), ("q/c.go", "", "q"), ("r/d_test.go", None, "r")]
+    names = [("p/a.go", "Alpha"), ("p/a.go", "Beta"), ("q/c.go", "Gamma"), ("p/b.go", "Delta")]
+    got = changes.test_links(spark.createDataFrame(files, "path string, body string, package string"), spark.createDataFrame(names, "path string, name string"))
+    assert rows(got, "test", "source", "score") == [("p/a_test.go", "p/a.go", 95), ("p/a_test.go", "p/b.go", 35), ("p/a_test.go", "q/c.go", 5)]
