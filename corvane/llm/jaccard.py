@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import connected_components, materialize, small_batches, spread_join
@@ -33,6 +33,8 @@ QUERIES = 20_000
 SKETCH_BITS, CELL = 22, 64
 #: Cells count as frequent in a task from this many times its mean.
 FREQUENT = 4
+#: Groups that may share a token for all their pairs to be counted there; of tokens that more share, only pairs within the bound are made.
+SHARED_GROUPS = 64
 #: Rows of (row, ...) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Texts a task remembers, so as to keep the tokens of copies once.
@@ -87,6 +89,11 @@ class Block:
         self.union, starts = np.unique(flat[order], return_index=True)
         self.bounds, self.owner = np.append(starts, len(flat)), owner
 
+    def central(self) -> np.ndarray:
+        """Of each member how many members have a token of it, on average."""
+        many = np.diff(self.bounds)
+        return np.bincount(self.owner, np.repeat(many, many), len(self.sizes)) / self.sizes
+
     def linked(self, tokens: np.ndarray, percent: int) -> np.ndarray:
         """Members that link with these tokens; none without opening if the union holds too few of them."""
         at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
@@ -109,19 +116,29 @@ def _grouped(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[obj
 
 
 def _lead(percent: int):
-    """Over a partition sorted by block: (u, v) links of members with the leader they were first found to link with."""
+    """Over a partition sorted by block: (u, v) links of members with the leader they were first found to link with, and of leaders with one member of each other star.
+
+    Members go by how common their tokens are in the block, the most central first. So what links is missed only between members that
+    both hang on leaders, of stars that no leader's links connect; a group of near copies falls into few groups.
+    """
 
     def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         nodes, tokens = rows["node"].to_numpy(), _tokens(rows["tokens"])
         if len(rows) < 2:
             return
-        block, free, u, v = Block(tokens), np.ones(len(rows), bool), [], []
-        for k in range(len(rows)):
+        block, free, star, u, v = Block(tokens), np.ones(len(rows), bool), np.arange(len(rows)), [], []
+        for k in np.lexsort((nodes, -block.central())):
             if free[k]:
                 free[k] = False
                 found = block.linked(tokens[k], percent)
+                held = found[~free[found] & (star[found] != k)]
+                stars, first = np.unique(star[held], return_index=True)
                 found = found[free[found]]
                 free[found] = False
+                star[found] = k
+                if len(stars):
+                    star[np.isin(star, stars)] = k
+                found = np.concatenate([found, held[first]])
                 u.append(nodes[found])
                 v.append(np.full(len(found), nodes[k]))
         yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
@@ -263,25 +280,35 @@ def links(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     hits = heads.join(shared, "token").distinct()
     hits = materialize(hits.join(members, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "hits")
     index = hits.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - pos")).alias("after"), F.min("node").alias("node"))
-    # Of a set and one no larger: tokens of both prefixes, and what either has beyond its own, bound the overlap. Of groups, the largest
-    # bound of any two members.
+    # Of a set and one no larger, the first shared token and what either has after it bound the overlap (ahead); so do tokens of both
+    # prefixes (least). Of groups, the largest bound of any two members. Sets that link are ahead at their first shared token, so tokens
+    # of many groups pair only those; what they may add to the tokens of both is bounded by how many of them either group has.
+    many = F.count("*").over(Window.partitionBy("token")) > SHARED_GROUPS
+    index = materialize(index.withColumn("many", many), "index")
+    often = materialize(index.where("many").groupBy("grp").agg(F.count("*").alias("often")), "often")
     least = f"greatest(i.low, ceil({percent} * q.low / 100))"
     wanted = f"ceil({percent} * (q.low + {least}) / {100 + percent}) - ceil({percent} * q.low / 100) + 1"
     one_size = F.when(F.expr("q.low = q.high"), F.expr(wanted)).otherwise(F.lit(1))
-    ahead = F.expr(f"{100 + percent} * least(q.after, i.after) >= {percent} * (q.low + {least})")
-    met = index.alias("q").join(index.alias("i"), "token").where(F.expr(f"q.grp <> i.grp and i.low <= q.high and 100 * i.high >= {percent} * q.low"))
-    met = met.select("q.node", F.col("q.grp").alias("own"), "i.grp", ahead.alias("ahead"), one_size.alias("least"))
-    met = met.groupBy("own", "grp").agg(F.count("*").alias("hits"), F.max("ahead").alias("ahead"), F.min("least").alias("least"), F.min("node").alias("node"))
-    first = materialize(met.where("ahead and hits >= least").select("own", "grp", "node"), "first")
+    ahead = f"{100 + percent} * least(q.after, i.after) >= {percent} * (q.low + {least})"
+    alike = F.expr(f"q.token = i.token and q.grp <> i.grp and i.low <= q.high and 100 * i.high >= {percent} * q.low and (not q.many or {ahead})")
+    met = index.alias("q").join(index.alias("i"), alike).select(
+        "q.token", "q.node", F.col("q.grp").alias("own"), "i.grp", "i.low", "i.high", "i.after", "q.many", F.expr(ahead).alias("ahead"), one_size.alias("least")
+    )
+    first = met.groupBy("own", "grp").agg(F.count_if(~F.col("many")).alias("hits"), F.max("ahead").alias("ahead"), F.min("least").alias("least"), F.min("node").alias("node"))
+    of_own, of_grp = (often.select(F.col("grp").alias(c), F.col("often").alias(f"{c}_often")) for c in ("own", "grp"))
+    first = first.where("ahead").join(of_own, "own", "left").join(of_grp, "grp", "left")
+    first = materialize(first.where("hits + least(coalesce(own_often, 0), coalesce(grp_often, 0)) >= least").select("own", "grp", "node"), "first")
     found = materialize(_opened(sets, nodes, members, first.select("node", "grp"), percent), "found")
     of_groups = found.join(members, F.col("u") == F.col("node"), "left").select(F.coalesce("grp", "u").alias("u"), "v")
     of_groups = of_groups.join(members, F.col("v") == F.col("node"), "left").select("u", F.coalesce("grp", "v").alias("v"))
     roots = connected_components(of_groups)
     named = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("own", "grp")]
     rest = first.join(named[0], "own", "left").join(named[1], "grp", "left").where("coalesce(own_root, own) <> coalesce(grp_root, grp)")
-    rest = hits.select("token", "node", F.col("grp").alias("own"), "n").join(rest.select("own", "grp", F.col("node").alias("tried")), "own")
-    rest = rest.where("node <> tried").join(index.select("token", "grp", "low", "high"), ["token", "grp"]).where(F.expr(f"low <= n and 100 * high >= {percent} * n"))
-    rest = materialize(rest.select("node", "grp").distinct(), "rest")
+    rest = met.where("ahead").select("token", "own", "grp", "low", "high", "after").join(rest.select("own", "grp", F.col("node").alias("tried")), ["own", "grp"])
+    each = hits.select("token", "node", F.col("grp").alias("own"), "n", "pos").join(rest, ["token", "own"]).where(F.expr(
+        f"node <> tried and low <= n and 100 * high >= {percent} * n and {100 + percent} * least(n - pos, after) >= {percent} * (n + greatest(low, ceil({percent} * n / 100)))"
+    ))
+    rest = materialize(each.select("node", "grp").distinct(), "rest")
     more = materialize(_opened(sets, nodes, members, rest, percent), "more")
     return led.unionAll(found).unionAll(more)
 

@@ -78,6 +78,15 @@ def test_near_copies(spark, seed, monkeypatch):
     assert ours(spark, rows) == want
 
 
+@pytest.mark.parametrize("shared", [0, 3])
+def test_tokens_of_many_groups(spark, shared, monkeypatch):
+    """All pairs, or those of tokens that more than three groups share, are made within the bound alone."""
+    monkeypatch.setattr(jaccard, "SHARED_GROUPS", shared)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3_000)
+    rows = list(enumerate(near_copies(random.Random(7), seeds=6, copies=25, words=150)))
+    assert ours(spark, rows) == brute(rows)
+
+
 def test_hard_rows(spark):
     long = " ".join(f"x{k}" for k in range(30_000))
     rows = [
