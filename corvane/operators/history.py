@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.staging import release, staged
+from corvane.sources.staging import release, staged, together
 
 #: Commits of more files say nothing of pairs (fixed value).
 PAIR_FILES = 50
@@ -103,38 +103,90 @@ def file_log(versions: DataFrame) -> DataFrame:
     return versions.withColumn("before", before).where(~F.col("blob").eqNullSafe(F.col("before"))).drop("before")
 
 
+#: Rows of a history that pointer doubling takes at once; longer histories are shortened first.
+WALK_ROWS = 200_000
+#: First parents that a path's versions of one window span.
+DEPTH_BLOCK = 4096
+
+
+def _heads_up(commit: str, k: int) -> Column:
+    """A coin for each commit, another one in each round."""
+    return F.pmod(F.xxhash64(commit, F.lit(k)), F.lit(2)) == 1
+
+
+def _shortened(now: DataFrame, head: Column, k: int) -> DataFrame:
+    """(commit, jump, span) without those commits whose coin is 1 and whose parent's is 0, a quarter: (commit, jump, span, over, step).
+
+    Commits that pointed to one left out point on to its parent; `over` is the one left out, `step` the span up to it. Of two
+    neighbours one stays at most, so each commit left out is met by its children in one equi-join.
+    """
+    gone = _heads_up("commit", k) & (F.col("commit") != head) & (F.col("jump").isNull() | ~_heads_up("jump", k))
+    kept, meets = now.where(~gone), F.col("jump").isNotNull() & _heads_up("jump", k)
+    none = [F.lit(None).cast(now.schema["commit"].dataType).alias("over"), F.lit(None).cast("long").alias("step")]
+    left_out = now.where(gone).select(F.col("commit").alias("jump"), F.col("commit").alias("over"), F.col("jump").alias("next"), F.col("span").alias("further"))
+    joined = kept.where(meets).join(left_out, "jump", "left")
+    passed = F.col("over").isNotNull()
+    moved = joined.select("commit", F.when(passed, F.col("next")).otherwise(F.col("jump")).alias("jump"), (F.col("span") + F.coalesce("further", F.lit(0))).alias("span"), "over", F.when(passed, F.col("span")).alias("step"))
+    return kept.where(~meets).select("commit", "jump", "span", *none).unionAll(moved)
+
+
 def first_parents(commits: DataFrame, head: Column) -> DataFrame:
     """(commit, parents) -> (commit, depth) of the head and its first parents, the head at 0; parents that are not there end the walk.
 
-    Pointer doubling: in round k every commit points 2^k first parents back, and every commit found points on, so a chain of n
-    commits takes log2(n) rounds of equi-joins, and none goes through one task or the driver. commits has each commit once.
+    Long histories are shortened: each round leaves a quarter of the commits out, so all rounds together shuffle and write a few
+    times the history, not its logarithm. Of WALK_ROWS commits pointer doubling finds the depths: in round k every commit points 2^k
+    links back, and every commit found points on. Then the rounds are walked back: a commit left out gets its depth from the one that
+    passed over it. All steps are equi-joins; no chain goes through one task or the driver. commits has each commit once.
     """
-    parent = F.get("parents", F.lit(0))
-    rows = commits.select("commit", parent.alias("jump"), F.when(F.col("commit") == head, F.lit(0).cast("long")).alias("depth"))
-    now, step = staged(rows), 1
+    rounds = [staged(commits.select("commit", F.get("parents", F.lit(0)).alias("jump"), F.lit(1).cast("long").alias("span")))]
+    while rounds[-1].count() > WALK_ROWS:
+        rounds.append(staged(_shortened(rounds[-1].select("commit", "jump", "span"), head, len(rounds))))
+    now = staged(rounds[-1].select("commit", "jump", "span", F.when(F.col("commit") == head, F.lit(0).cast("long")).alias("depth")))
     while not now.where("depth is not null and jump is not null").isEmpty():
-        further = now.select(F.col("commit").alias("jump"), F.col("jump").alias("next"))
-        found = now.where("depth is not null and jump is not null").select(F.col("jump").alias("commit"), (F.col("depth") + step).alias("found"))
+        further = now.select(F.col("commit").alias("jump"), F.col("jump").alias("next"), F.col("span").alias("more"))
+        found = now.where("depth is not null and jump is not null").select(F.col("jump").alias("commit"), (F.col("depth") + F.col("span")).alias("found"))
         moved = now.join(further, "jump", "left").join(found, "commit", "left")
-        before, now = now, staged(moved.select("commit", F.col("next").alias("jump"), F.coalesce("depth", "found").alias("depth")))
+        before, now = now, staged(moved.select("commit", F.col("next").alias("jump"), (F.col("span") + F.col("more")).alias("span"), F.coalesce("depth", "found").alias("depth")))
         release(before)
-        step *= 2
-    return now.where("depth is not null").select("commit", "depth")
+    walked = [now.where("depth is not null").select("commit", "depth")]
+    if len(rounds) == 1:
+        release(rounds[0])
+        return walked[0]
+    walked = [staged(walked[0])]
+    release(now)
+    while len(rounds) > 1:
+        passed = rounds.pop()
+        by = passed.where("over is not null").select(F.col("commit").alias("by"), "over", "step")
+        known = together(walked).select(F.col("commit").alias("by"), "depth")
+        walked.append(staged(by.join(known, "by").select(F.col("over").alias("commit"), (F.col("depth") + F.col("step")).alias("depth"))))
+        release(passed)
+    release(rounds[0])
+    return together(walked)
 
 
 def path_log(chain: DataFrame, versions: DataFrame, limit: int) -> DataFrame:
     """(path, rank, commit, depth, truncated): the commits of a first-parent chain at which a path's content is not its parent's.
 
-    chain (commit, depth), versions (commit, path, blob) of the files a commit has: a path that comes or goes counts. Neighbours
-    meet by (path, depth), without a walk. The newest `limit` of each path, and whether there were more.
+    chain (commit, depth), versions (commit, path, blob) of the files a commit has, each path once: a path that comes or goes counts.
+    Neighbours meet in windows of DEPTH_BLOCK depths of a path; a block's first version goes to the block before it as well, so versions
+    are shuffled once and no window holds a whole path. The newest `limit` of each path, and whether there were more.
     """
-    at = versions.join(chain, "commit").select("path", "depth", "blob")
-    before = at.select("path", (F.col("depth") - 1).alias("depth"), F.col("blob").alias("before"))
-    changed = at.join(before, ["path", "depth"], "full").where((F.col("depth") >= 0) & ~F.col("blob").eqNullSafe(F.col("before")))
+    depth = F.col("depth")
+    block = F.floor(depth / DEPTH_BLOCK)
+    edge = (depth > 0) & (depth % DEPTH_BLOCK == 0)
+    at = versions.join(chain, "commit").select("path", "depth", "blob", F.explode(F.when(edge, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+    w = Window.partitionBy("path", "block").orderBy("depth")
+    own = F.col("block") == block
+    before = F.when(F.lead("depth").over(w) == depth + 1, F.lead("blob").over(w))
+    after = F.coalesce(F.lag("depth").over(w) == depth - 1, F.lit(False))
+    sides = at.select("path", "depth", "blob", own.alias("own"), (own & edge).alias("first"), before.alias("before"), after.alias("after"))
+    changed = F.when(F.col("own") & ~F.col("blob").eqNullSafe(F.col("before")), depth)
+    goes = F.when((depth > 0) & ~F.col("first") & ~F.col("after") & F.col("blob").isNotNull(), depth - 1)
+    each = sides.select("path", F.explode(F.array_compact(F.array(changed, goes))).alias("depth"))
     rank = F.row_number().over(Window.partitionBy("path").orderBy("depth"))
-    probe = changed.select("path", "depth", rank.alias("rank")).where(F.col("rank") <= limit + 1)
-    more = probe.groupBy("path").agg((F.max("rank") > limit).alias("truncated"))
-    return probe.where(F.col("rank") <= limit).join(more, "path").join(chain, "depth").select("path", "rank", "commit", "depth", "truncated")
+    probe = each.select("path", "depth", rank.alias("rank")).where(F.col("rank") <= limit + 1)
+    more = probe.withColumn("truncated", F.max("rank").over(Window.partitionBy("path")) > limit)  # limit + 1 rows of a path at most
+    return more.where(F.col("rank") <= limit).join(chain, "depth").select("path", "rank", "commit", "depth", "truncated")
 
 
 def changed_summary(commit_files: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def staged(df: DataFrame) -> DataFrame:
     return table
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Staged tables of the same columns as one, in one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._corvane_round for t in tables])
+
+
 def release(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     system, path = _path(table.sparkSession, table._corvane_round)
