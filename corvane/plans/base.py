@@ -47,6 +47,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lines_of(files(spark, sf_dir))
 
 
+def gathered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.gathered_lines(files(spark, sf_dir))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.word_symbols(lines(spark, sf_dir))
 

@@ -39,6 +39,15 @@ def staged(df: DataFrame) -> DataFrame:
     return table
 
 
+def dealt(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """df by its keys over as many tasks as give each about `each` of its `rows`, and no fewer than Spark's own number.
+
+    That number is fixed whatever the input, so what a task sorts or groups would grow with the tables.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *keys)
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     """Staged tables of the same columns as one, in one scan."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._corvane_round for t in tables])

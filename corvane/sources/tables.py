@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.staging import dealt
+
+#: Order lines, and documents, that a task groups.
+LINES_EACH, FILES_EACH = 500_000, 5_000
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -36,6 +40,11 @@ def lines_of(files: DataFrame) -> DataFrame:
     return each.select("path", (F.col("at") + 1).cast("long").alias("line_no"), "text")
 
 
+def gathered_lines(files: DataFrame) -> DataFrame:
+    """lines_of files, all of a path in one task, of about FILES_EACH files: bodies are dealt before they are parted."""
+    return lines_of(dealt(files, files.count(), FILES_EACH, "path"))
+
+
 def word_symbols(lines: DataFrame) -> DataFrame:
     """The first capitalised word of each line, as prose's stand-in for declarations."""
     word = F.regexp_extract("text", "[A-Z][a-z]+", 0)
@@ -80,8 +89,12 @@ def order_commits(orders: DataFrame) -> DataFrame:
 
 
 def lineitem_files(lineitem: DataFrame) -> DataFrame:
-    """lineitem -> commit_files: a part is a path; its lines in an order are added rows, those returned deleted ones. Status: D if any is returned, else A or M."""
-    return lineitem.groupBy(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path")).agg(
+    """lineitem -> commit_files: a part is a path; its lines in an order are added rows, those returned deleted ones. Status: D if any is returned, else A or M.
+
+    Lines are dealt by commit, LINES_EACH a task: what is grouped or joined by commit afterwards stays where it is.
+    """
+    lines = lineitem.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"), "l_quantity", "l_returnflag")
+    return dealt(lines, lineitem.count(), LINES_EACH, "commit").groupBy("commit", "path").agg(
         F.sum(F.col("l_quantity").cast("long")).alias("added"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("long")).otherwise(0)).alias("deleted"),
         F.when(F.max(F.col("l_returnflag") == "R"), "D").when(F.max(F.col("l_returnflag") == "A"), "A").otherwise("M").alias("status"),
