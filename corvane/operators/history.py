@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.staging import release, staged, together
+from corvane.sources.staging import dealt, release, staged, together
 
 #: Commits of more files say nothing of pairs (fixed value).
 PAIR_FILES = 50
@@ -28,15 +28,17 @@ def pairs(commits: DataFrame, commit_files: DataFrame, limit: int | None = None,
     """(a, b, weight): how many commits touch both paths, a < b, at least min_weight.
 
     Paths gather per commit and pairs unfold within the row: a commit has PAIR_FILES paths at most here, as larger ones
-    give no pairs, so a commit yields a bounded number of pairs and no join is needed.
+    give no pairs, so a commit yields a bounded number of pairs and no join is needed. The gathered paths are written once, so
+    the pairs are known in number and dealt PAIRS_EACH a task.
     """
     chosen = commits if limit is None else newest_commits(commits, limit)
     files = commit_files.select("commit", "path").distinct().join(chosen.select("commit"), "commit", "left_semi")
     sized = files.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(2, PAIR_FILES))  # before any path is gathered
-    gathered = files.join(sized, "commit", "left_semi").groupBy("commit").agg(F.sort_array(F.collect_list("path")).alias("p"))
+    gathered = staged(files.join(sized, "commit", "left_semi").groupBy("commit").agg(F.sort_array(F.collect_list("path")).alias("p")).select("p"))
+    many = gathered.agg(F.sum(F.size("p").cast("long") * (F.size("p") - 1)).alias("n")).first()["n"] or 0
     later = lambda a, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))
     each = gathered.select(F.explode(F.flatten(F.transform("p", later))).alias("x")).select("x.a", "x.b")
-    return each.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
+    return dealt(each, many // 2, PAIRS_EACH, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_weight)
 
 
 def top_pairs(pair_counts: DataFrame, top: int) -> DataFrame:
@@ -103,6 +105,8 @@ def file_log(versions: DataFrame) -> DataFrame:
     return versions.withColumn("before", before).where(~F.col("blob").eqNullSafe(F.col("before"))).drop("before")
 
 
+#: Pairs that a task counts.
+PAIRS_EACH = 1_000_000
 #: Rows of a history that pointer doubling takes at once; longer histories are shortened first.
 WALK_ROWS = 200_000
 #: First parents that a path's versions of one window span.
