@@ -68,7 +68,7 @@ def _named(spark, sf_dir):
 
 @query("k14_reference_counts", f"with {REFS} select path, refs from refs")
 def k14(spark, sf_dir):
-    return graph.reference_counts(_named(spark, sf_dir)).where(~F.col("path").contains("/"))
+    return graph.reference_counts(_named(spark, sf_dir), ~F.col("path").contains("/"))
 
 
 @query("k13_onboarding", f"""with {REFS}, n as (select path, count(*) as n from symbols group by path),

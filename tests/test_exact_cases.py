@@ -1,6 +1,8 @@
 """Small inputs whose results are known: ties, edges and rules that large tables rarely meet."""
 
+import math
 import random
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -88,6 +90,16 @@ def test_references_agree_with_a_search_of_every_body(spark, monkeypatch, block)
     assert graph.reference_counts(files.where("false")).count() == 0
 
 
+def test_references_of_many_stems_take_one_pass(spark):
+    names = spark.range(120_000).select(F.format_string("x/n%06d.md", "id").alias("path"), F.lit("").alias("body"))
+    files = names.unionAll(spark.createDataFrame([("y/a.md", "n000007 n119999n000007"), ("y/b.md", "n0000071"), ("n000007.txt", "n000007")], "path string, body string"))
+    got = graph.reference_counts(files)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+    assert rows(got.where("refs > 0"), "path", "refs") == [("n000007.txt", 2), ("x/n000007.md", 3), ("x/n119999.md", 1)]
+    asked = graph.reference_counts(files, F.col("path").startswith("n"))
+    assert rows(asked, "path", "refs") == [("n000007.txt", 2)]
+
+
 def test_secret_edges_allowances_and_entropy(spark):
     key = "AKIA" + "0123456789ABCDEF"
     lines = [f"é{key}", f"_{key}", f"{key} # sample", "x = 'aB3dE5gH7jK9mN1pQ2rS4tU6'", "aaaaaaaaaaaaaaaaaaaaaaaa", f"{key}é"]
@@ -134,6 +146,13 @@ def test_previews_count_bytes_and_entropy_counts_all(spark):
     assert values(spark, ["twelve bytes", "thirteen byte", "éééééééé", "日本語テキスト", None], T.preview) == ["twelve bytes", "thir[...]byte", "éé[...]éé", "日[...]ト", None]
     got = values(spark, ["", "aaaa", "ab", "abcd" * 500, "aab"], T.entropy)
     assert [round(x, 6) for x in got] == [0.0, 0.0, 1.0, 2.0, 0.918296]
+    texts = ["éa😀é\n.$^\\d", "日本語日本", "a" * 7 + "\x00é" * 3, None]
+    want = [t and sum(-t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) for t in texts]
+    assert [x and round(x, 9) for x in values(spark, texts, T.entropy)] == [w and round(w, 9) for w in want]
+    long = spark.range(64).select(F.repeat(F.concat(F.lit("abcdefgh"), "id"), 20_000).alias("v"))
+    began = time.perf_counter()
+    assert long.select(T.entropy(F.col("v")).alias("x")).where("x > 3").count() == 64
+    assert time.perf_counter() - began < 20  # 12 million characters; a fold over all of them takes far longer
 
 
 def test_comments(spark):
