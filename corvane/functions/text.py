@@ -114,19 +114,11 @@ def echo_tokens(text: Column) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy in bits over the characters, from run lengths of one sorted pass; 0 for an empty text."""
-    chars = F.array_sort(F.split(value, ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).cast("double").alias("run"), F.lit(0.0).alias("total"))
-
-    def closed(acc: Column) -> Column:
-        return acc["total"] + F.when(acc["run"] > 0, acc["run"] * F.log2(acc["run"])).otherwise(0.0)
-
-    def step(acc: Column, c: Column) -> Column:
-        same = c == acc["last"]
-        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, acc["total"]).otherwise(closed(acc)).alias("total"))
-
-    n = F.size(chars)
-    return F.when(value == "", 0.0).otherwise(F.aggregate(chars, start, step, lambda acc: F.log2(n) - closed(acc) / n))
+    """Shannon entropy in bits over the characters; 0 for an empty text. Each distinct character is counted by what the text loses without it."""
+    n = F.char_length(value)
+    counts = F.transform(F.array_distinct(F.split(value, "")), lambda c: (F.octet_length(value) - F.octet_length(F.replace(value, c, F.lit("")))) / F.octet_length(c))
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
+    return F.when(value == "", 0.0).otherwise(F.log2(n) - total / n)
 
 
 def preview(value: Column) -> Column:
