@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import contract, graph
 from corvane.operators import select as X
-from corvane.plans.base import FILES, LINES, SYMBOLS, files, lines, query, symbols, table
+from corvane.plans.base import FILES, LINES, SYMBOLS, files, gathered_lines, lines, query, symbols, table
 from corvane.sources import tables as S
 
 DIR = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
@@ -263,14 +263,14 @@ m as (select *, max(case when changed then 1 else 0 end) over (partition by path
 r as (select *, n - row_number() over (partition by path, near order by n) as run from m)
 select path, n, text, cast(null as bigint) as folded from r where near union all select path, min(n), null, count(*) from r where not near group by path, run""")
 def w18(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("path", F.col("line_no").alias("n"), (F.col("line_no") % 13 == 0).alias("changed"), "text")
+    rows = gathered_lines(spark, sf_dir).select("path", F.col("line_no").alias("n"), (F.col("line_no") % 13 == 0).alias("changed"), "text")
     return X.fold_lines(rows)
 
 
 @query("w15_line_diff", f"""with {LINES}, n as (select path, max(line_no) as n from lines group by path)
 select path, cast(sum(case when line_no = 2 then 1 else 0 end) as bigint) as removed, cast(1 as bigint) as added from lines group by path having count(*) > 1""")
 def w15(spark, sf_dir):
-    rows = lines(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x")).where(F.size("x") > 1)
+    rows = gathered_lines(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x")).where(F.size("x") > 1)
     texts = F.col("x.text")
     after = F.concat(F.slice(texts, 1, 1), F.slice(texts, 3, F.size(texts)), F.array(F.lit("~new~")))
     script = X.changed_lines(rows.select("path", F.array_join(texts, "\n").alias("before"), F.array_join(after, "\n").alias("after")))
