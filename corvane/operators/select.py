@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,18 +149,44 @@ def fold_lines(diff_lines: DataFrame, around: int = 3) -> DataFrame:
     return shown.unionByName(hidden.select("path", "n", F.lit(None).cast("string").alias("text"), "folded"))
 
 
+#: Characters of texts whose scripts a Python worker holds at once.
+SCRIPT_CHARS = 2_000_000
+
+
 def changed_lines(pairs: DataFrame) -> DataFrame:
     """(path, before, after) -> (path, n, op, text): a shortest line script; `=` kept, `-` gone, `+` new.
 
     Over 25 million cells a file is replaced as a whole; a longest common subsequence needs both texts of a file in a task.
+    Scripts are handed on after SCRIPT_CHARS of texts, whatever rows a batch has; a batch itself has 64 MB at most, as Spark cuts it.
     """
-
-    @F.pandas_udf("array<struct<op string, text string>>")
-    def script(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": o, "text": t} for o, t in line_script(a or "", b or "")] for a, b in zip(before, after, strict=True)], dtype=object)
-
-    each = pairs.select("path", F.posexplode(script("before", "after")).alias("n", "x"))
-    return each.select("path", (F.col("n") + 1).alias("n"), "x.op", "x.text")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pairs.schema["path"].dataType
+    schema = pa.schema([("path", to_arrow_type(kind)), ("n", pa.int32()), ("op", pa.string()), ("text", pa.string())])
+
+    def scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ns, ops, texts, size = [], [], [], [], 0
+
+            def done(batch=batch) -> pa.RecordBatch:
+                paths = batch.column("path").take(pa.array(at, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([paths, *(pa.array(c, f.type) for c, f in zip((ns, ops, texts), list(schema)[1:], strict=True))], schema=schema)  # noqa: B023
+
+            for k in range(batch.num_rows):
+                before, after = batch.column("before")[k].as_py() or "", batch.column("after")[k].as_py() or ""
+                for n, (op, text) in enumerate(line_script(before, after), 1):
+                    at.append(k)
+                    ns.append(n)
+                    ops.append(op)
+                    texts.append(text)
+                size += len(before) + len(after)
+                if size > SCRIPT_CHARS:
+                    yield done()
+                    at, ns, ops, texts, size = [], [], [], [], 0
+            if at:
+                yield done()
+
+    return pairs.select("path", "before", "after").mapInArrow(scripts, f"path {kind.simpleString()}, n int, op string, text string")
 
 
 def line_script(before: str, after: str, cells: int = 25_000_000) -> list[tuple[str, str]]:
