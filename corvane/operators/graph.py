@@ -38,6 +38,8 @@ def lookup(symbols: DataFrame, name: str, origin: str = "", kind: str = "") -> D
 
 #: Endings of files that focus reads (fixed values).
 FOCUS_ENDINGS = ("go", "ts", "tsx", "js", "jsx", "mjs", "py")
+#: Names of a second hop that every task gets; more meet the words by a shuffle.
+NAMES_SENT = 1_000_000
 _IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -67,9 +69,13 @@ def focus(files: DataFrame, lines: DataFrame, symbols: DataFrame, anchor: str, h
     found = rows.groupBy("path").agg(F.min_by("reason", "k").alias("reason"))
     if hops < 2:
         return found
-    names = symbols.join(found.select("path"), "path", "left_semi").select(F.col("name").alias("word")).distinct()
-    words = texts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_IDENTIFIER), F.lit(0)))).alias("word"))
-    more = words.join(names, "word", "left_semi").select("path").distinct().join(found.select("path"), "path", "left_anti")
+    found = staged(found)
+    names = staged(symbols.join(found.select("path"), "path", "left_semi").select(F.col("name").alias("word")).distinct())
+    if names.count() <= NAMES_SENT:
+        names = F.broadcast(names)  # else all words of all lines would be shuffled and sorted
+    others = texts.join(found.select("path"), "path", "left_anti")
+    words = others.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_IDENTIFIER), F.lit(0)))).alias("word"))
+    more = words.join(names, "word", "left_semi").select("path").distinct()
     return found.unionAll(more.select("path", F.lit("hop-2").alias("reason")))
 
 
