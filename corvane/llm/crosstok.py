@@ -12,7 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,14 @@ from corvane.llm.shared import materialize, small_batches
 #: as no pattern of A and no piece of B goes on over it.
 _EDGE = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u2581\u3000\ufeff]"
 _CUT = re.compile(f"(?<={_EDGE}) (?={_EDGE})")
+#: Pieces that a single space joins to a text which is cut there again. B reads U+2581 as a space, so pieces with it would spoil a text.
+_JOINS = re.compile(rf"{_EDGE}(?:[^\u2581]*{_EDGE})?")
 #: Characters of text, and documents, of a batch (document numbers within it take 16 bits).
 BATCH_CHARS, BATCH_DOCS = 4_000_000, 16_384
 #: Pieces of text whose alignment a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 250_000, 200
+#: Pieces encoded as one text.
+TOGETHER = 64
 #: Bytes of postings of one id that a task streams; more are dealt over several tasks, each of which gets all counts.
 ID_BYTES = 16_000_000
 #: Documents whose sums a task holds before it hands them on.
@@ -61,14 +65,15 @@ class Aligner:
         self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in pieces]
         self.sizes_b = np.array([len(b) for b in self.bytes_b])
-        self.said = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
+        #: ids written out with what follows them: of A within a group and at its side's end, of B likewise
+        self.said = [f"{i}{after}" for after, sizes in zip(",|,;", (self.sizes_a, self.sizes_a, self.sizes_b, self.sizes_b), strict=True) for i in range(len(sizes))]
+        self.said_sizes = np.array([len(w) for w in self.said])
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of space+text by A, and of text by B."""
-        left = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        left = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         return list(zip(left, self.b.encode(texts, num_threads=1), strict=True))
 
-
     def sound(self, encoded: list[tuple[list[int], list[int]]], whole: list[bytes]) -> list[bool]:
         """Which texts both sides' tokens spell."""
         spelt_a, spelt_b = self.bytes_a, self.bytes_b
@@ -80,6 +85,14 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+class Numbers(dict):
+    """Pieces of text by number, in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Memory:
     """Alignments of pieces of text by number: tokens of A and B, groups and links, the groups written out, and all pieces' links in a row."""
 
@@ -88,48 +101,74 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.counts: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
         self.groups: list[str] = []
         self.bad: set[int] = set()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Align new pieces, all in one row of bytes. Pieces of which a side has other bytes than space+piece are bad.
+    def learn(self) -> None:
+        """Align the pieces that have a number and nothing else, all in one row of bytes, and write out their groups, each ended by a semicolon.
 
         Two tokens overlap in just one stretch between neighbouring ends of either side, so the stretches are the links;
         ends of both sides end groups.
         """
-        tool, new = self.tool, list(pieces - self.number.keys())
+        tool, first = self.tool, len(self.groups)
+        new = list(islice(self.number, first, None))
         if not new:
             return
-        whole = [b" " + p.encode("utf-8", "surrogatepass") for p in new]
-        encoded = tool.encode(new)
-        first = len(self.groups)
-        self.number.update((p, first + k) for k, p in enumerate(new))
-        sound = tool.sound(encoded, whole)
-        self.bad.update(first + k for k, fine in enumerate(sound) if not fine)
-        good = [k for k, fine in enumerate(sound) if fine]
+        good, encoded = self._encode(new)
+        self.bad.update(first + k for k in set(range(len(new))).difference(good))
         counts, written = np.zeros((len(new), 4), np.int64), [""] * len(new)
         if good:
-            sides = [np.fromiter(chain.from_iterable(encoded[k][x] for k in good), np.int64) for x in (0, 1)]
-            ends = [np.cumsum(sizes[ids]) for sizes, ids in zip((tool.sizes_a, tool.sizes_b), sides, strict=True)]
-            last = np.cumsum([len(whole[k]) for k in good])
-            cuts = np.union1d(*ends)
-            self.links.append(sides[0][np.searchsorted(ends[0], cuts)] << 16 | sides[1][np.searchsorted(ends[1], cuts)])
-            common = np.intersect1d(*ends, assume_unique=True)
-            for c, at in enumerate((*ends, common, cuts)):
-                counts[good, c] = np.diff(np.searchsorted(at, last, "right"), prepend=0)
-            names = [[tool.said[i] for i in ids.tolist()] for ids in sides]
-            bounds = [[0, *np.searchsorted(e, common, "right").tolist()] for e in ends]
-            parts = [",".join(names[0][a0:a1]) + "|" + ",".join(names[1][b0:b1]) for a0, a1, b0, b1 in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:], strict=False)]
-            at = 0
-            for k, n in zip(good, counts[good, 2].tolist(), strict=True):
-                written[k] = ";".join(parts[at : at + n])
-                at += n
+            ids_a, ids_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in zip(*encoded, strict=True))
+            ends_a, ends_b = np.cumsum(tool.sizes_a[ids_a]), np.cumsum(tool.sizes_b[ids_b])
+            last = np.cumsum([1 + len(new[k].encode("utf-8", "surrogatepass")) for k in good])
+            is_a, is_b = np.zeros((2, last[-1] + 1), bool)
+            is_a[ends_a] = is_b[ends_b] = True
+            both, cuts = is_a & is_b, np.flatnonzero(is_a | is_b)
+            upto_a, upto_b, upto_both = (np.cumsum(x, dtype=np.int32) for x in (is_a, is_b, both))
+            pairs = ids_a[upto_a[cuts] - is_a[cuts]] << 16 | ids_b[upto_b[cuts] - is_b[cuts]]
+            upto = np.stack([upto_a[last], upto_b[last], upto_both[last]], 1)
+            upto = np.column_stack([upto, upto[:, 0] + upto[:, 1] - upto[:, 2]])
+            counts[good] = np.diff(upto, axis=0, prepend=np.zeros((1, 4), upto.dtype))
+            # links in a row follow the numbers, as counts do
+            order = np.argsort(good)
+            sizes = counts[good, 3][order]
+            self.links.append(pairs[np.repeat((upto[:, 3] - counts[good, 3])[order] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
+            # a group's A tokens, then its B tokens: an A token comes after the B tokens of the groups before, a B token after the A tokens up to its group
+            common, places, n = np.flatnonzero(both), np.empty(len(ids_a) + len(ids_b), np.int64), len(tool.sizes_a)
+            places[np.arange(len(ids_a)) + np.concatenate(([0], upto_b[common]))[upto_both[ends_a] - both[ends_a]]] = ids_a + np.where(both[ends_a], n, 0)
+            places[np.arange(len(ids_b)) + upto_a[common][upto_both[ends_b] - both[ends_b]]] = 2 * n + ids_b + np.where(both[ends_b], len(tool.sizes_b), 0)
+            row = "".join(map(tool.said.__getitem__, places.tolist()))
+            at = np.cumsum(tool.said_sizes[places])[upto[:, 0] + upto[:, 1] - 1].tolist()
+            for k, x, y in zip(good, chain((0,), at), at, strict=False):
+                written[k] = row[x:y]
         self.counts.append(counts)
         self.groups += written
 
+    def _encode(self, new: list[str]) -> tuple[list[int], list[tuple[list[int], list[int]]]]:
+        """The sound pieces, in some order, and the ids of both sides of texts that are made of them in that order.
+
+        Pieces are encoded many in a text, with the space between them at which a text is cut. Where a side spells other bytes than
+        space+text, and for pieces that don't join so, fewer make a text, at last one; those that then have other bytes are bad.
+        """
+        tool, good, found = self.tool, [], []
+        joining = [k for k, p in enumerate(new) if len(p) <= LONGEST and _JOINS.fullmatch(p)]
+        left = [joining[x : x + TOGETHER] for x in range(0, len(joining), TOGETHER)] + [[k] for k in set(range(len(new))).difference(joining)]
+        while left:
+            parts, left = left, []
+            texts = [" ".join([new[k] for k in part]) for part in parts]
+            encoded = tool.encode(texts)
+            for part, ids, fine in zip(parts, encoded, tool.sound(encoded, [b" " + t.encode("utf-8", "surrogatepass") for t in texts]), strict=True):
+                if fine:
+                    good += part
+                    found.append(ids)
+                elif len(part) > 1:
+                    step = max(len(part) // 8, 1)
+                    left += [part[x : x + step] for x in range(0, len(part), step)]
+        return good, found
+
     def forget(self) -> None:
         """Between batches: all, once there are too many, else only long pieces."""
         if len(self.number) > REMEMBERED or any(len(p) > LONGEST for p in self.number):
@@ -138,16 +177,15 @@ class Memory:
 
 def _postings(memory: Memory, texts: list[str | None]) -> tuple[list[tuple], list[tuple]]:
     """Of a batch: per text its five columns, and per A id (id, B ids and their documents, documents and their multiplicities)."""
-    pieces = [_CUT.split(t) if t else [] for t in texts]
-    memory.learn({p for ps in pieces for p in ps})
-    number, counts, groups, docs = memory.number, np.concatenate([np.zeros((0, 4), np.int64), *memory.counts]), memory.groups, []
+    numbers = [[*map(memory.number.__getitem__, _CUT.split(t))] if t else [] for t in texts]
+    memory.learn()
+    counts, groups, docs = np.concatenate([np.zeros((0, 4), np.int64), *memory.counts]), memory.groups, []
     at_doc, at_piece = [], []
-    for k, ps in enumerate(pieces):
-        ids = [number[p] for p in ps]
+    for k, ids in enumerate(numbers):
         if not ids or not memory.bad.isdisjoint(ids):
             docs.append((0, 0, 0, 0, ""))
             continue
-        docs.append((*counts[ids].sum(0).tolist(), hashlib.sha256(";".join([groups[i] for i in ids]).encode()).hexdigest()))
+        docs.append((*counts[ids].sum(0).tolist(), hashlib.sha256("".join([groups[i] for i in ids])[:-1].encode()).hexdigest()))
         at_piece.append(np.array(ids, np.int64))
         at_doc.append(np.full(len(ids), k, np.int64))
     if not at_doc:

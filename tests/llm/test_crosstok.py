@@ -103,3 +103,19 @@ def test_cut_pieces_encode_as_the_whole(text):
     tool = crosstok.aligner(*PATHS)
     pieces = tool.encode(crosstok._CUT.split(text))
     assert tool.encode([text]) == [(sum((p[0] for p in pieces), []), sum((p[1] for p in pieces), []))]
+
+
+def test_pieces_are_encoded_many_in_a_text(monkeypatch):
+    asked, encode = [], crosstok.Aligner.encode
+    monkeypatch.setattr(crosstok.Aligner, "encode", lambda tool, texts: asked.extend(texts) or encode(tool, texts))
+    plain = [" ".join(f"w{k % 700}o{k * k}é" for k in range(2000)), "w1 w2 w3"]
+    mixed = [" w1 a\n", "a ▁b c", "", None, *(f"{w} {w}x {w}\n{w}" for w in ("q" * 150, "日本", "z" * 300, "'s", "c ", "▁")), "\x85a b​ c", *plain]
+    tool = crosstok.aligner(*PATHS)
+    together = crosstok._postings(crosstok.Memory(tool), plain)
+    assert len(asked) <= 2003 / crosstok.TOGETHER + 1
+    assert together[0][1][:2] == tuple(len(ids) for ids in encode(tool, ["w1 w2 w3"])[0])
+    found = crosstok._postings(crosstok.Memory(tool), mixed)
+    assert [d[0] == 0 for d in found[0]].count(True) == 4
+    monkeypatch.setattr(crosstok, "TOGETHER", 1)
+    assert crosstok._postings(crosstok.Memory(tool), mixed) == found
+    assert crosstok._postings(crosstok.Memory(tool), plain) == together
