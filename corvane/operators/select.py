@@ -156,7 +156,7 @@ SCRIPT_CHARS = 2_000_000
 def changed_lines(pairs: DataFrame) -> DataFrame:
     """(path, before, after) -> (path, n, op, text): a shortest line script; `=` kept, `-` gone, `+` new.
 
-    Over 25 million cells a file is replaced as a whole; a longest common subsequence needs both texts of a file in a task.
+    A longest common subsequence needs both texts of a file in a task, whatever their length.
     Scripts are handed on after SCRIPT_CHARS of texts, whatever rows a batch has; a batch itself has 64 MB at most, as Spark cuts it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -189,35 +189,110 @@ def changed_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("path", "before", "after").mapInArrow(scripts, f"path {kind.simpleString()}, n int, op string, text string")
 
 
-def line_script(before: str, after: str, cells: int = 25_000_000) -> list[tuple[str, str]]:
-    """(op, line) by a longest common subsequence walked from the start, removals before additions; over `cells` all goes, all comes."""
+def line_script(before: str, after: str, cells: int | None = None) -> list[tuple[str, str]]:
+    """(op, line) by a longest common subsequence walked from the start, removals before additions.
+
+    Texts of any length have a shortest script; only a caller that gives `cells` has all go and all come over so many.
+    The walk asks at each mismatch whether the rest is as long without the line of `before`. Lines of one side alone never
+    count for that. Once a side has only lines of the common tail left, all of them are kept, so the side with more gives one up.
+    """
     a, b = text_lines(before), text_lines(after)
-    if (len(a) + 1) * (len(b) + 1) > cells:
+    if cells is not None and (len(a) + 1) * (len(b) + 1) > cells:
         return [("-", s) for s in a] + [("+", s) for s in b]
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     x, y = a[head:], b[head:]
+    both = set(x) & set(y)
+    p, q = [s for s in x if s in both], [s for s in y if s in both]
+    tail = 0
+    while tail < min(len(p), len(q)) and p[-1 - tail] == q[-1 - tail]:
+        tail += 1
     codes: dict[str, int] = {}
-    cx, cy = (np.array([codes.setdefault(s, len(codes)) for s in part], np.int64) for part in (x, y))
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        hit = np.where(cx[i] == cy, table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
+    cp, cq = (np.array([codes.setdefault(s, len(codes)) for s in part[: len(part) - tail]], np.int32) for part in (p, q))
+    drops = _drops(cp, cq)
+    drop, low = next(drops, (0, 0))
+    left, right = len(p), len(q)
     script, i, j = [("=", s) for s in a[:head]], 0, 0
     while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            script.append(("=", x[i]))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            script.append(("-", x[i]))
-            i += 1
+        same = x[i] == y[j]
+        if same or x[i] not in both:
+            gone = True
+        elif min(left, right) <= tail:
+            gone = left > right
         else:
-            script.append(("+", y[j]))
+            gone = not drop >> max(right - tail - low, 0) & 1
+        script.append(("=" if same else "-", x[i]) if gone else ("+", y[j]))
+        if gone:
+            if x[i] in both:
+                left -= 1
+                drop, low = next(drops, (0, 0))
+            i += 1
+        if same or not gone:
+            right -= y[j] in both
             j += 1
     return script + [("-", s) for s in x[i:]] + [("+", s) for s in y[j:]]
 
 
+#: Rows of bits that are kept at once for each level of `_drops`.
+ROWS_KEPT = 512
+
+
+def _drops(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each code of x in order (bits, low): bit k is set where the longest common subsequence with the last low + k of y falls without it.
+
+    Rows of the usual table from the ends on, a bit a cell (Hyyro 2004): a row's clear bits tell where a length grows, the
+    carries of its sum where it grows with the row. Matches count in a band that holds all paths of at most `edits`, which
+    grows until the edits found fit. Rows are needed from the last back to the first, so some are kept and those between made again.
+    """
+    n, m, back = len(x), len(y), y[::-1]
+    edits = abs(n - m) + 64
+
+    def band(u: int) -> tuple[int, int]:
+        return min(max(m - 1 - n + u - (edits - n + m) // 2, 0), m), min(m - n + u + (edits + n - m) // 2, m)
+
+    def row(bits: int, u: int) -> tuple[int, int, int]:
+        """Bits of row u - 1 -> carries of row u, its bits, and the lengths that left the band."""
+        (lo, hi), (was, top) = band(u), band(u - 1)
+        grown = (lo - was) - (bits & ((1 << (lo - was)) - 1)).bit_count()
+        bits = bits >> (lo - was) | ((1 << (hi - top)) - 1) << (top - lo)
+        hit = bits & int.from_bytes(np.packbits(back[lo:hi] == x[n - u], bitorder="little").tobytes(), "little")
+        total, rest = bits + hit, bits ^ hit
+        return total ^ rest, (total | rest) & ((1 << (hi - lo)) - 1), grown
+
+    def first() -> int:
+        lo, hi = band(0)
+        return (1 << (hi - lo)) - 1
+
+    def found() -> int:
+        bits, length = first(), 0
+        for u in range(1, n + 1):
+            _, bits, grown = row(bits, u)
+            length += grown
+        lo, hi = band(n)
+        return n + m - 2 * (length + hi - lo - bits.bit_count())
+
+    def rows(start: int, stop: int, bits: int) -> Iterator[tuple[int, int]]:
+        step, kept = -(-(stop - start) // ROWS_KEPT), []
+        for u in range(start + 1, stop + 1):
+            if step > 1 and (u - start - 1) % step == 0:
+                kept.append((u - 1, bits))
+            carries, bits, _ = row(bits, u)
+            if step == 1:
+                kept.append((u, carries))
+        while kept:
+            u, bits = kept.pop()
+            if step == 1:
+                yield bits, band(u)[0]
+            else:
+                yield from rows(u, min(u + step, stop), bits)
+
+    if n and m:
+        while edits < n + m and (most := found()) > edits:
+            edits = min(4 * edits, most)
+        yield from rows(0, n, first())
+
+
 def text_lines(text: str) -> list[str]:
     """Lines parted at newlines alone, without a last empty one; carriage returns and form feeds stay in them."""
     return text.removesuffix("\n").split("\n") if text else []

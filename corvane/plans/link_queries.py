@@ -273,7 +273,7 @@ def w15(spark, sf_dir):
     rows = gathered_lines(spark, sf_dir).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x")).where(F.size("x") > 1)
     texts = F.col("x.text")
     after = F.concat(F.slice(texts, 1, 1), F.slice(texts, 3, F.size(texts)), F.array(F.lit("~new~")))
-    script = X.changed_lines(rows.select("path", F.array_join(texts, "\n").alias("before"), F.array_join(after, "\n").alias("after")))
+    script = X.changed_lines(rows.select("path", F.concat(F.array_join(texts, "\n"), F.lit("\n")).alias("before"), F.array_join(after, "\n").alias("after")))
     return script.groupBy("path").agg(F.count_if(F.col("op") == "-").alias("removed"), F.count_if(F.col("op") == "+").alias("added"))
 
 

@@ -1,9 +1,13 @@
 """What a task gets doesn't grow with the tables: pieces are dealt by the rows there are, with the same results."""
 
+import random
+
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, history, select
-from corvane.plans import base
+from corvane.plans import base, link_queries
 from corvane.sources import tables as S
 from tests.conftest import SMALL
 
@@ -59,3 +63,48 @@ def test_names_of_a_second_hop_meet_words_where_they_are(spark, monkeypatch):
     far = graph.focus(*args)
     assert "strategy=broadcast" not in far._jdf.queryExecution().optimizedPlan().toString()
     assert found(near) == found(far) and len(found(near)) > 0
+
+
+def test_files_of_any_length_have_a_shortest_script(spark, tmp_path):
+    long = "\n".join(map(str, range(5_200)))  # over 25 million cells
+    texts = [long, "\n".join(f"{k % 37} {k % 11}" for k in range(5_300)), "\n".join("ab" * 2_600), "a\n\n", "a\nb\n\n", "\n\n", "a\nb\n", "a\nb", "a", None]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "s", "n_chars": 1})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    want = con.execute(base.ORACLE_SQL["w15_line_diff"]).fetchall()
+    got = [(r["path"], r["removed"], r["added"]) for r in link_queries.w15(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 8
+
+
+def test_line_scripts_of_long_texts_take_the_same_walk():
+    def walk(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                yield "=", a[i]
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                yield "-", a[i]
+                i += 1
+            else:
+                yield "+", b[j]
+                j += 1
+        yield from [("-", s) for s in a[i:]] + [("+", s) for s in b[j:]]
+
+    draw = random.Random(4)
+    for size, kinds in ((12, 2), (40, 3), (300, 4), (300, 60), (700, 30)):
+        a = [str(draw.randrange(kinds)) for _ in range(size)]
+        b = [str(draw.randrange(kinds + 2)) for _ in range(size - 5)]
+        near = [s for s in a for s in ([s] if draw.random() > 0.1 else [] if draw.random() > 0.5 else [s, str(draw.randrange(kinds + 2))])]
+        for x, y in ((a, b), (b, a), (a, near), (near, a)):
+            assert select.line_script("\n".join(x), "\n".join(y)) == list(walk(x, y))
+    a = [f"{k % 1_000}" for k in range(6_000)]
+    b = [*a[:100], *a[140:3_000], "new", *a[3_000:5_000], *a[100:140], *a[5_000:]]
+    script = select.line_script("\n".join(a), "\n".join(b))
+    assert [s for o, s in script if o != "+"] == a and [s for o, s in script if o != "-"] == b
+    assert sum(o == "-" for o, _ in script) == 40 and sum(o == "+" for o, _ in script) == 41  # all 6,000 and 6,001 before
